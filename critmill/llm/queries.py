@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, tokens, topk
+from . import mixing, neardup, packing, sharding, tokens, topk
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -31,6 +31,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"), size=2)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return tokens.read_tokens(tokens.write_tokens(docs, TOKENIZER, end_id=1, folder=tokens.token_folder(docs)))
@@ -41,7 +45,7 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter(F.col("vec_id") % 20 == 0), vectors)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_sharding, op4_packing, op6_token_files, op7_top_k)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_sharding, op4_packing, op5_near_duplicates, op6_token_files, op7_top_k)}
 
 ORACLES = {
     "op7_top_k": """
