@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, sharding, tokens, topk
+from . import licenses, mixing, neardup, packing, quality, sharding, simhash, suffix, tokens, topk
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,6 +20,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, carry=["doc_id", "source"]).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     t = sharding.shard(docs)
@@ -45,15 +49,52 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors.filter(F.col("vec_id") % 20 == 0), vectors)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_sharding, op4_packing, op5_near_duplicates, op6_token_files, op7_top_k)}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.edit_probe(read(spark, sf_dir, "documents"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = suffix.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+    return t.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def fingerprint_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th document against all, by permuted block tables."""
+    prints = simhash.save(simhash.fingerprint(read(spark, sf_dir, "documents")))
+    return simhash.near(prints.filter(F.col("doc_id") % 50 == 0), prints)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_license_scan, op3_sharding, op4_packing, op5_near_duplicates, op6_token_files, op7_top_k, op8_quality, op9_simhash, op10_suffix_dedup, fingerprint_search)
+}
+
+#: Normalised words as in licenses.words; the dots are cut at both ends of a word here.
+_WORDS = r"list_filter(list_transform(string_split_regex(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}.]+', ' ', 'g'), ' +'), lambda w: trim(w, '.')), lambda w: w <> '')"
+_GRAMS = "list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(licenses.TEMPLATES))
 
 ORACLES = {
+    "op2_license_scan": f"""
+        WITH k AS (SELECT template, license, {_WORDS.format(x="x")} AS w FROM (VALUES {_TEMPLATES}) AS v(template, license, x)),
+        t AS (SELECT template, license, {_GRAMS.format(w="w")} AS g FROM k),
+        l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
+        m AS (SELECT doc_id, line, {_WORDS.format(x="x")} AS w FROM l),
+        d AS (SELECT doc_id, line, {_GRAMS.format(w="w")} AS g FROM m WHERE len(w) BETWEEN 2 AND 200),
+        p AS (SELECT doc_id, line, license, template, 2.0 * len(list_intersect(d.g, t.g)) / (len(d.g) + len(t.g)) AS dice FROM d, t)
+        SELECT doc_id, CAST(line AS INTEGER) AS line, license, template, CAST(dice AS DOUBLE) AS dice FROM p WHERE dice >= 0.8""",
     "op7_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
             FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20""",
