@@ -1,3 +1,66 @@
-STAGES = []
+"""From raw documents to packed sequences: each stage is one operator, its result written and read again."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from critmill.llm import mixing, neardup, packing, quality, suffix
+from critmill.llm.common import BROADCAST_ROWS, save
+from critmill.llm.queries import TOKENIZER, read
+
+#: Documents below this score go: low enough that doubtful ones stay.
+REJECT_BELOW = 0.3
+#: Bytes of a string that counts as a repeated passage: fifty words of three bytes and their blanks are longer.
+PASSAGE_BYTES = 150
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the compression classifier, fitted on labels outside the held-out fold, rejects."""
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.score(docs, model, REJECT_BELOW).filter("predicted = 1").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of near-duplicates (five-word shingles, 80 %)."""
+    gone = save(neardup.near_duplicates(docs, size=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("merge")
+    return docs.join(side, "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that a document of a smaller doc_id holds; bytes of a character that was cut in part go too."""
+    t = suffix.remove_repeats(docs, PASSAGE_BYTES)
+    whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
+    text = F.when(F.col("n_removed") > 0, whole).otherwise(F.col("text"))
+    t = t.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return t.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes documents as often as their source's target asks: a row for each copy."""
+    return mixing.emit(mixing.mix(docs)).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places every document's pieces in sequences of at most 2048 tokens."""
+    return packing.pack(packing.pieces(docs, TOKENIZER, end_id=0))
+
+
+STAGES = [
+    ("quality", filter_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("suffix_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+#: Fingerprint, compression and packing steps have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
