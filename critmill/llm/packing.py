@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked
+from .common import ranked, save
 from .tokens import WordEncoder
 
 
@@ -91,7 +91,7 @@ def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
     n-th piece of a length takes the n-th place that the plan has for it. Rows that are equal are pieces of their own; an empty table gives
     an empty result.
     """
-    parts = parts.drop("sequence_id", "offset")
+    parts = save(parts.drop("sequence_id", "offset"))  # else the range exchange's sampling would encode all texts once more
     t = ranked(parts, [F.col("length"), F.xxhash64("doc_id", "piece"), F.col("doc_id"), F.col("piece")], "__rank")
     counts = {r["length"]: r["count"] for r in t.groupBy("length").count().collect()}
     base, at = {}, 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -14,15 +15,19 @@ from pyspark.sql import functions as F
 from . import files
 from .common import partitions, save, scratch, worker_state
 
-#: Words that a worker remembers at most; then it starts anew.
-CACHE_WORDS = 800_000
+#: Words that a worker remembers, in each of two generations.
+CACHE_WORDS = 700_000
+#: A full stop or comma that ends an ASCII word is a pre-token of its own.
+WORD_END = re.compile(rb"(?<=[a-z])([.,])(?=\s|$)")
 
 
 class WordEncoder:
-    """Encodes whole texts with a tokenizer whose pre-tokens never hold white space.
+    """Encodes whole texts with a lower-casing tokenizer whose pre-tokens never hold white space.
 
     Such a tokenizer gives a text the ids of its white-space separated words, one after another
-    (tests compare with whole texts), so each worker encodes a word once and keeps its ids.
+    (tests compare with whole texts), so each worker encodes a word once and keeps its ids. ASCII letters alone are
+    one pre-token and go to the tokenizer's model; other words go through all of it. The cache has
+    two generations, so that frequent words stay while its size is bounded.
     """
 
     def __init__(self, path: str) -> None:
@@ -31,24 +36,37 @@ class WordEncoder:
 
         kept = worker_state().__dict__.setdefault("encoders", {})
         if path not in kept:
-            kept[path] = (Tokenizer.from_file(path), {})
-        self.tokenizer, self.ids = kept[path]
+            kept[path] = [Tokenizer.from_file(path), {}, {}]
+        self.kept = kept[path]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        words, ids = text.encode().split(), self.ids
+        data = text.encode()
+        if b"<|" not in data:  # else special tokens may stand there, in one case only
+            data = WORD_END.sub(rb" \1", data.lower())
+        words = data.split()
         try:
-            return b"".join(map(ids.__getitem__, words))
+            return b"".join(map(self.kept[1].__getitem__, words))
         except KeyError:
-            new = list({w for w in words if w not in ids})
-        if len(ids) + len(new) > CACHE_WORDS:
-            ids.clear()
-            new = list(set(words))
-        for i in range(0, len(new), 4096):
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in new[i : i + 4096]], add_special_tokens=False)
-            for w, e in zip(new[i : i + 4096], got):
-                ids[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(ids.__getitem__, words))
+            self._learn(set(words))
+        return b"".join(map(self.kept[1].__getitem__, words))
+
+    def _learn(self, words: set[bytes]) -> None:
+        tokenizer, young, old = self.kept
+        new = [w for w in words if w not in young]
+        if len(young) + len(new) > CACHE_WORDS:
+            young, old, new = {}, young, list(words)
+            self.kept[1:] = [young, old]
+        model, other = tokenizer.model, []
+        for w in new:
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
+            elif w.isalpha() and w.islower():
+                young[w] = b"".join(t.id.to_bytes(4, "little") for t in model.tokenize(w.decode()))
+            else:
+                other.append(w)
+        for w, e in zip(other, tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)):
+            young[w] = np.array(e.ids, "<u4").tobytes()
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, dtype: str = "<u2") -> DataFrame:
