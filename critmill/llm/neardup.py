@@ -13,10 +13,14 @@ from .graph import components
 
 #: Minwise values of a document; the first TREES * BRANCHES choose its root branches, the others those of large nodes.
 VALUES, TREES, BRANCHES = 64, 5, 2
-#: Nodes of at most so many sets are compared exhaustively.
-SMALL = 32
-#: Large nodes branch so many times at most; what is left is compared in tiles.
-DEPTH = 10
+#: Minwise values of which a byte each is compared inside nodes.
+BYTES = 256
+#: Nodes of at most so many sets are compared exhaustively, in one task.
+SMALL = 2048
+#: Nodes of up to so many times SMALL are cut into tiles; larger ones branch, DEPTH times at most.
+TILES, DEPTH = 16, 12
+#: Nearest partners of a set in a node that are confirmed before all others.
+NEAREST = 3
 
 
 def _sets(column: pa.Array, size: int, powers: Powers):
@@ -34,14 +38,16 @@ def _node(s: np.ndarray) -> int | None:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (distinct shingles), node (name of the set; null where empty) and sig (VALUES minwise values)."""
+    """doc_id, n (distinct shingles), node (name of the set; null where empty), sig (VALUES minwise values) and low (a byte of each of BYTES values)."""
     rnd = np.random.default_rng(20240229)
+    c, d = (rnd.integers(0, 1 << 32, BYTES, dtype=np.uint32) for _ in range(2))
+    c |= np.uint32(1)
     a, b = rnd.integers(0, 1 << 63, VALUES, dtype=U64) * U64(2) + U64(1), rnd.integers(0, 1 << 63, VALUES, dtype=U64)
 
     def sign(batches):
         powers = Powers()
         for batch in batches:
-            n, nodes, sigs, held, held_n = [], [], [], [], 0
+            n, nodes, sigs, lows, held, held_n = [], [], [], [], [], 0
 
             def flush():
                 if not held:
@@ -52,6 +58,10 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 for j in range(VALUES):
                     out[:, j] = np.minimum.reduceat((x * a[j] + b[j]) >> U64(32), at)
                 sigs.append(out.view(np.int32))
+                low, x = np.empty((len(held), BYTES), np.uint8), (x >> U64(20)).astype(np.uint32)
+                for j in range(BYTES):
+                    low[:, j] = np.minimum.reduceat(x * c[j] + d[j], at) & np.uint32(255)
+                lows.extend(r.tobytes() for r in low)
 
             for s in _sets(batch.column("text"), size, powers):
                 n.append(len(s))
@@ -66,21 +76,23 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             n = np.array(n, np.int64)
             flat = np.concatenate(sigs) if sigs else np.zeros((0, VALUES), np.int32)
             offsets = np.concatenate(([0], np.cumsum((n > 0) * VALUES))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(offsets, flat.reshape(-1))], names=["doc_id", "n", "node", "sig"])
+            low = iter(lows)
+            low = pa.array([next(low) if k else None for k in n], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(offsets, flat.reshape(-1)), low], names=["doc_id", "n", "node", "sig", "low"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, node long, sig array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, n long, node long, sig array<int>, low binary")
 
 
-def agreeing(a: str, b: str):
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+def _texts(docs: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
+    """node and text of the named sets: names are broadcast where few, joined by shuffle beyond."""
+    wanted = save(names.distinct().join(sets.select("node", "doc_id").hint("merge"), "node"))
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("merge")
+    return save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id").select("node", "text"))
 
 
 def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of set names that pass on their full sets, made anew from whole texts."""
-    names = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = save(names.join(sets.select("node", "doc_id").hint("merge"), "node"))
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("merge")
-    texts = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id").select("node", "text"))
+    texts = _texts(docs, sets, pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
     t = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
     t = t.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
 
@@ -98,36 +110,145 @@ def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, perce
 
     links = save(t.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long").distinct())
     drop_saved(texts)
-    drop_saved(wanted)
     return links
 
 
-def _exhaustive(members: DataFrame, least: int, percent: int) -> DataFrame:
-    """Pairs of each node's sets that aren't in one component yet and whose minwise values may pass."""
-    t = members.groupBy("key").agg(F.collect_list(F.struct("node", "root", "n", "sig")).alias("m"))
+def _grouped(members: DataFrame, *more: str) -> DataFrame:
+    return members.groupBy("key").agg(F.collect_list(F.struct("node", "root", "n", "low", "first", "tree", *more)).alias("m"))
+
+
+def _candidates(m: pa.ListArray, least: int, percent: int):
+    """Pairs (x, y, agreeing bytes) of places in the list's values, node by node: sets of one node that aren't in one component and may pass.
+
+    Sizes must allow it and `least` minwise bytes agree; a pair is told by the first of its nodes only (`first` holds
+    the values that name the earlier ones).
+    """
+    off = m.offsets.to_numpy()
+    get = lambda name: m.values.field(name).to_numpy(zero_copy_only=False)
+    root, n, tree = get("root"), get("n").astype(np.int64), get("tree")
+    low = np.frombuffer(b"".join(m.values.field("low").to_pylist()), np.uint8).reshape(-1, BYTES)
+    first = np.frombuffer(b"".join(m.values.field("first").to_pylist()), np.uint8).reshape(-1, 4 * TREES * BRANCHES).view(np.int32)
+
+    def keep(x, y):
+        ok = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[ok], y[ok]
+        # Nodes of earlier root branches that both sets are in have the pair.
+        earlier = np.arange(TREES * BRANCHES)[None, :] < tree[x][:, None]
+        ok = ~((first[x] == first[y]) & earlier).any(axis=1)
+        x, y = x[ok], y[ok]
+        agree = (low[x] == low[y]).sum(axis=1)
+        ok = agree >= least
+        return x[ok], y[ok], agree[ok]
+
+    sizes = np.diff(off)
+    for k in np.unique(sizes[sizes <= 64]):
+        i, j = np.triu_indices(int(k), 1)
+        step = max(1, 100_000 // max(1, len(i)))
+        at = off[:-1][sizes == k]
+        for lo in range(0, len(at), step):
+            yield keep((at[lo : lo + step, None] + i).ravel(), (at[lo : lo + step, None] + j).ravel())
+    for lo, k in zip(off[:-1][sizes > 64], sizes[sizes > 64]):
+        # In order of size, a set's partners stand in a window after it.
+        by = lo + np.argsort(n[lo : lo + k], kind="stable")
+        ends = np.searchsorted(n[by], 100 * n[by] // percent, "right")
+        found = [keep(np.full(e - i - 1, by[i]), by[i + 1 : e]) for i, e in enumerate(ends) if e > i + 1]
+        if found:
+            yield tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _nearest_pairs(members: DataFrame, least: int, percent: int, nearest: int) -> DataFrame:
+    """Of each set's partners in a node that may pass, the `nearest` ones: a, b."""
 
     def compare(batches):
+        for batch in batches:
+            m, out = batch.column("m"), []
+            for x, y, agree in _candidates(m, least, percent):
+                a, b, s = np.concatenate((x, y)), np.concatenate((y, x)), np.concatenate((agree, agree))
+                by = np.lexsort((b, -s, a))
+                first = np.flatnonzero(np.concatenate(([True], a[by][1:] != a[by][:-1]))) if len(a) else np.zeros(0, np.int64)
+                at = np.arange(len(by)) - np.repeat(first, np.diff(np.concatenate((first, [len(by)]))))
+                out.append((a[by[at < nearest]], b[by[at < nearest]]))
+            node = m.values.field("node").to_numpy(zero_copy_only=False)
+            x, y = (np.concatenate([p[i] for p in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
+            pairs = np.unique(np.stack((np.minimum(node[x], node[y]), np.maximum(node[x], node[y])), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, c]) for c in (0, 1)], names=["a", "b"])
+
+    return _grouped(members).select("m").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _open_members(members: DataFrame, least: int, percent: int) -> DataFrame:
+    """key and node of members that may still pass with one of their node in another component."""
+
+    def mark(batches):
+        for batch in batches:
+            m = batch.column("m")
+            hit = np.unique(np.concatenate([np.zeros(0, np.int64), *(z for x, y, _ in _candidates(m, least, percent) for z in (x, y))]))
+            key = np.repeat(batch.column("key").to_numpy(), np.diff(m.offsets.to_numpy()))
+            node = m.values.field("node").to_numpy(zero_copy_only=False)
+            at = hit - m.offsets[0].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(node[hit])], names=["key", "node"])
+
+    return _grouped(members).mapInArrow(mark, "key long, node long")
+
+
+def _links_in_nodes(members: DataFrame, size: int, least: int, percent: int) -> DataFrame:
+    """Pairs of each node that pass on their full sets; pairs that earlier ones have connected aren't looked at. members carry text."""
+
+    def confirm(batches):
+        powers = Powers()
         for batch in batches:
             m = batch.column("m")
-            off = m.offsets.to_numpy()
-            flat = m.values
-            get = lambda name: flat.field(name).to_numpy(zero_copy_only=False)
-            node, root, n = get("node"), get("root"), get("n").astype(np.int64)
-            sig = flat.field("sig").flatten().to_numpy(zero_copy_only=False).reshape(-1, VALUES)
-            sizes, starts = np.diff(off), off[:-1]
-            for k in np.unique(sizes):
-                i, j = np.triu_indices(int(k), 1)
-                step = max(1, 200_000 // max(1, len(i)))
-                at = starts[sizes == k]
-                for lo in range(0, len(at), step):
-                    x, y = (at[lo : lo + step, None] + i).ravel(), (at[lo : lo + step, None] + j).ravel()
-                    ok = (root[x] != root[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-                    x, y = x[ok], y[ok]
-                    ok = (sig[x] == sig[y]).sum(axis=1) >= least
-                    x, y = node[x[ok]], node[y[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    return t.select("m").mapInArrow(compare, "a long, b long")
+            node = m.values.field("node").to_numpy(zero_copy_only=False)
+            sets = list(_sets(m.values.field("text"), size, powers))
+            ok = [len(s) > 0 and _node(s) == v for s, v in zip(sets, node)]  # not another text under a repeated doc_id
+            above: dict[int, int] = {}
+
+            def find(v):
+                while v in above:
+                    v = above[v]
+                return v
+
+            out, root = [], m.values.field("root").to_numpy(zero_copy_only=False)
+            for x, y, agree in _candidates(m, least, percent):
+                for i in np.argsort(-agree, kind="stable"):
+                    p, q = x[i], y[i]
+                    r, t = find(root[p]), find(root[q])
+                    if r != t and ok[p] and ok[q]:
+                        both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                        if 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both):
+                            out.append((node[p], node[q]))
+                            above[max(r, t)] = min(r, t)
+            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return _grouped(members, "text").select("m").mapInArrow(confirm, "a long, b long")
+
+
+def _nodes(sets: DataFrame) -> DataFrame:
+    """key, node, tree: every member of every node that is compared. Trees branch until a node is small, or small enough for tiles.
+
+    tree is the root branch while no node has branched, so that a pair is known to meet in each; else 0.
+    """
+    branches = [F.struct(F.xxhash64(F.lit(j), F.col("sig")[j]).alias("key"), F.lit(j).alias("tree")) for j in range(TREES * BRANCHES)]
+    front, done = sets.select(F.inline(F.array(*branches)), "node"), None
+    for depth in range(DEPTH + 1):
+        kept = save(front.groupBy("key").agg(F.count(F.lit(1)).alias("cnt")).filter("cnt > 1"))
+        front = save(front.join(kept.hint("merge"), "key"))
+        most = kept.agg(F.max("cnt")).first()[0] or 0
+        wide = (F.col("cnt") > SMALL * TILES) if depth < DEPTH else F.lit(False)
+        small = front.filter(F.col("cnt") <= SMALL).select("key", "node", "tree")
+        if most > SMALL:
+            # Half a node in each tile; a member meets every tile of its node.
+            tiles = F.ceil(2 * F.col("cnt") / SMALL)
+            t = front.filter((F.col("cnt") > SMALL) & ~wide).withColumn("i", F.pmod(F.xxhash64("node"), tiles)).withColumn("j", F.explode(F.sequence(F.lit(0), tiles - 1)))
+            small = small.union(t.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "node", "tree"))
+        done = small if done is None else done.union(small)
+        if most <= SMALL * TILES or depth == DEPTH:
+            return done if depth == 0 else done.withColumn("tree", F.lit(0))
+        rest = VALUES - TREES * BRANCHES
+        chosen = [F.pmod(F.xxhash64("key", F.lit(k)), F.lit(rest)).cast("int") + TREES * BRANCHES for k in range(BRANCHES)]
+        full = front.filter(wide).join(sets.select("node", "sig").hint("merge"), "node")
+        front = full.select(F.explode(F.array(*(F.xxhash64("key", c, F.get("sig", c)) for c in chosen))).alias("key"), "node", F.lit(0).alias("tree"))
+    return done
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -138,73 +259,45 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     percent * union, confirmed on full sets.
 
     Equal sets become one member. Every member goes down TREES independent trees, BRANCHES minwise values
-    at the root of each; a node holds the members that agree on all values chosen on its path. At a
-    Jaccard similarity of 0.8, a pair is lost in a tree with probability 0.0625 at most (the root of q =
-    (0.2 + 0.8 q)^2), so five trees lose fewer than 1 pair in 10^6. In each round the members of a node are compared with its first one (so a large
-    group of near copies becomes one component at linear cost); nodes inside one component need nothing more; small
-    mixed nodes are compared exhaustively; large mixed nodes branch on two further values chosen by the node. What is still large after
-    DEPTH rounds is compared in tiles, so nothing is dropped. Comparisons use minwise values
-    (at least 35 of 64 agree; a passing pair fails that once in 10^6) before full sets.
+    at the root of each; a node holds the members that agree on all values chosen on its path. A node beyond
+    SMALL * TILES members branches on two further values of its own choice; at a Jaccard similarity of 0.8 a pair is then lost in a
+    tree with probability 0.0625 at most (the root of q = (0.2 + 0.8 q)^2), so five trees lose fewer than 1 pair in 10^6. Small
+    nodes are compared exhaustively, larger ones in tiles, by a byte of each of BYTES minwise values (a pair at the threshold
+    misses the least agreement, 4.8 standard deviations below its mean, once in 10^6), and what may pass goes to full sets, in two steps: first each member's nearest
+    partners, which make a group of near copies one component at linear cost; then all pairs that are not yet inside one
+    component, inside the node's task, so that only links leave it. Nothing is capped: pairs inside a component can't change it.
 
     Null and blank texts have no set, link with nothing and stay. A null doc_id links only with equal sets
     and is no component_id unless all are null. Repeated rows are one document; of rows that share a doc_id but not a
     text, either may be confirmed. Columns other than doc_id and text are not read. An empty table gives an empty result.
     """
-    least = int(0.55 * VALUES * percent / 80)
+    p = percent / 100
+    least = int(BYTES * (p - 4.8 * (p * (1 - p) / BYTES) ** 0.5))
     signed = save(signatures(docs, size))
     by_set = signed.filter("node IS NOT NULL").groupBy("node")
-    sets = save(by_set.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    branches = [F.xxhash64(F.lit(j), F.col("sig")[j]) for j in range(TREES * BRANCHES)]
-    front = sets.select(F.explode(F.array(*branches)).alias("key"), "node")
-    links, roots, pending = None, None, None
-    for depth in range(DEPTH + 2):
-        # Nodes of one member are done.
-        kept = save(front.groupBy("key").agg(F.count(F.lit(1)).alias("cnt"), F.min("node").alias("pivot")).filter("cnt > 1"))
-        front = save(front.join(kept.hint("merge"), "key"))
-        pairs = front.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        if roots is not None:
-            name = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")).hint("merge")
-            pairs = pairs.join(name("a"), "a", "left").join(name("b"), "b", "left")
-            pairs = pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-        known = sets.select("node", "n", "sig")
-        side = lambda c: known.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}")).hint("merge")
-        pairs = pairs.join(side("b"), "b").join(side("a"), "a")
-        pairs = pairs.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (agreeing("sig_a", "sig_b") >= least)).select("a", "b")
-        pairs = save(pairs if pending is None else pairs.union(pending).distinct())
-        if not pairs.isEmpty():
-            new = _verify(docs, sets, pairs, size, percent)
-            links = new if links is None else save(links.union(new))
-            roots = components(links)
-        drop_saved(pairs)
-        if depth == DEPTH + 1 or front.isEmpty():
-            break
-        # Members with their components; nodes inside one component are done.
-        named = front if roots is None else front.join(roots.hint("merge"), "node", "left")
-        named = named.select("key", "node", "cnt", (F.col("node") if roots is None else F.coalesce("root", "node")).alias("root"))
-        mixed = save(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"))
-        if mixed.isEmpty():
-            break
-        named = save(named.join(mixed.hint("merge"), "key", "left_semi"))
-        full = named.join(sets.select("node", "n", "sig").hint("merge"), "node")
-        if depth == DEPTH:
-            # Tiles of about half of SMALL; a member meets every tile of its node.
-            tiles = F.ceil(2 * F.col("cnt") / SMALL)
-            full = full.withColumn("i", F.pmod(F.xxhash64("node"), tiles)).withColumn("j", F.explode(F.sequence(F.lit(0), tiles - 1)))
-            full = full.withColumn("key", F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")))
-            pending, front = save(_exhaustive(full, least, percent).distinct()), front.limit(0).select("key", "node")
-        else:
-            pending = save(_exhaustive(full.filter(F.col("cnt") <= SMALL), least, percent).distinct())
-            rest = VALUES - TREES * BRANCHES
-            chosen = [F.pmod(F.xxhash64("key", F.lit(k)), F.lit(rest)).cast("int") + TREES * BRANCHES for k in range(BRANCHES)]
-            front = full.filter(F.col("cnt") > SMALL).select(F.explode(F.array(*(F.xxhash64("key", c, F.get("sig", c)) for c in chosen))).alias("key"), "node")
+    sets = save(by_set.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low")))
+    root_values = F.concat(*(F.unhex(F.lpad(F.hex(F.col("sig")[j].cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")) for j in range(TREES * BRANCHES)))
+    known = sets.select("node", "n", "low", root_values.alias("first"))
+    nodes = _nodes(sets)
+    full = nodes.withColumn("root", F.col("node")).join(known.hint("merge"), "node")
+    pairs = save(_nearest_pairs(full, least, percent, NEAREST))
+    links = _verify(docs, sets, pairs, size, percent)
+    roots = components(links)
+    # Nodes inside one component need nothing more.
+    named = save(nodes.join(roots.hint("merge"), "node", "left").select("key", "node", "tree", F.coalesce("root", "node").alias("root")))
+    mixed = save(named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key"))
+    full = named.join(mixed.hint("merge"), "key", "left_semi").join(known.hint("merge"), "node")
+    left = save(_open_members(full, least, percent))
+    if not left.isEmpty():
+        texts = _texts(docs, sets, left.select("node"))
+        full = named.join(left.hint("merge"), ["key", "node"], "left_semi").join(known.hint("merge"), "node").join(texts.hint("merge"), "node")
+        more = save(_links_in_nodes(full, size, least, percent))
+        drop_saved(texts)
+        roots = components(links.union(more))
     # A component's name is its smallest doc_id.
-    names = sets.select("node", "doc_id")
-    if roots is not None:
-        named = save(names.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")))
-        least_id = save(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-        names = named.join(least_id.hint("merge"), "root").select("node", "component_id")
-    else:
-        names = names.select("node", F.col("doc_id").alias("component_id"))
+    named = save(sets.select("node", "doc_id").join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least_id = save(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    names = named.join(least_id.hint("merge"), "root").select("node", "component_id")
     names = save(names)
     out = signed.select("doc_id", "n", "node").join(names.hint("merge"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
