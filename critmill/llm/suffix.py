@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import Powers, U64, mix64, partitions, save, text_chunks
+from . import files
+from .common import Powers, U64, mix64, partitions, save, scratch, text_chunks
 
 #: Bytes of the anchors that route windows.
 ANCHOR = 16
 #: Bytes that a suffix array takes at once; larger buckets are cut into several, merged by binary search.
 SHARD_BYTES = 4 << 20
 LAST = (1 << 63) - 1
+#: Bytes of text in a shard of documents.
+SHARD_TEXT = 8 << 20
+ID = "__doc"
 
 
 def _words(data: np.ndarray, order: str = "<u8") -> np.ndarray:
@@ -173,72 +175,147 @@ def _least_of_equal(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndar
     return doc[by][new][group] if len(by) else doc, group
 
 
-BLOB = pa.schema([("bucket", pa.int64()), ("runs", pa.bool_()), ("blob", pa.binary())])
-SPAN = pa.schema([("doc_id", pa.int64()), ("span", pa.int64())])
+def pack_shards(docs: DataFrame) -> DataFrame:
+    """shard and blob: documents in runs of about SHARD_TEXT bytes, each one compressed row, written once.
+
+    Later steps come back to the same shard by its number, and keep what they know of it in a file of that
+    name in the shared folder, so that texts never move.
+    """
+
+    def pack(batches):
+        number = TaskContext.get().partitionId() << 24
+        for batch in batches:
+            for lo, hi, _, _ in text_chunks(batch.column("text"), SHARD_TEXT):
+                sink, part = pa.BufferOutputStream(), batch.slice(lo, hi - lo)
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["shard", "blob"])
+                number += 1
+
+    return save(docs.mapInArrow(pack, "shard long, blob binary"))
+
+
+def _open(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(blob).read_all().combine_chunks().to_batches()[0]
 
 
-def _local(batches, length: int, buckets: int):
-    """A shard of documents: spans that a smaller document of the same shard covers by an equal run, and the other runs by bucket.
+def _runs(batch: pa.RecordBatch, length: int, powers: Powers):
+    """Runs of a shard: row, doc_id, first byte in the text, bytes, anchor, hash, and the bytes of each run one after another."""
+    ids, runs = batch.column(ID).to_numpy(), []
+    for lo, _, data, offsets in text_chunks(batch.column("text")):
+        text, start, end, anchor = anchored_runs(data, offsets, length)
+        if len(start):
+            h = powers.spans(powers.prefix(data), start, end)
+            runs.append((lo + text, ids[lo + text], start - offsets[text], end - start, anchor, h, data, start))
+    return runs
 
-    Both go as compressed blobs of arrays, so that the exchange moves few rows; spans may go to any bucket.
+
+def _anchors(shards: DataFrame, length: int, bits: int, folder: str) -> None:
+    """Writes for each shard which of its distinct anchors (cut to 32 + bits bits, in order) other shards have too: a byte each.
+
+    Only distinct cut anchors move, four bytes each, in one blob for a shard and bucket; a false match of cut anchors only
+    costs work.
     """
-    powers, zip_, turn = Powers(), zstandard.ZstdCompressor(level=1), 7919 * TaskContext.get().partitionId()
-    for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
-        runs = []
-        for lo, _, data, offsets in text_chunks(batch.column("text")):
-            text, start, end, anchor = anchored_runs(data, offsets, length)
-            if len(start):
-                h = powers.spans(powers.prefix(data), start, end)
-                runs.append((ids[lo + text], start - offsets[text], end - start, anchor, h, _pieces(data, start, end - start)))
-        if not runs:
-            continue
-        doc, start, size, anchor, h, data = (np.concatenate(x) for x in zip(*runs))
-        del runs
-        first = np.concatenate(([0], np.cumsum(size)))
-        least, _ = _least_of_equal(h, doc)
-        covered = np.flatnonzero(doc > least)
-        for at in range(0, len(covered), 50_000):
-            c, turn = covered[at : at + 50_000], turn + 1
-            c = c[np.lexsort((start[c], doc[c]))]
-            blob = zip_.compress(doc[c].astype("<i8").tobytes() + (start[c] << 32 | (start + size)[c]).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([turn % buckets], pa.int64()), pa.array([False]), pa.array([blob], pa.binary())], schema=BLOB)
-        rest = np.flatnonzero(doc == least)
-        bucket = (anchor[rest] % U64(buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        rest, bucket = rest[by], bucket[by]
-        cut = np.concatenate((np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), [len(rest)]))
-        for lo in range(0, len(cut) - 1, 64):
-            numbers, blobs = [], []
-            for a, b in zip(cut[lo : lo + 64], cut[lo + 1 : lo + 65]):
-                r = rest[a:b]
-                head = np.array([len(r)], "<i8").tobytes() + doc[r].astype("<i8").tobytes() + start[r].astype("<i4").tobytes() + size[r].astype("<i4").tobytes() + (anchor[r] >> U64(32)).astype("<u4").tobytes()
-                blobs.append(zip_.compress(head + _pieces(data, first[r], size[r]).tobytes()))
-                numbers.append(bucket[a])
-            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([True] * len(blobs)), pa.array(blobs, pa.binary())], schema=BLOB)
-
-
-def _bucket_spans(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (doc, start, end) of one bucket's runs that hold windows of a smaller document."""
+
+    def send(batches):
+        powers = Powers()
+        for b in batches:
+            for shard, blob in zip(b.column("shard").to_pylist(), b.column("blob").to_pylist()):
+                runs = _runs(_open(blob), length, powers)
+                a = np.unique(np.concatenate([np.zeros(0, U64), *(r[4] for r in runs)]) >> U64(32 - bits))
+                bucket = (a >> U64(32)).astype(np.int64)
+                cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(a) else np.zeros(0, np.int64)
+                parts = [x.astype(np.uint32).tobytes() for x in np.split(a, cut[1:])] if len(a) else []
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(np.full(len(cut), shard)), pa.array(parts, pa.binary())], names=["bucket", "shard", "anchors"])
+
+    def shared(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint32) for x in table.column("anchors").to_pylist()]
+        value, count = np.unique(np.concatenate(parts), return_counts=True)
+        many = count > 1
+        masks = [many[np.searchsorted(value, p)].astype(np.uint8).tobytes() for p in parts]
+        return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "mask": pa.array(masks, pa.binary())})
+
+    def keep(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
+        files.write(f"{folder}/{table.column('shard')[0].as_py()}.mask", table.column("mask").to_pylist())
+        return table.select(["shard"]).slice(0, 1)
+
+    sent = shards.mapInArrow(send, "bucket long, shard long, anchors binary").repartition(1 << bits, "bucket")
+    masks = sent.groupBy("bucket").applyInArrow(shared, "shard long, bucket long, mask binary")
+    masks.repartition(partitions(shards.sparkSession), "shard").groupBy("shard").applyInArrow(keep, "shard long").count()
+
+
+BLOB = pa.schema([("bucket", pa.int64()), ("runs", pa.bool_()), ("shard", pa.int64()), ("blob", pa.binary())])
+
+
+def _local(batches, length: int, bits: int, folder: str):
+    """Runs whose anchor is shared: spans that a smaller document of the same shard covers by an equal run, and the other runs by bucket.
+
+    Both go as compressed blobs of arrays, so that the exchange moves few rows.
+    """
+    powers, zip_ = Powers(), zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        for shard, blob in zip(b.column("shard").to_pylist(), b.column("blob").to_pylist()):
+            runs = _runs(_open(blob), length, powers)
+            if not runs:
+                continue
+            row, doc, start, size, anchor, h = (np.concatenate([r[k] for r in runs]) for k in range(6))
+            cut, at = np.unique(anchor >> U64(32 - bits), return_inverse=True)
+            mask = np.array(files.mapped(f"{folder}/{shard}.mask", "u1")) > 0
+            if len(mask) != len(cut):
+                raise ValueError("a shard's anchors differ from those that were counted")
+            # Anchors that several documents of this shard have.
+            low, high = np.full(len(cut), LAST), np.full(len(cut), -LAST)
+            np.minimum.at(low, at, doc)
+            np.maximum.at(high, at, doc)
+            ok = (mask | (low < high))[at]
+            data = np.concatenate([_pieces(r[6], r[7][k], r[3][k]) for r, k in zip(runs, np.split(ok, np.cumsum([len(r[0]) for r in runs])[:-1]))])
+            del runs
+            row, doc, start, size, anchor, h = (x[ok] for x in (row, doc, start, size, anchor, h))
+            first = np.concatenate(([0], np.cumsum(size)))
+            least, _ = _least_of_equal(h, doc)
+            covered = np.flatnonzero(doc > least)
+            rows = []
+            if len(covered):
+                rows.append((shard % (1 << bits), False, _span_blob(row[covered], start[covered], (start + size)[covered])))
+            rest = np.flatnonzero(doc == least)
+            bucket = (anchor[rest] >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(rest), np.int64)
+            by = np.argsort(bucket, kind="stable")
+            rest, bucket = rest[by], bucket[by]
+            edge = np.concatenate((np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))), [len(rest)])) if len(rest) else [0]
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                r = rest[lo:hi]
+                head = np.array([len(r)], "<i8").tobytes() + doc[r].astype("<i8").tobytes() + b"".join(x[r].astype("<i4").tobytes() for x in (row, start, size)) + (anchor[r] >> U64(max(0, 32 - bits))).astype("<u4").tobytes()
+                rows.append((int(bucket[lo]), True, zip_.compress(head + _pieces(data, first[r], size[r]).tobytes())))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([shard] * len(rows), pa.int64()), pa.array([r[2] for r in rows], pa.binary())], schema=BLOB)
+
+
+def _span_blob(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
+    by = np.lexsort((start, row))
+    return zstandard.ZstdCompressor(level=3).compress(np.concatenate((row[by], start[by], end[by])).astype("<i4").tobytes())
+
+
+def _bucket_spans(blobs: list[tuple[int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (shard, row, start, end) of one bucket's runs that hold windows of a smaller document."""
     parts, unzip = [], zstandard.ZstdDecompressor()
-    for blob in blobs:
+    for shard, blob in blobs:
         raw = unzip.decompress(blob, max_output_size=1 << 31)
         n = int(np.frombuffer(raw, "<i8", 1)[0])
-        doc, start, size, anchor = (np.frombuffer(raw, t, n, 8 + o * n) for t, o in (("<i8", 0), ("<i4", 8), ("<i4", 12), ("<u4", 16)))
-        parts.append((doc, start.astype(np.int64), size.astype(np.int64), anchor, np.frombuffer(raw, np.uint8, offset=8 + 20 * n)))
-    doc, start, size, anchor = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        doc, row, start, size, anchor = (np.frombuffer(raw, t, n, 8 + o * n) for t, o in (("<i8", 0), ("<i4", 8), ("<i4", 12), ("<i4", 16), ("<u4", 20)))
+        parts.append((doc, start.astype(np.int64), size.astype(np.int64), anchor, np.full(n, shard), row, np.frombuffer(raw, np.uint8, offset=8 + 24 * n)))
+    doc, start, size, anchor, shard, row = (np.concatenate([p[k] for p in parts]) for k in range(6))
     # Anchors of one document need nothing.
     by = np.lexsort((doc, anchor))
     new = np.flatnonzero(np.concatenate(([True], anchor[by][1:] != anchor[by][:-1])))
     last = np.concatenate((new[1:], [len(by)])) - 1
     shared = np.zeros(len(doc), bool)
     shared[by] = np.repeat(doc[by][new] != doc[by][last], last - new + 1)
-    data = np.concatenate([_pieces(p[4], np.concatenate(([0], np.cumsum(p[2])[:-1]))[k], p[2][k]) for p, k in zip(parts, np.split(shared, np.cumsum([len(p[0]) for p in parts])[:-1]))])
+    data = np.concatenate([_pieces(p[6], np.concatenate(([0], np.cumsum(p[2])[:-1]))[k], p[2][k]) for p, k in zip(parts, np.split(shared, np.cumsum([len(p[0]) for p in parts])[:-1]))])
     del parts
-    doc, start, size, anchor = doc[shared], start[shared], size[shared], anchor[shared]
+    doc, start, size, anchor, shard, row = (x[shared] for x in (doc, start, size, anchor, shard, row))
     none = np.zeros(0, np.int64)
     if not len(doc):
-        return none, none, none
+        return none, none, none, none
     # Equal runs count once, with their least document; the others of them are covered whole.
     first = np.concatenate(([0], np.cumsum(size)))
     powers, h, lo = Powers(), np.empty(len(doc), U64), 0
@@ -248,7 +325,7 @@ def _bucket_spans(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
         lo = hi
     least, group = _least_of_equal(h, doc)
     whole = doc > least
-    spans = [(doc[whole], start[whole], (start + size)[whole])]
+    spans = [(shard[whole], row[whole], start[whole], (start + size)[whole])]
     one = np.zeros(group.max() + 1, np.int64)
     one[group] = np.arange(len(group))  # an entry for each distinct run
     # An anchor whose runs are all equal is done: nothing else holds their windows.
@@ -285,71 +362,85 @@ def _bucket_spans(blobs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarr
         lo, hi = np.searchsorted(group[mine], g, "left"), np.searchsorted(group[mine], g, "right")
         many = hi - lo
         which = mine[np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())]
-        spans.append((doc[which], start[which] + np.repeat(s, many), start[which] + np.repeat(e, many)))
+        spans.append((shard[which], row[which], start[which] + np.repeat(s, many), start[which] + np.repeat(e, many)))
     return tuple(np.concatenate(x) for x in zip(*spans))
 
 
-def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id and span (start * 2^32 + end, in bytes) made of windows that a document of a smaller doc_id holds; spans may overlap."""
-    spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(partitions(spark), total // (4 << 20))
+def _write_spans(shards: DataFrame, length: int, bits: int, folder: str) -> None:
+    """Writes for each shard the spans (row, start, end) of windows that a document of a smaller doc_id holds; they may overlap."""
+    spark = shards.sparkSession
 
     def merge(table: pa.Table) -> pa.Table:
-        docs, spans, runs = [], [], []
-        for is_run, blob in zip(table.column("runs").to_pylist(), table.column("blob").to_pylist()):
+        runs, shard_of, blobs = [], [], []
+        for is_run, shard, blob in zip(*(table.column(c).to_pylist() for c in ("runs", "shard", "blob"))):
             if is_run:
-                runs.append(blob)
+                runs.append((shard, blob))
             else:
-                both = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<i8")
-                docs.append(both[: len(both) // 2])
-                spans.append(both[len(both) // 2 :])
+                shard_of.append(shard)
+                blobs.append(blob)
         if runs:
-            doc, s, e = _bucket_spans(runs, length)
-            docs.append(doc)
-            spans.append(s << 32 | e)
-        return pa.Table.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(spans))], schema=SPAN)
-
-    routed = docs.mapInArrow(lambda it: _local(it, length, buckets), "bucket long, runs boolean, blob binary").repartition(buckets, "bucket")
-    return save(routed.groupBy("bucket").applyInArrow(merge, "doc_id long, span long"))
+            shard, row, s, e = _bucket_spans(runs, length)
+            by = np.argsort(shard, kind="stable")
+            shard, row, s, e = shard[by], row[by], s[by], e[by]
+            cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
+            for lo, hi in zip(cut, [*cut[1:], len(shard)]):
+                shard_of.append(int(shard[lo]))
+                blobs.append(_span_blob(row[lo:hi], s[lo:hi], e[lo:hi]))
+        return pa.table({"shard": pa.array(shard_of, pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+    def keep(table: pa.Table) -> pa.Table:
+        unzip = zstandard.ZstdDecompressor()
+        parts = [np.frombuffer(unzip.decompress(x), "<i4").reshape(3, -1) for x in table.column("blob").to_pylist() if x is not None]
+        both = np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), "<i4")
+        files.write(f"{folder}/{table.column('shard')[0].as_py()}.spans", [np.ascontiguousarray(both[:, np.lexsort((both[1], both[0]))]).tobytes()])
+        return table.select(["shard"]).slice(0, 1)
+
+    sent = shards.mapInArrow(lambda it: _local(it, length, bits, folder), "bucket long, runs boolean, shard long, blob binary").repartition(1 << bits, "bucket")
+    spans = sent.groupBy("bucket").applyInArrow(merge, "shard long, blob binary")
+    # Every shard gets a file, so that a missing one is an error.
+    spans = spans.union(shards.select("shard", F.lit(None).cast("binary")))
+    spans.repartition(partitions(spark), "shard").groupBy("shard").applyInArrow(keep, "shard long").count()
 
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and kept (the bytes left, in order) to every row.
 
     A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller
-    doc_id; all strings are judged on the input. Windows are routed by an anchor in their own content, so equal windows of any
-    documents meet in one bucket. A bucket's distinct runs are sorted by a suffix array, Kasai prefixes of at least
+    doc_id; all strings are judged on the input. Documents are packed into shards that stay where they are. Windows are routed by an
+    anchor in their own content, so equal windows of any documents meet in one bucket; anchors that stand in one document only are
+    found first and send nothing. A bucket's distinct runs are sorted by a suffix array, Kasai prefixes of at least
     `length` bytes join equal windows, and buckets beyond SHARD_BYTES are cut into shards whose windows are found in each other by
     binary search.
 
-    Null and empty texts have no bytes and stay. A null doc_id counts as larger than all others. Repeated rows never cover
-    each other, and rows of one doc_id share their spans. Texts shorter than `length` are untouched; an empty
+    Null and empty texts have no bytes and stay. A null doc_id counts as larger than all others. Rows of one doc_id never cover
+    each other. Texts shorter than `length` (17 to 2^16 bytes) are untouched; an empty
     table gives an empty result. Input columns named as the added ones are replaced.
     """
+    spark = docs.sparkSession
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    spans = repeated_spans(docs.select(key.alias("doc_id"), "text"), length)
-    # The runs' exchange is larger than the texts; nothing refers to it now, so Spark may delete its files before the next one.
-    gc.collect()
-    docs.sparkSession.sparkContext._jvm.System.gc()
-    spans = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("span").alias("__spans"))
-    t = docs.withColumn("__id", key).join(spans.hint("merge"), "__id", "left")
-
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
-    def cut(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y in zip(text, spans):
-            data = np.frombuffer((x or "").encode(), np.uint8)
-            edge = np.zeros(len(data) + 1, np.int64)
-            if y is not None:
-                y = np.asarray(y)
-                s, e = np.minimum(y >> 32, len(data)), np.minimum(y & 0xFFFFFFFF, len(data))
-                np.add.at(edge, s, 1)
-                np.subtract.at(edge, e, 1)
-            gone = np.cumsum(edge)[:-1] > 0
-            begins = gone & ~np.concatenate(([False], gone[:-1])) if len(data) else gone
-            rows.append((len(data), int(gone.sum()), int(begins.sum()), data[~gone].tobytes()))
-        return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
-
-    return t.withColumn("__c", cut("text", "__spans")).select(*docs.columns, "__c.n_bytes", "__c.n_removed", "__c.n_spans", "__c.kept")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = int(max(partitions(spark), total // (4 << 20)) - 1).bit_length()
+    shards, folder = pack_shards(docs.withColumn(ID, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))), scratch(spark)
+    _anchors(shards, length, bits, folder)
+    _write_spans(shards, length, bits, folder)
+    names = docs.columns
+    schema = StructType(list(docs.schema.fields)).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
+
+    def cut(batches):
+        for b in batches:
+            for shard, blob in zip(b.column("shard").to_pylist(), b.column("blob").to_pylist()):
+                batch = _open(blob)
+                row, s, e = np.array(files.mapped(f"{folder}/{shard}.spans", "<i4")).reshape(3, -1)
+                at, out = np.searchsorted(row, np.arange(batch.num_rows + 1)), []
+                for i, text in enumerate(batch.column("text").to_pylist()):
+                    data = np.frombuffer((text or "").encode(), np.uint8)
+                    edge = np.zeros(len(data) + 1, np.int64)
+                    np.add.at(edge, s[at[i] : at[i + 1]], 1)
+                    np.subtract.at(edge, e[at[i] : at[i + 1]], 1)
+                    gone = np.cumsum(edge)[:-1] > 0
+                    begins = gone & ~np.concatenate(([False], gone[:-1])) if len(data) else gone
+                    out.append((len(data), int(gone.sum()), int(begins.sum()), data[~gone].tobytes()))
+                new = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new], names=[*names, "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return shards.mapInArrow(cut, schema)
