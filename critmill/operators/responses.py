@@ -91,9 +91,15 @@ def _text_field(v: Column, name: str) -> Column:
     return let(_field(v, name, "variant"), lambda x: F.when(_kind(x) == "STRING", F.try_variant_get(x, "$", "string")))
 
 
+def parse_strict(text: Column) -> Column:
+    """The parsed text, or null where it is no JSON or more stands after it (the built-in parser stops at the end of the first value)."""
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return let(whole, lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant")))
+
+
 def payload(raw: Column) -> Column:
     """The text of an envelope, from its first bracket, without code fences; null if there is none."""
-    v = F.try_parse_json(raw)
+    v = parse_strict(raw)
     filled = lambda n: let(_text_field(v, n), lambda t: F.when(trimmed(t) != "", t))
     text = F.when(v.isNull(), raw).when(_kind(v) == "OBJECT", F.coalesce(*map(filled, TEXT_FIELDS))).when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(raw)
     text = F.regexp_replace(F.regexp_replace(text, r"(?i)^\s*```(?:json)?\s*\r?\n?", ""), r"\r?\n?\s*```\s*$", "")
@@ -109,9 +115,9 @@ def parse_responses(df: DataFrame) -> DataFrame:
     spark.sql.variant.allowDuplicateKeys=true.
     """
     t = df.select("nct_id", F.when(trimmed(F.col("raw")) != "", payload(F.col("raw"))).alias("text"))
-    t = t.withColumn("strict", F.try_parse_json("text"))
+    t = t.withColumn("strict", parse_strict(F.col("text")))
     t = t.withColumn("mended", repair_json(F.when(F.col("strict").isNull(), F.col("text"))))
-    t = t.withColumn("second", F.try_parse_json(F.when(F.col("mended") != F.col("text"), F.col("mended"))))
+    t = t.withColumn("second", parse_strict(F.when(F.col("mended") != F.col("text"), F.col("mended"))))
     t = t.withColumn("was_repaired", F.col("strict").isNull() & F.col("second").isNotNull()).withColumn("root", F.coalesce("strict", "second"))
     root = F.col("root")
     items = F.when(_kind(root) == "ARRAY", F.try_variant_get(root, "$", "array<variant>")).when(_kind(root) == "OBJECT", F.array(root))

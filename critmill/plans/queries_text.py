@@ -108,11 +108,11 @@ def e19_generated_text(t):
 
 
 @query("""SELECT attempt_id, CAST(llm_prompt_tokens AS DOUBLE) / 60 AS rate, (llm_prompt_tokens * 5 + llm_completion_tokens * 25) / 1000000.0 AS cost, least(1.0, attempt_id / 100.0) AS part,
-    CASE WHEN attempt_id > 0 THEN started_at + to_seconds(6000.0 / attempt_id) END AS eta FROM b_study_attempt WHERE attempt_id % 16 IN (0, 1, 2, 4, 8)""")
+    CASE WHEN attempt_id > 0 THEN date_trunc('second', started_at + to_seconds(6000.0 / attempt_id) + INTERVAL 1 MILLISECOND) END AS eta FROM b_study_attempt WHERE attempt_id % 16 IN (0, 1, 2, 4, 8)""")
 def e22_throughput(t):
     a = t.b_study_attempt.filter("attempt_id % 16 IN (0, 1, 2, 4, 8)").withColumn("finished_at", F.col("started_at") + F.expr("INTERVAL 60 SECONDS"))
     return a.select("attempt_id", tx.tokens_per_second(F.col("llm_prompt_tokens"), F.col("started_at"), F.col("finished_at")).alias("rate"), tx.token_cost(F.col("llm_prompt_tokens"), F.col("llm_completion_tokens")).cast("double").alias("cost"),
-        tx.run_fraction(F.col("attempt_id"), F.lit(100)).alias("part"), tx.eta(F.col("started_at"), F.col("finished_at"), F.col("attempt_id"), F.lit(100)).alias("eta"))
+        tx.run_fraction(F.col("attempt_id"), F.lit(100)).alias("part"), tx.eta(F.col("started_at"), F.col("finished_at"), F.col("attempt_id"), F.lit(100)).alias("eta0")).withColumn("eta", F.date_trunc("second", F.col("eta0") + F.expr("INTERVAL 1 MILLISECOND")).cast("timestamp_ntz")).drop("eta0")
 
 
 # Terminology files.
