@@ -157,7 +157,8 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[n
     change = h[1:] != h[:-1]
     start = np.flatnonzero(ok & np.concatenate(([True], ~ok[:-1] | change)))
     end = np.flatnonzero(ok & np.concatenate((~ok[1:] | change, [True]))) + length
-    return text[start], start, end, h[start]
+    # Least hashes crowd near 0; mixed once more, their leading bits spread them over buckets.
+    return text[start], start, end, mix64(h[start])
 
 
 def _pieces(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
