@@ -17,8 +17,8 @@ VALUES, TREES, BRANCHES = 64, 5, 2
 BYTES = 256
 #: Nodes of at most so many sets are compared exhaustively, in one task.
 SMALL = 2048
-#: Nodes of up to so many times SMALL are cut into tiles; larger ones branch, DEPTH times at most.
-TILES, DEPTH = 16, 12
+#: Larger nodes branch, so many times at most; what is still large is cut into tiles.
+DEPTH = 3
 #: Nearest partners of a set in a node that are confirmed before all others.
 NEAREST = 3
 
@@ -223,32 +223,31 @@ def _links_in_nodes(members: DataFrame, size: int, least: int, percent: int) ->
     return _grouped(members, "text").select("m").mapInArrow(confirm, "a long, b long")
 
 
-def _nodes(sets: DataFrame) -> DataFrame:
-    """key, node, tree: every member of every node that is compared. Trees branch until a node is small, or small enough for tiles.
-
-    tree is the root branch while no node has branched, so that a pair is known to meet in each; else 0.
-    """
+def _nodes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, node, tree (root branch): every member of every node that is compared; and node, wide: root branches of a member that had to branch further."""
     branches = [F.struct(F.xxhash64(F.lit(j), F.col("sig")[j]).alias("key"), F.lit(j).alias("tree")) for j in range(TREES * BRANCHES)]
-    front, done = sets.select(F.inline(F.array(*branches)), "node"), None
+    front, done, wide = sets.select(F.inline(F.array(*branches)), "node"), None, None
     for depth in range(DEPTH + 1):
         kept = save(front.groupBy("key").agg(F.count(F.lit(1)).alias("cnt")).filter("cnt > 1"))
         front = save(front.join(kept.hint("merge"), "key"))
-        most = kept.agg(F.max("cnt")).first()[0] or 0
-        wide = (F.col("cnt") > SMALL * TILES) if depth < DEPTH else F.lit(False)
         small = front.filter(F.col("cnt") <= SMALL).select("key", "node", "tree")
-        if most > SMALL:
+        done = small if done is None else done.union(small)
+        large = front.filter(F.col("cnt") > SMALL)
+        if wide is None:
+            wide = save(large.groupBy("node").agg(F.collect_set("tree").alias("wide")))
+        if (kept.agg(F.max("cnt")).first()[0] or 0) <= SMALL:
+            break
+        if depth == DEPTH:
             # Half a node in each tile; a member meets every tile of its node.
             tiles = F.ceil(2 * F.col("cnt") / SMALL)
-            t = front.filter((F.col("cnt") > SMALL) & ~wide).withColumn("i", F.pmod(F.xxhash64("node"), tiles)).withColumn("j", F.explode(F.sequence(F.lit(0), tiles - 1)))
-            small = small.union(t.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "node", "tree"))
-        done = small if done is None else done.union(small)
-        if most <= SMALL * TILES or depth == DEPTH:
-            return done if depth == 0 else done.withColumn("tree", F.lit(0))
+            t = large.withColumn("i", F.pmod(F.xxhash64("node"), tiles)).withColumn("j", F.explode(F.sequence(F.lit(0), tiles - 1)))
+            done = done.union(t.select(F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), "node", "tree"))
+            break
         rest = VALUES - TREES * BRANCHES
         chosen = [F.pmod(F.xxhash64("key", F.lit(k)), F.lit(rest)).cast("int") + TREES * BRANCHES for k in range(BRANCHES)]
-        full = front.filter(wide).join(sets.select("node", "sig").hint("merge"), "node")
-        front = full.select(F.explode(F.array(*(F.xxhash64("key", c, F.get("sig", c)) for c in chosen))).alias("key"), "node", F.lit(0).alias("tree"))
-    return done
+        full = large.join(sets.select("node", "sig").hint("merge"), "node")
+        front = full.select(F.explode(F.array(*(F.xxhash64("key", c, F.get("sig", c)) for c in chosen))).alias("key"), "node", "tree").distinct()
+    return done, wide
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -260,9 +259,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     Equal sets become one member. Every member goes down TREES independent trees, BRANCHES minwise values
     at the root of each; a node holds the members that agree on all values chosen on its path. A node beyond
-    SMALL * TILES members branches on two further values of its own choice; at a Jaccard similarity of 0.8 a pair is then lost in a
+    SMALL members branches on two further values of its own choice; at a Jaccard similarity of 0.8 a pair is then lost in a
     tree with probability 0.0625 at most (the root of q = (0.2 + 0.8 q)^2), so five trees lose fewer than 1 pair in 10^6. Small
-    nodes are compared exhaustively, larger ones in tiles, by a byte of each of BYTES minwise values (a pair at the threshold
+    nodes are compared exhaustively, what is large after DEPTH branchings in tiles, by a byte of each of BYTES minwise values (a pair at the threshold
     misses the least agreement, 4.8 standard deviations below its mean, once in 10^6), and what may pass goes to full sets, in two steps: first each member's nearest
     partners, which make a group of near copies one component at linear cost; then all pairs that are not yet inside one
     component, inside the node's task, so that only links leave it. Nothing is capped: pairs inside a component can't change it.
@@ -276,9 +275,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     signed = save(signatures(docs, size))
     by_set = signed.filter("node IS NOT NULL").groupBy("node")
     sets = save(by_set.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low")))
-    root_values = F.concat(*(F.unhex(F.lpad(F.hex(F.col("sig")[j].cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")) for j in range(TREES * BRANCHES)))
-    known = sets.select("node", "n", "low", root_values.alias("first"))
-    nodes = _nodes(sets)
+    nodes, wide = _nodes(sets)
+    # Where a root branch had to branch further, a pair isn't sure to meet, so its value there is the member's own.
+    value = lambda j: F.when(F.array_contains("wide", j), F.xxhash64("node", F.lit(j)).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.col("sig")[j].cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    first = F.concat(*(F.unhex(F.lpad(F.hex(value(j)), 8, "0")) for j in range(TREES * BRANCHES)))
+    known = save(sets.join(wide.hint("merge"), "node", "left").select("node", "n", "low", first.alias("first")))
     full = nodes.withColumn("root", F.col("node")).join(known.hint("merge"), "node")
     pairs = save(_nearest_pairs(full, least, percent, NEAREST))
     links = _verify(docs, sets, pairs, size, percent)
