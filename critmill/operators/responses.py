@@ -99,9 +99,9 @@ def parse_strict(text: Column) -> Column:
 
 def payload(raw: Column) -> Column:
     """The text of an envelope, from its first bracket, without code fences; null if there is none."""
-    v = parse_strict(raw)
-    filled = lambda n: let(_text_field(v, n), lambda t: F.when(trimmed(t) != "", t))
-    text = F.when(v.isNull(), raw).when(_kind(v) == "OBJECT", F.coalesce(*map(filled, TEXT_FIELDS))).when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(raw)
+    filled = lambda v: lambda n: let(_text_field(v, n), lambda t: F.when(trimmed(t) != "", t))
+    body = lambda v: F.when(v.isNull(), raw).when(_kind(v) == "OBJECT", F.coalesce(*map(filled(v), TEXT_FIELDS))).when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(raw)
+    text = let(parse_strict(raw), body)
     text = F.regexp_replace(F.regexp_replace(text, r"(?i)^\s*```(?:json)?\s*\r?\n?", ""), r"\r?\n?\s*```\s*$", "")
     return F.nullif(F.regexp_extract(text, r"^[^\[{]*([\[{][\s\S]*)$", 1), F.lit(""))
 
