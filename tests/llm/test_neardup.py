@@ -83,3 +83,19 @@ def test_components(spark):
     out = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {i: 0 for i in range(1, 201)} | {1001: 1000, 1002: 1000} | {2001 + i: 2000 for i in range(300)}
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_branches_and_tiles(spark, monkeypatch):
+    """Nodes of more than a few sets branch, and end in tiles."""
+    monkeypatch.setattr(neardup, "SMALL", 8)
+    monkeypatch.setattr(neardup, "DEPTH", 1)
+    rnd = random.Random(3)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    base, rows = [word() for _ in range(50)], []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rnd.randrange(0, 6)):
+            w[rnd.randrange(50)] = word()
+        rows.append(" ".join(w))
+    rows += [" ".join(base[:20] + [word() for _ in range(rnd.randrange(3, 25))]) for _ in range(60)]
+    check(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), 2)
