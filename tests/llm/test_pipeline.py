@@ -3,9 +3,11 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from critmill.llm.common import save
+from critmill.llm.quality import held_out
 from test_neardup import brute
 from test_text_ops import brute_removed
 
@@ -33,6 +35,20 @@ def test_quality(spark, steps):
     assert sum(d in kept for d in bad) <= 0.4 * len(bad)
 
 
+def test_quality_held_out(spark):
+    """Error rates on held-out labels alone: bad documents that stay, good ones that go."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    held = labels.filter(held_out(F.col("doc_id")) & F.col("quality").isNotNull()).select("doc_id", "quality")
+    kept = p.filter_quality(spark, docs, d).select("doc_id", F.lit(True).alias("kept"))
+    rows = held.join(docs.select("doc_id"), "doc_id", "left_semi").join(kept, "doc_id", "left").collect()
+    bad, good = [r for r in rows if r.quality == 0], [r for r in rows if r.quality == 1]
+    assert len(bad) > 100 and len(good) > 500
+    stay, lost = sum(bool(r.kept) for r in bad), sum(not r.kept for r in good)
+    print(f"bad that stay {stay} of {len(bad)}, good lost {lost} of {len(good)}")
+    assert stay <= 0.05 * len(bad) and lost <= 0.01 * len(good)
+
+
 def test_near_duplicates(steps):
     rows = [(r.doc_id, r.text) for r in steps[1].collect()]
     want = {d for d, (_, root) in brute(rows, 5).items() if d == root}
