@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from heapq import heapify, heappop, heappush
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +31,11 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+#: Whole licences, numbered after TEMPLATES: the file's name is the licence's.
+TEXTS = Path(__file__).parent / "licence_texts"
+#: A word as `words` makes them.
+WORD = re.compile(r"[^\W_]+(?:\.[^\W_]+)*")
+
 
 def words(text: Column) -> Column:
     """Normalised words: lower case, letters and digits with inner dots (version numbers), all else a blank."""
@@ -44,7 +56,105 @@ def templates(spark: SparkSession, rows: list[tuple[str, str]] = TEMPLATES) -> D
     return t.withColumn("t_grams", bigrams(words(F.col("__text")))).drop("__text")
 
 
+def full_texts() -> list[tuple[int, str, str]]:
+    return [(len(TEMPLATES) + i, f.name.removesuffix(".txt"), f.read_text()) for i, f in enumerate(sorted(TEXTS.glob("*.txt")))]
+
+
+def _windows(grams: list[tuple[str, str]], t: set[tuple[str, str]], places: int, threshold: float) -> list[tuple[float, int, int]]:
+    """(dice, first, last) of the windows of bigrams that are like t; of overlapping ones the best stands, and others are sought beside it.
+
+    A window begins and ends with one of t's bigrams (any other at its ends lowers dice), and is at most (2 - threshold) / threshold times as long as the template, of so many `places` with its repeated bigrams.
+    """
+    m, most = len(t), int(places * (2 - threshold) / threshold + 1e-9)
+    hit = np.array([g in t for g in grams])
+    following, seen = np.full(len(grams), len(grams)), {}
+    for i in range(len(grams) - 1, -1, -1):
+        following[i] = seen.get(grams[i], len(grams))
+        seen[grams[i]] = i
+
+    def best(end: int, floor: int) -> tuple[float, int]:
+        lo = max(floor, end + 1 - most)
+        # A bigram counts once: at its last place in the window.
+        own, new = hit[lo : end + 1], following[lo : end + 1] > end
+        n, both = np.cumsum(new[::-1])[::-1], np.cumsum((new & own)[::-1])[::-1]
+        dice = np.where(own, 2 * both / (n + m), 0)
+        first = len(dice) - 1 - int(dice[::-1].argmax())
+        return float(dice[first]), lo + first
+
+    total = np.concatenate(([0], np.cumsum(hit)))
+    ends = np.flatnonzero(hit)
+    # Only where enough of t's bigrams are in reach can a window that ends here pass.
+    ends = ends[total[ends + 1] - total[np.maximum(ends + 1 - most, 0)] >= threshold / (2 - threshold) * m - 1e-9]
+    heap = [(-d, first, int(end), 0) for end in ends for d, first in [best(end, 0)] if d >= threshold]
+    heapify(heap)
+    firsts, lasts = [], []  # of those that stand, in order
+    while heap:
+        d, first, end, floor = heappop(heap)
+        at = bisect_left(lasts, end)
+        if at < len(lasts) and firsts[at] <= end:
+            continue
+        if at and lasts[at - 1] >= first:
+            floor = lasts[at - 1] + 1
+            d, first = best(end, floor)
+            if d >= threshold:
+                heappush(heap, (-d, first, end, floor))
+            continue
+        firsts.insert(at, first)
+        lasts.insert(at, end)
+    return [(best(end, first)[0], first, end) for first, end in zip(firsts, lasts)]
+
+
+def notices(text: str, known: list[tuple[int, str, set[tuple[str, str]], int]], threshold: float) -> list[tuple[int, int, str, int, float]]:
+    """(first line, last line, license, template, dice), lines from 1, of the windows of a whole text that are like a template."""
+    low = text.lower()
+    w = WORD.findall(low)
+    here, out, grams = set(zip(w, w[1:])), [], None
+    for k, name, t, places in known:
+        if not t or len(here & t) < threshold / (2 - threshold) * len(t) - 1e-9:
+            continue
+        if grams is None:
+            grams, starts = list(zip(w, w[1:])), [x.start() for x in WORD.finditer(low)]
+            ends = [x.start() for x in re.finditer("\n", low)]
+        line = lambda i: bisect_left(ends, starts[i]) + 1
+        out += [(line(first), line(last + 1), name, k, d) for d, first, last in _windows(grams, t, places, threshold)]
+    return out
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
+    """doc_id, line (from 1, the first), license, template and dice of every line, and every other window of words, that is like a template.
+
+    Lines: see `scan_lines`. Windows: runs of words of the whole text, across lines and inside them, so that wrapped notices and
+    ones among other words are found; of overlapping windows for one template the best counts, and none that touches a line which is itself like
+    that template. Without `known`, windows are compared with whole licences too. Each text is scanned inside its task, and
+    only templates that share enough bigrams with it are looked for. Null and empty texts match none; repeated rows each report.
+    """
+    t = (known if known is not None else templates(docs.sparkSession)).select("template", "license", F.array_distinct("t_grams").alias("g"))
+    # Fixed values, or a table that the caller bounds.
+    table = [(r.template, r.license, {tuple(g.split(" ")) for g in r.g}, len(r.g)) for r in t.collect() if r.g]
+    if known is None:
+        table += [(k, name, set(zip(w, w[1:])), len(w) - 1) for k, name, x in full_texts() for w in [WORD.findall(x.lower())]]
+
+    by = {k: g for k, _, g, _ in table}
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                lines = None
+                for first, last, name, k, d in notices(text or "", table, threshold):
+                    lines = [set(zip(w, w[1:])) for w in (WORD.findall(x.lower()) for x in text.split("\n"))] if lines is None else lines
+                    if all(2 * len(x & by[k]) < threshold * (len(x) + len(by[k])) for x in lines[first - 1 : last]):
+                        rows.append((i, first, name, k, d))
+            at, *rest = zip(*rows) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(x, kind) for x, kind in zip(rest, kinds))], names=["doc_id", "line", "license", "template", "dice"])
+
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.float64()]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    whole = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, license string, template int, dice double")
+    return scan_lines(docs, known, threshold).unionByName(whole)
+
+
+def scan_lines(docs: DataFrame, known: DataFrame | None = None, threshold: float = 0.8) -> DataFrame:
     """doc_id, line (from 1), license, template and dice of every line that is like a template: 2 |A n B| / (|A| + |B|) >= threshold.
 
     A text is scanned line by line, whole, and each line is compared with the templates whose size its own allows: a pair

@@ -40,6 +40,43 @@ def test_licenses(spark, sf, messy, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_in_running_text(spark):
+    """Wrapped notices, notices among other words and whole licences; each once, none that a line has."""
+    apache = "Licensed under the Apache License, Version 2.0"
+    header = '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in\n# compliance with the License.\n'
+    gpl = "some words\n" + licenses.TEMPLATES[8][1].replace(" General", "\n * General").replace(" Software", "\n * Software").replace(" version", "\n * version") + "\nother words"
+    whole = {name: text for _, name, text in licenses.full_texts()}
+    rows = [(1, f"a b c\nCopyright 2020 The Authors of this. {apache}. All rights reserved, and so on and on."), (2, f"x\n\n{header}"), (3, gpl), (4, f"{apache}.\n" * 3)]
+    rows += [(5, f"words before it {apache} words {apache} after them and many more words"), (6, "the license of version 2.0 is the gnu general public license " * 5), (7, None), (8, "")]
+    rows += [(100 + i, f"first line\nCopyright (c) 2020 Someone\n\n{x}\nlast line") for i, x in enumerate(whole.values())]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    of = lambda d: sorted((r.line, r.license, r.template) for r in got if r.doc_id == d)
+    assert of(1) == [(2, "Apache-2.0", 0)]
+    assert {(3, "Apache-2.0", 0), (3, "Apache-2.0", 1)} >= set(of(2)) and (3, "Apache-2.0", 1) in of(2)
+    assert of(3) == [(2, "GPL-3.0", 8)]
+    assert of(4) == [(i, "Apache-2.0", 0) for i in (1, 2, 3)]
+    assert of(5) == [(1, "Apache-2.0", 0)] * 2
+    assert not of(6) and not of(7) and not of(8)
+    for i, name in enumerate(whole):
+        assert any(r.license == name and r.template == len(licenses.TEMPLATES) + i and r.dice > 0.99 for r in got if r.doc_id == 100 + i), name
+
+
+def test_windows():
+    """Against every window of random words."""
+    rnd = random.Random(6)
+    for _ in range(200):
+        t = set(zip("abcdefgh", "bcdefghi"))
+        w = [rnd.choice("abcdefghixy") if rnd.random() < 0.2 else "abcdefghi"[i % 9] for i in range(rnd.randrange(2, 40))]
+        grams = list(zip(w, w[1:]))
+        every = {(i, j): 2 * len(a & t) / (len(a) + len(t)) for i in range(len(grams)) for j in range(i, min(len(grams), i + 12)) for a in [set(grams[i : j + 1])]}
+        got = licenses._windows(grams, t, len(t), 0.8)
+        taken = set()
+        for d, i, j in got:
+            assert every[i, j] == d >= 0.8 and not taken & set(range(i, j + 1))
+            taken |= set(range(i, j + 1))
+        assert all(d < 0.8 or taken & set(range(i, j + 1)) for (i, j), d in every.items())
+
+
 def test_quality(spark, messy, empty):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
