@@ -191,13 +191,14 @@ def seed_condition_dictionary(mentions: DataFrame, existing: DataFrame) -> tuple
     return out, seeds.join(existing.select("condition_norm"), "condition_norm", "left_anti").agg(F.count(F.lit(1)).alias("inserted"))
 
 
-def concepts_to_normalize(criteria: DataFrame, cache: DataFrame, include_attempted: bool = False, n: int = 100_000) -> DataFrame:
-    """Unresolved concepts by key that the cache lacks: sample form and frequency, most frequent first."""
+def concepts_to_normalize(criteria: DataFrame, cache: DataFrame, include_attempted: bool = False, n: int | None = 100_000) -> DataFrame:
+    """Unresolved concepts by key that the cache lacks: sample form and frequency, most frequent first; all where n is None."""
     t = criteria.filter(unresolved(F.col("concept_code"))).withColumn("concept_norm", normalize_key(F.col("concept"))).filter("concept_norm <> ''")
     if not include_attempted:
         t = t.join(cache.select("concept_norm"), "concept_norm", "left_anti")
     t = t.groupBy("concept_norm").agg(F.min("concept").alias("sample"), F.count(F.lit(1)).alias("frequency"))
-    return t.orderBy(F.desc("frequency"), "concept_norm").limit(max(1, min(n, 100_000)))
+    t = t.orderBy(F.desc("frequency"), "concept_norm")
+    return t if n is None else t.limit(max(1, min(n, 100_000)))
 
 
 #: Final statuses that are no failure.

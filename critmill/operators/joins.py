@@ -56,11 +56,13 @@ def unresolved_rows(criteria: DataFrame) -> DataFrame:
     return criteria.filter(unresolved(F.col("concept_code")) & (trimmed(F.coalesce("concept", F.lit(""))) != ""))
 
 
-def trials_to_retry(criteria: DataFrame, retry_log: DataFrame, include_retried: bool = False, direction: str = "Forward", n: int = 100) -> DataFrame:
+def trials_to_retry(criteria: DataFrame, retry_log: DataFrame, include_retried: bool = False, direction: str = "Forward", n: int | None = 100) -> DataFrame:
+    """Trials with unresolved rows that weren't retried, by nct_id: the first n, or all where n is None."""
     ids = unresolved_rows(criteria).select("nct_id").distinct()
     if not include_retried:
         ids = ids.join(retry_log.select("nct_id"), "nct_id", "left_anti")
-    return ids.orderBy((F.asc if direction == "Forward" else F.desc)("nct_id")).limit(max(1, n))
+    ids = ids.orderBy((F.asc if direction == "Forward" else F.desc)("nct_id"))
+    return ids if n is None else ids.limit(max(1, n))
 
 
 def cached_resolutions(concepts: DataFrame, cache: DataFrame) -> DataFrame:

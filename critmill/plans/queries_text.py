@@ -271,19 +271,19 @@ def coded(t: Tables) -> DataFrame:
 
 @query()
 def r6_retry_unresolved(t):
-    return re_.retry_unresolved(coded(t), jo.trials_to_retry(t.b_eligibility, t.b_attempted, n=100_000), t.atoms, t.concepts, t.b_type)[1]
+    return re_.retry_unresolved(coded(t), jo.trials_to_retry(t.b_eligibility, t.b_attempted, n=None), t.atoms, t.concepts, t.b_type)[1]
 
 
 @query("SELECT id, coalesce(e.concept_code, c.cui) AS concept_code FROM b_eligibility e LEFT JOIN (SELECT str_norm, min(cui) AS cui FROM atoms WHERE str_norm IN (SELECT str_norm FROM atoms GROUP BY 1 HAVING count(DISTINCT cui) = 1) GROUP BY 1) c ON false")
 def r7_no_terms(t):
     """Terms that all say NONE change nothing."""
-    terms = co.concepts_to_normalize(t.b_eligibility, t.b_atom.limit(0).select(F.col("cui").alias("concept_norm"))).select("concept_norm", F.lit(" none ").alias("term"))
+    terms = co.concepts_to_normalize(t.b_eligibility, t.b_atom.limit(0).select(F.col("cui").alias("concept_norm")), n=None).select("concept_norm", F.lit(" none ").alias("term"))
     return re_.apply_normalized_terms(coded(t), terms, t.atoms, t.concepts)[0].select("id", "concept_code")
 
 
 @query()
 def r7_apply_terms(t):
-    terms = co.concepts_to_normalize(t.b_eligibility, t.b_atom.limit(0).select(F.col("cui").alias("concept_norm"))).select("concept_norm", F.col("sample").alias("term"))
+    terms = co.concepts_to_normalize(t.b_eligibility, t.b_atom.limit(0).select(F.col("cui").alias("concept_norm")), n=None).select("concept_norm", F.col("sample").alias("term"))
     return re_.apply_normalized_terms(coded(t), terms, t.atoms, t.concepts)[2]
 
 

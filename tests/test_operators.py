@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from critmill.functions import text as tx
 from critmill.operators import cohorts as co
+from critmill.operators import joins as jo
 from critmill.operators import responses as rs
 from critmill.operators import search as se
+from critmill.plans import queries as plans
+from critmill.plans import queries_text  # noqa: F401  registers its queries
 from critmill.sources import tables as ta
 from critmill.sources import terminology as te
 
@@ -100,3 +103,17 @@ def test_empty_filters(spark):
     d = spark.createDataFrame([("N1", "t")], "nct_id string, brief_title string")
     assert se.search_studies(d, {"brief_title": " "}).count() == 0
     assert rs.empty_batch_placeholder(d.limit(0)).first().asDict() == {"nct_id": "", "brief_title": ""}
+
+
+def test_retries_and_terms_without_a_cap(spark, sf, monkeypatch):
+    """More than 100,000 trials and concepts all come, and r6 and r7_* ask for all."""
+    e = spark.range(100_005).select(F.format_string("NCT%08d", "id").alias("nct_id"), F.format_string("c%d", "id").alias("concept"), F.lit(None).cast("string").alias("concept_code"))
+    assert jo.trials_to_retry(e, e.select("nct_id").limit(0), n=None).count() == 100_005
+    cache = e.limit(0).select(F.col("concept").alias("concept_norm"))
+    assert co.concepts_to_normalize(e, cache, n=None).count() == 100_005 and co.concepts_to_normalize(e, cache).count() == 100_000
+    asked = []
+    for module, name in ((jo, "trials_to_retry"), (co, "concepts_to_normalize")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), **b: asked.append(b["n"]) or f(*a, **b))
+    for name in ("r6_retry_unresolved", "r7_no_terms", "r7_apply_terms"):
+        plans.QUERIES[name](spark, sf)
+    assert asked == [None] * 3
