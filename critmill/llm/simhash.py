@@ -147,12 +147,13 @@ def search(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int =
     copies cost one row. Null fingerprints take no part.
     """
     digits = BITS // 4
-    cuts = [i * digits // blocks for i in range(blocks + 1)]
+    cuts = [i * BITS // blocks for i in range(blocks + 1)]
+    bits = F.concat(*(F.lpad(F.conv(F.substring("fingerprint", 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(digits // 8)))
     tables = []
     for i, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        key = F.concat(*(F.substring("fingerprint", cuts[b] + 1, cuts[b + 1] - cuts[b]) for b in chosen))
+        key = F.concat(*(F.substring("bits", cuts[b] + 1, cuts[b + 1] - cuts[b]) for b in chosen))
         tables.append(F.xxhash64(F.lit(i), key))
-    keyed = lambda t: t.select("fingerprint").filter("fingerprint IS NOT NULL").distinct().select("fingerprint", F.explode(F.array(*tables)).alias("key"))
+    keyed = lambda t: t.select("fingerprint").filter("fingerprint IS NOT NULL").distinct().withColumn("bits", F.explode(F.array(bits))).select("fingerprint", F.explode(F.array(*tables)).alias("key"))
     pairs = keyed(queries).join(keyed(prints).withColumnRenamed("fingerprint", "found").hint("merge"), "key")
     word = lambda c, i: F.conv(F.substring(c, 1 + 8 * i, 8), 16, 10).cast("long")
     distance = sum((F.bit_count(word("fingerprint", i).bitwiseXOR(word("found", i))) for i in range(digits // 8)), F.lit(0))
@@ -165,8 +166,9 @@ def near(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
 
     Inputs hold doc_id and fingerprint. Documents of a fingerprint are counted once for all, not listed.
     """
+    # Two blocks make a key: at 12 bits that is 91 tables, three blocks would need 455.
     many = save(prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("docs")))
-    found = search(queries, prints, radius).join(many.withColumnRenamed("fingerprint", "found").hint("merge"), "found")
+    found = search(queries, prints, radius, radius + 2).join(many.withColumnRenamed("fingerprint", "found").hint("merge"), "found")
     around = save(found.groupBy("fingerprint").agg(F.sum("docs").alias("around")))
     t = queries.join(many.hint("merge"), "fingerprint").join(around.hint("merge"), "fingerprint", "left")
     return t.select("doc_id", "fingerprint", (F.col("docs") - 1 + F.coalesce("around", F.lit(0))).alias("n_near"))

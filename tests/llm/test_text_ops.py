@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from critmill.llm import licenses, quality, simhash, suffix
+from critmill.llm import licenses, quality, queries, simhash, suffix
 
 
 def brute_words(text):
@@ -161,6 +161,23 @@ def test_search(spark):
     assert got == want
 
 
+def test_search_finds_edited_copies(spark, tmp_path):
+    """Copies with one word in a hundred replaced are found, by the registered query, and others aren't."""
+    rnd = random.Random(9)
+    rows = []
+    for i in range(60):
+        w = [f"w{rnd.randrange(5000)}" for _ in range(500)]
+        rows.append((50 * i, " ".join(w)))
+        for at in rnd.sample(range(500), 5):
+            w[at] = f"new{at}"
+        rows.append((50 * i + 1, " ".join(w)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_near for r in queries.fingerprint_search(spark, str(tmp_path)).collect()}
+    f = np.unpackbits(simhash.fingerprints(pa.array([t for _, t in rows])), axis=1)
+    assert got == {d: int(((f != f[i]).sum(axis=1) <= queries.NEAR_BITS).sum()) - 1 for i, (d, _) in enumerate(rows) if d % 50 == 0}
+    assert sum(n == 1 for n in got.values()) >= 0.9 * len(got) and max(got.values()) <= 1
+
+
 def brute_removed(rows, length):
     """Per document: removed flags of its bytes."""
     least = {}
