@@ -113,26 +113,24 @@ def _unit(c: Column) -> Column:
     return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def similar_to_vectors(emb: DataFrame, queries: DataFrame, with_criteria: DataFrame | None = None, k: int = 10, match: list[str] | None = None, skip_self: bool = False, block: int = 256) -> DataFrame:
+def similar_to_vectors(emb: DataFrame, queries: DataFrame, with_criteria: DataFrame | None = None, k: int = 10, match: list[str] | None = None, skip_self: bool = False, block: int = 256, rows_block: int = 1024) -> DataFrame:
     """query_id, nct_id, similarity (cosine, 4 places) and rank: the k most similar rows of each query, ties by nct_id.
 
     emb: nct_id, embedding and the `match` columns, which must be equal to the query's. queries: query_id, embedding and
-    those columns. A stated query list is compared with all rows in blocks: queries are packed into blocks
-    of `block` rows, every partition of emb multiplies its rows with each block, and keeps k rows a
-    query, so what is shuffled is k rows a query and partition.
+    those columns. Queries and rows are dealt by hash to blocks of about `block` and `rows_block` rows, as many as the tables
+    fill; each pair of blocks is one cell, a matrix product that keeps k rows a query. So cells grow in number, not in size.
     """
     match = match or []
     k = max(1, min(k, 500))
     if with_criteria is not None:
         emb = emb.join(with_criteria.select("nct_id").distinct(), "nct_id", "left_semi")
     q = queries.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.array(*(F.col(c).cast("string") for c in match)).cast("array<string>").alias("m"))
-    q = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(64)).alias("b")).agg(F.collect_list(F.struct("query_id", "v", "m")).alias("q"))
-    q = q.select(F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("q") - 1) / block).cast("int")), lambda i: F.slice("q", i * block + 1, F.lit(block)))).alias("q"))
     rows = emb.select("nct_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.array(*(F.col(c).cast("string") for c in match)).cast("array<string>").alias("m"))
-    n = 4
-    cells = q.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).hint("shuffle_hash")
-    packed = rows.withColumn("cell", F.pmod(F.xxhash64("nct_id"), F.lit(n)).cast("int")).withColumn("part", F.pmod(F.xxhash64("nct_id", F.lit(1)), F.lit(64)))
-    packed = packed.groupBy("cell", "part").agg(F.collect_list(F.struct("nct_id", "v", "m")).alias("rows"))
+    # The vector is hashed too: rows of one id needn't share a block.
+    dealt = lambda key, n: F.pmod(F.xxhash64(key, "v"), F.lit(n)).cast("int")
+    n_q, n_r = max(1, -(-q.count() // block)), max(1, -(-rows.count() // rows_block))
+    q = q.groupBy(dealt("query_id", n_q).alias("qb")).agg(F.collect_list(F.struct("query_id", "v", "m")).alias("q")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
+    packed = rows.groupBy(dealt("nct_id", n_r).alias("rb")).agg(F.collect_list(F.struct("nct_id", "v", "m")).alias("rows")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
 
     def best(batches):
         for b in batches:
@@ -155,7 +153,7 @@ def similar_to_vectors(emb: DataFrame, queries: DataFrame, with_criteria: DataFr
                         out.append((x["query_id"], ids[j], float(s[i][j])))
             yield pd.DataFrame(out, columns=["query_id", "nct_id", "similarity"])
 
-    got = packed.join(cells, "cell").select("q", "rows").mapInPandas(best, "query_id string, nct_id string, similarity double")
+    got = packed.join(q.hint("shuffle_hash"), ["qb", "rb"]).select("q", "rows").mapInPandas(best, "query_id string, nct_id string, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "nct_id"))
     return got.withColumn("rank", rank).filter(F.col("rank") <= k)
 

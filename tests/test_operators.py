@@ -2,6 +2,7 @@
 
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,18 @@ def test_retries_and_terms_without_a_cap(spark, sf, monkeypatch):
     for name in ("r6_retry_unresolved", "r7_no_terms", "r7_apply_terms"):
         plans.QUERIES[name](spark, sf)
     assert asked == [None] * 3
+
+
+@pytest.mark.parametrize("match", [[], ["phase"]])
+def test_similar_in_many_cells(spark, match):
+    """All ids divisible by 50 against all rows, in cells whose number grows with the tables; against brute force."""
+    rnd = np.random.default_rng(3)
+    v, phase = rnd.normal(size=(600, 8)), rnd.integers(0, 3, 600)
+    ids = [f"NCT{i:08d}" for i in range(600)]
+    emb = spark.createDataFrame([(d, x.tolist(), int(p)) for d, x, p in zip(ids, v, phase)], "nct_id string, embedding array<double>, phase int")
+    queries = emb.filter(F.substring("nct_id", 4, 8).cast("int") % 50 == 0).withColumnRenamed("nct_id", "query_id")
+    t = jo.similar_to_vectors(emb, queries, k=5, match=match, block=4, rows_block=50)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = np.round(unit @ unit.T, 4)
+    want = {(ids[i], ids[j], n + 1) for i in range(0, 600, 50) for n, j in enumerate(sorted((j for j in range(600) if not match or phase[i] == phase[j]), key=lambda j: (-s[i, j], ids[j]))[:5])}
+    assert {(r.query_id, r.nct_id, r["rank"]) for r in t.collect()} == want
