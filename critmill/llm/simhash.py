@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -152,13 +153,18 @@ def search(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int =
     tables = []
     for i, chosen in enumerate(combinations(range(blocks), blocks - radius)):
         key = F.concat(*(F.substring("bits", cuts[b] + 1, cuts[b + 1] - cuts[b]) for b in chosen))
-        tables.append(F.xxhash64(F.lit(i), key))
-    keyed = lambda t: t.select("fingerprint").filter("fingerprint IS NOT NULL").distinct().withColumn("bits", F.explode(F.array(bits))).select("fingerprint", F.explode(F.array(*tables)).alias("key"))
-    pairs = keyed(queries).join(keyed(prints).withColumnRenamed("fingerprint", "found").hint("merge"), "key")
+        tables.append(F.struct(F.xxhash64(F.lit(i), key).alias("key"), F.lit(",".join(map(str, chosen))).alias("chosen")))
+    keyed = lambda t: t.select("fingerprint").filter("fingerprint IS NOT NULL").distinct().withColumn("bits", F.explode(F.array(bits))).select("fingerprint", F.inline(F.array(*tables)))
     word = lambda c, i: F.conv(F.substring(c, 1 + 8 * i, 8), 16, 10).cast("long")
+    # The bits of block b that stand in word i.
+    cut = lambda b, i, c: word(c, i).bitwiseAND(F.lit(sum(1 << (31 - x % 32) for x in range(max(cuts[b], 32 * i), min(cuts[b + 1], 32 * i + 32)))))
+    pairs = keyed(queries).join(keyed(prints).select(F.col("fingerprint").alias("found"), "key").hint("merge"), "key")
     distance = sum((F.bit_count(word("fingerprint", i).bitwiseXOR(word("found", i))) for i in range(digits // 8)), F.lit(0))
     pairs = pairs.filter(F.col("fingerprint") != F.col("found")).withColumn("distance", distance)
-    return pairs.filter(F.col("distance") <= radius).select("fingerprint", "found", "distance").distinct()
+    # A pair comes from the first table only that it shares: the one of its first equal blocks.
+    same = lambda b: reduce(lambda x, y: x & y, [cut(b, i, "fingerprint") == cut(b, i, "found") for i in range(cuts[b] // 32, (cuts[b + 1] - 1) // 32 + 1)])
+    first = F.concat_ws(",", F.slice(F.array_compact(F.array(*(F.when(same(b), F.lit(str(b))) for b in range(blocks)))), 1, blocks - radius))
+    return pairs.filter((F.col("distance") <= radius) & (first == F.col("chosen"))).select("fingerprint", "found", "distance").distinct()
 
 
 def near(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
