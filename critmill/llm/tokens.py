@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from . import files
 from .common import partitions, save, scratch, worker_state
 
-#: Words that a worker remembers, in each of two generations.
-CACHE_WORDS = 700_000
+#: Words that a worker remembers, in each of two generations: about 40 MB each.
+CACHE_WORDS = 200_000
 #: A full stop or comma that ends an ASCII word is a pre-token of its own.
 WORD_END = re.compile(rb"(?<=[a-z])([.,])(?=\s|$)")
 
