@@ -15,11 +15,15 @@ from .common import Powers, U64, mix64, partitions, save, scratch, text_chunks
 
 #: Bytes of the anchors that route windows.
 ANCHOR = 16
-#: Bytes that a suffix array takes at once; larger buckets are cut into several, merged by binary search.
-SHARD_BYTES = 4 << 20
+#: Bytes that a suffix array takes at once; what is larger is cut into several, merged by binary search.
+SHARD_BYTES = 2 << 20
 LAST = (1 << 63) - 1
-#: Bytes of text in a shard of documents.
-SHARD_TEXT = 8 << 20
+#: Bytes of text in a shard of documents, at least and at most, and of runs in a bucket.
+SHARD_TEXT, BUCKET, MOST = 8 << 20, 4 << 20, 64 << 20
+#: Bytes that a shard sends to a bucket, about: both grow with the root of the data until then.
+BLOB_BYTES = 4096
+#: Bytes of different runs from which an anchor's windows are dealt out one by one.
+HOT_BYTES = 32 << 20
 ID = "__doc"
 
 
@@ -164,20 +168,45 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[n
 def _pieces(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Stretches of a byte array, one after another."""
     first = np.concatenate(([0], np.cumsum(size)))
-    return data[np.repeat(start - first[:-1], size) + np.arange(first[-1])]
+    out = np.empty(first[-1], np.uint8)
+    for lo, hi in _blocks(first):
+        n = size[lo:hi]
+        out[first[lo] : first[hi]] = data[np.repeat(start[lo:hi] - first[lo:hi], n) + np.arange(first[lo], first[hi])]
+    return out
 
 
-def _least_of_equal(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry: the least doc among entries of its hash, and a number for the hash."""
-    by = np.lexsort((doc, h))
-    new = np.concatenate(([True], h[by][1:] != h[by][:-1])) if len(by) else np.zeros(0, bool)
-    group = np.empty(len(h), np.int64)
-    group[by] = np.cumsum(new) - 1
-    return doc[by][new][group] if len(by) else doc, group
+def _blocks(first: np.ndarray, most: int = 1 << 18):
+    """Ranges of stretches of about `most` bytes together; `first` has their starts (n + 1)."""
+    lo, n = 0, len(first) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + most, "right")) - 1)
+        yield lo, hi
+        lo = hi
+
 
+def _equal_runs(data: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each run: the place of the one that stands for it, of least doc among the runs of its bytes.
 
-def pack_shards(docs: DataFrame) -> DataFrame:
-    """shard and blob: documents in runs of about SHARD_TEXT bytes, each one compressed row, written once.
+    The hash only proposes; runs are compared byte by byte, and one that differs stands for itself.
+    """
+    if not len(h):
+        return np.zeros(0, np.int64)
+    by = np.lexsort((doc, h))
+    new = np.concatenate(([True], h[by][1:] != h[by][:-1]))
+    head = np.empty(len(h), np.int64)
+    head[by] = by[new][np.cumsum(new) - 1]
+    same = size == size[head]
+    at = np.flatnonzero(same & (head != np.arange(len(h))))
+    first = np.concatenate(([0], np.cumsum(size[at])))
+    for lo, hi in _blocks(first):
+        r = at[lo:hi]
+        differ = _pieces(data, start[r], size[r]) != _pieces(data, start[head[r]], size[r])
+        same[r] = np.add.reduceat(differ, first[lo:hi] - first[lo], dtype=np.int64) == 0
+    return np.where(same, head, np.arange(len(h)))
+
+
+def pack_shards(docs: DataFrame, most: int = SHARD_TEXT) -> DataFrame:
+    """shard and blob: documents in runs of about `most` bytes, each one compressed row, written once.
 
     Later steps come back to the same shard by its number, and keep what they know of it in a file of that
     name in the shared folder, so that texts never move.
@@ -186,7 +215,7 @@ def pack_shards(docs: DataFrame) -> DataFrame:
     def pack(batches):
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for lo, hi, _, _ in text_chunks(batch.column("text"), SHARD_TEXT):
+            for lo, hi, _, _ in text_chunks(batch.column("text"), most):
                 sink, part = pa.BufferOutputStream(), batch.slice(lo, hi - lo)
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_batch(part)
@@ -211,11 +240,11 @@ def _runs(batch: pa.RecordBatch, length: int, powers: Powers):
     return runs
 
 
-def _anchors(shards: DataFrame, length: int, bits: int, folder: str) -> None:
-    """Writes for each shard which of its distinct anchors (cut to 32 + bits bits, in order) other shards have too: a byte each.
+def _anchors(shards: DataFrame, length: int, bits: int, folder: str, hot: int) -> None:
+    """Writes for each shard which of its distinct anchors (cut to 32 + bits bits, in order) other shards have too: a byte each, 2 for a hot one.
 
-    Only distinct cut anchors move, four bytes each, in one blob for a shard and bucket; a false match of cut anchors only
-    costs work.
+    Only distinct cut anchors move, five bytes each (the fifth tells the magnitude of their different runs' bytes), in one blob for a shard and
+    bucket; a false match of cut anchors only costs work. An anchor of more than `hot` bytes of runs in all is hot.
     """
 
     def send(batches):
@@ -223,17 +252,22 @@ def _anchors(shards: DataFrame, length: int, bits: int, folder: str) -> None:
         for b in batches:
             for shard, blob in zip(b.column("shard").to_pylist(), b.column("blob").to_pylist()):
                 runs = _runs(_open(blob), length, powers)
-                a = np.unique(np.concatenate([np.zeros(0, U64), *(r[4] for r in runs)]) >> U64(32 - bits))
+                every, size, h = (np.concatenate([np.zeros(0, t), *(r[k] for r in runs)]) for k, t in ((4, U64), (3, np.int64), (5, U64)))
+                a, at = np.unique(every >> U64(32 - bits), return_inverse=True)
+                one = np.unique(h, return_index=True)[1]
+                magnitude = np.ceil(np.log2(np.bincount(at[one], size[one], len(a)) + 1)).astype(np.uint8)
                 bucket = (a >> U64(32)).astype(np.int64)
                 cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(a) else np.zeros(0, np.int64)
-                parts = [x.astype(np.uint32).tobytes() for x in np.split(a, cut[1:])] if len(a) else []
+                parts = [x.astype(np.uint32).tobytes() + m.tobytes() for x, m in zip(np.split(a, cut[1:]), np.split(magnitude, cut[1:]))] if len(a) else []
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), pa.array(np.full(len(cut), shard)), pa.array(parts, pa.binary())], names=["bucket", "shard", "anchors"])
 
     def shared(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, np.uint32) for x in table.column("anchors").to_pylist()]
-        value, count = np.unique(np.concatenate(parts), return_counts=True)
-        many = count > 1
-        masks = [many[np.searchsorted(value, p)].astype(np.uint8).tobytes() for p in parts]
+        blobs = table.column("anchors").to_pylist()
+        parts = [np.frombuffer(x, np.uint32, len(x) // 5) for x in blobs]
+        value, at, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        total = np.bincount(at, np.concatenate([2.0 ** np.frombuffer(x, np.uint8, offset=4 * (len(x) // 5)) for x in blobs]), len(value))
+        kind = ((count > 1) + ((count > 1) & (total > hot))).astype(np.uint8)
+        masks = [kind[np.searchsorted(value, p)].tobytes() for p in parts]
         return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"), "mask": pa.array(masks, pa.binary())})
 
     def keep(table: pa.Table) -> pa.Table:
@@ -262,24 +296,38 @@ def _local(batches, length: int, bits: int, folder: str):
                 continue
             row, doc, start, size, anchor, h = (np.concatenate([r[k] for r in runs]) for k in range(6))
             cut, at = np.unique(anchor >> U64(32 - bits), return_inverse=True)
-            mask = np.array(files.mapped(f"{folder}/{shard}.mask", "u1")) > 0
+            mask = np.array(files.mapped(f"{folder}/{shard}.mask", "u1"))
             if len(mask) != len(cut):
                 raise ValueError("a shard's anchors differ from those that were counted")
             # Anchors that several documents of this shard have.
             low, high = np.full(len(cut), LAST), np.full(len(cut), -LAST)
             np.minimum.at(low, at, doc)
             np.maximum.at(high, at, doc)
-            ok = (mask | (low < high))[at]
+            ok = ((mask > 0) | (low < high))[at]
+            hot = mask[at[ok]] == 2
             data = np.concatenate([_pieces(r[6], r[7][k], r[3][k]) for r, k in zip(runs, np.split(ok, np.cumsum([len(r[0]) for r in runs])[:-1]))])
-            del runs
+            del runs, at, low, high
             row, doc, start, size, anchor, h = (x[ok] for x in (row, doc, start, size, anchor, h))
             first = np.concatenate(([0], np.cumsum(size)))
-            least, _ = _least_of_equal(h, doc)
+            head = _equal_runs(data, first[:-1], size, h, doc)
+            least = doc[head]
             covered = np.flatnonzero(doc > least)
             rows = []
             if len(covered):
                 rows.append((shard % (1 << bits), False, _span_blob(row[covered], start[covered], (start + size)[covered])))
-            rest = np.flatnonzero(doc == least)
+            rest = np.flatnonzero((doc == least) & ~hot)
+            # A hot anchor's windows become runs of their own, whose anchor is their content's hash, so that they spread over all buckets.
+            wide = np.flatnonzero((doc == least) & hot)
+            if len(wide):
+                n = size[wide] - length + 1
+                run, add = np.repeat(wide, n), np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
+                at, own = first[run] + add, np.empty(len(run), U64)
+                for lo in range(0, len(at), 1 << 16):
+                    piece = _pieces(data, at[lo : lo + (1 << 16)], np.full(len(at[lo : lo + (1 << 16)]), length))
+                    edge = np.arange(0, len(piece) + 1, length)
+                    own[lo : lo + (1 << 16)] = powers.spans(powers.prefix(piece), edge[:-1], edge[1:])
+                row, doc, start, first, size, anchor = (np.concatenate(x) for x in ((row, row[run]), (doc, doc[run]), (start, start[run] + add), (first[:-1], at), (size, np.full(len(run), length)), (anchor, mix64(own))))
+                rest = np.concatenate((rest, np.arange(len(h), len(row))))
             bucket = (anchor[rest] >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(rest), np.int64)
             by = np.argsort(bucket, kind="stable")
             rest, bucket = rest[by], bucket[by]
@@ -296,61 +344,59 @@ def _span_blob(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(np.concatenate((row[by], start[by], end[by])).astype("<i4").tobytes())
 
 
-def _bucket_spans(blobs: list[tuple[int, bytes]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (shard, row, start, end) of one bucket's runs that hold windows of a smaller document."""
+def _bucket_spans(blobs: list[tuple[int, bytes]], length: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (shard, row, start, end) of one bucket's runs that hold windows of a smaller document, a range of anchors after another."""
     parts, unzip = [], zstandard.ZstdDecompressor()
     for shard, blob in blobs:
-        raw = unzip.decompress(blob, max_output_size=1 << 31)
+        raw = unzip.decompress(blob)
         n = int(np.frombuffer(raw, "<i8", 1)[0])
         doc, row, start, size, anchor = (np.frombuffer(raw, t, n, 8 + o * n) for t, o in (("<i8", 0), ("<i4", 8), ("<i4", 12), ("<i4", 16), ("<u4", 20)))
         parts.append((doc, start.astype(np.int64), size.astype(np.int64), anchor, np.full(n, shard), row, np.frombuffer(raw, np.uint8, offset=8 + 24 * n)))
-    doc, start, size, anchor, shard, row = (np.concatenate([p[k] for p in parts]) for k in range(6))
-    # Anchors of one document need nothing.
+    doc, start, size, anchor, shard, row, data = (np.concatenate([p[k] for p in parts]) for k in range(7))
+    del parts
+    first = np.concatenate(([0], np.cumsum(size)))[:-1]
     by = np.lexsort((doc, anchor))
     new = np.flatnonzero(np.concatenate(([True], anchor[by][1:] != anchor[by][:-1])))
-    last = np.concatenate((new[1:], [len(by)])) - 1
-    shared = np.zeros(len(doc), bool)
-    shared[by] = np.repeat(doc[by][new] != doc[by][last], last - new + 1)
-    data = np.concatenate([_pieces(p[6], np.concatenate(([0], np.cumsum(p[2])[:-1]))[k], p[2][k]) for p, k in zip(parts, np.split(shared, np.cumsum([len(p[0]) for p in parts])[:-1]))])
-    del parts
-    doc, start, size, anchor, shard, row = (x[shared] for x in (doc, start, size, anchor, shard, row))
-    none = np.zeros(0, np.int64)
-    if not len(doc):
-        return none, none, none, none
-    # Equal runs count once, with their least document; the others of them are covered whole.
-    first = np.concatenate(([0], np.cumsum(size)))
-    powers, h, lo = Powers(), np.empty(len(doc), U64), 0
-    while lo < len(doc):
-        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + (1 << 20), "right")) - 1)
+    count = np.diff(np.concatenate((new, [len(by)])))
+    # Anchors of one document need nothing.
+    by = by[np.repeat(doc[by][new] != doc[by][new + count - 1], count)]
+    spans = [(np.zeros(0, np.int64),) * 4]
+    a = anchor[by]
+    edge = np.concatenate((np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))), [len(by)])) if len(by) else np.zeros(1, np.int64)
+    upto = np.concatenate(([0], np.cumsum(size[by])))[edge]
+    for lo, hi in _blocks(upto, piece):
+        r = by[edge[lo] : edge[hi]]
+        spans.append(_spans(doc[r], start[r], size[r], anchor[r], shard[r], row[r], _pieces(data, first[r], size[r]), length, piece))
+    return tuple(np.concatenate(x) for x in zip(*spans))
+
+
+def _spans(doc: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndarray, shard: np.ndarray, row: np.ndarray, data: np.ndarray, length: int, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the runs of a range of anchors. Equal runs count once, with their least document; the others of them are covered whole."""
+    first, powers, h = np.concatenate(([0], np.cumsum(size))), Powers(), np.empty(len(doc), U64)
+    for lo, hi in _blocks(first, 1 << 20):
         h[lo:hi] = powers.spans(powers.prefix(data[first[lo] : first[hi]]), first[lo:hi] - first[lo], first[lo + 1 : hi + 1] - first[lo])
-        lo = hi
-    least, group = _least_of_equal(h, doc)
+    head = _equal_runs(data, first[:-1], size, h, doc)
+    least = doc[head]
     whole = doc > least
     spans = [(shard[whole], row[whole], start[whole], (start + size)[whole])]
-    one = np.zeros(group.max() + 1, np.int64)
-    one[group] = np.arange(len(group))  # an entry for each distinct run
+    one = np.unique(head)  # an entry for each distinct run
     # An anchor whose runs are all equal is done: nothing else holds their windows.
-    by = np.argsort(anchor[one], kind="stable")
-    a = anchor[one][by]
-    single = np.concatenate(([True], a[1:] != a[:-1])) & np.concatenate((a[1:] != a[:-1], [True]))
+    a = anchor[one]
+    by = np.argsort(a, kind="stable")
+    single = np.concatenate(([True], a[by][1:] != a[by][:-1])) & np.concatenate((a[by][1:] != a[by][:-1], [True]))
     open_ = np.sort(one[by[~single]])
-    shards, at = [], 0
-    while at < len(open_):
-        total = np.cumsum(size[open_[at:]])
-        to = at + max(1, int(np.searchsorted(total, SHARD_BYTES, "right")))
-        shards.append(open_[at:to])
-        at = to
     found = []
-    for r in shards:
+    for lo, hi in _blocks(np.concatenate(([0], np.cumsum(size[open_]))), piece):
+        r = open_[lo:hi]
         text = _pieces(data, first[r], size[r])
         begin = np.concatenate(([0], np.cumsum(size[r])))
         owners = window_owners(text, begin, least[r], length)
         windows = np.flatnonzero(np.arange(len(text)) + length <= np.repeat(begin[1:], size[r]))
-        found.append((text, windows, owners[windows], begin))
+        found.append((text, windows, owners[windows], begin, r))
     owners = merge_owners([f[:3] for f in found], length) if len(found) > 1 else [f[2] for f in found]
     mine = np.flatnonzero(~whole)
-    mine = mine[np.argsort(group[mine], kind="stable")]
-    for r, (_, windows, _, begin), own in zip(shards, found, owners):
+    mine = mine[np.argsort(head[mine], kind="stable")]
+    for (_, windows, _, begin, r), own in zip(found, owners):
         # Windows of a run that a smaller document holds, for every entry of the run's least document.
         run = np.searchsorted(begin, windows, "right") - 1
         hit = own < least[r][run]
@@ -359,15 +405,15 @@ def _bucket_spans(blobs: list[tuple[int, bytes]], length: int) -> tuple[np.ndarr
             continue
         new = np.concatenate(([True], (run[1:] != run[:-1]) | (offset[1:] > offset[:-1] + 1)))
         s, e = offset[new], offset[np.concatenate((new[1:], [True]))] + length
-        g = group[r][run[new]]
-        lo, hi = np.searchsorted(group[mine], g, "left"), np.searchsorted(group[mine], g, "right")
+        g = r[run[new]]
+        lo, hi = np.searchsorted(head[mine], g, "left"), np.searchsorted(head[mine], g, "right")
         many = hi - lo
         which = mine[np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())]
         spans.append((shard[which], row[which], start[which] + np.repeat(s, many), start[which] + np.repeat(e, many)))
     return tuple(np.concatenate(x) for x in zip(*spans))
 
 
-def _write_spans(shards: DataFrame, length: int, bits: int, folder: str) -> None:
+def _write_spans(shards: DataFrame, length: int, bits: int, folder: str, piece: int) -> None:
     """Writes for each shard the spans (row, start, end) of windows that a document of a smaller doc_id holds; they may overlap."""
     spark = shards.sparkSession
 
@@ -380,7 +426,7 @@ def _write_spans(shards: DataFrame, length: int, bits: int, folder: str) -> None
                 shard_of.append(shard)
                 blobs.append(blob)
         if runs:
-            shard, row, s, e = _bucket_spans(runs, length)
+            shard, row, s, e = _bucket_spans(runs, length, piece)
             by = np.argsort(shard, kind="stable")
             shard, row, s, e = shard[by], row[by], s[by], e[by]
             cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
@@ -403,27 +449,31 @@ def _write_spans(shards: DataFrame, length: int, bits: int, folder: str) -> None
     spans.repartition(partitions(spark), "shard").groupBy("shard").applyInArrow(keep, "shard long").count()
 
 
-def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, piece: int = SHARD_BYTES, hot: int = HOT_BYTES, characters: bool = False) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and kept (the bytes left, in order) to every row.
 
     A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller
-    doc_id; all strings are judged on the input. Documents are packed into shards that stay where they are. Windows are routed by an
+    doc_id; all strings are judged on the input; with `characters`, a character that loses a byte goes whole. Documents are packed into shards that stay where they are. Windows are routed by an
     anchor in their own content, so equal windows of any documents meet in one bucket; anchors that stand in one document only are
-    found first and send nothing. A bucket's distinct runs are sorted by a suffix array, Kasai prefixes of at least
-    `length` bytes join equal windows, and buckets beyond SHARD_BYTES are cut into shards whose windows are found in each other by
-    binary search.
+    found first and send nothing. A bucket takes a range of anchors after another: equal runs (compared byte by byte) count once, the distinct ones are sorted by a
+    suffix array, Kasai prefixes of at least `length` bytes join equal windows, and what is beyond `piece` bytes is cut into shards whose windows are found in
+    each other by binary search. An anchor with more than `hot` bytes of different surroundings is dealt out by its windows' content. Shards and buckets grow with the
+    root of the data up to MOST bytes, so that what a shard sends to a bucket stays a few kilobytes up to about 1 TB.
 
     Null and empty texts have no bytes and stay. A null doc_id counts as larger than all others. Rows of one doc_id never cover
-    each other. Texts shorter than `length` (17 to 2^16 bytes) are untouched; an empty
+    each other. Texts shorter than `length` are untouched; a length outside 17 to 2^16 is refused; an empty
     table gives an empty result. Input columns named as the added ones are replaced.
     """
+    if not ANCHOR < length <= 1 << 16:
+        raise ValueError("length must be 17 to 65536 bytes")
     spark = docs.sparkSession
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(max(partitions(spark), total // (4 << 20)) - 1).bit_length()
-    shards, folder = pack_shards(docs.withColumn(ID, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))), scratch(spark)
-    _anchors(shards, length, bits, folder)
-    _write_spans(shards, length, bits, folder)
+    root = min(MOST, int((total * BLOB_BYTES) ** 0.5))
+    bits = int(max(partitions(spark), total // max(BUCKET, root)) - 1).bit_length()
+    shards, folder = pack_shards(docs.withColumn(ID, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))), max(SHARD_TEXT, root)), scratch(spark)
+    _anchors(shards, length, bits, folder, hot)
+    _write_spans(shards, length, bits, folder, piece)
     names = docs.columns
     schema = StructType(list(docs.schema.fields)).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
 
@@ -439,6 +489,11 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                     np.add.at(edge, s[at[i] : at[i + 1]], 1)
                     np.subtract.at(edge, e[at[i] : at[i + 1]], 1)
                     gone = np.cumsum(edge)[:-1] > 0
+                    if characters and gone.any():
+                        number = np.cumsum((data & 0xC0) != 0x80)
+                        cut_up = np.zeros(number[-1] + 1, bool)
+                        cut_up[number[gone]] = True
+                        gone = cut_up[number]
                     begins = gone & ~np.concatenate(([False], gone[:-1])) if len(data) else gone
                     out.append((len(data), int(gone.sum()), int(begins.sum()), data[~gone].tobytes()))
                 new = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]

@@ -195,13 +195,13 @@ def brute_removed(rows, length):
     return out
 
 
-def check_removal(df, length):
+def check_removal(df, length, **more):
     rows = [(r.doc_id, (r.text or "").encode()) for r in df.collect()]
     want = Counter()
     for d, gone, b in brute_removed(rows, length):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         want[d, len(b), sum(gone), len(re.findall(b"\1+", gone)), kept] += 1
-    out = suffix.remove_repeats(df, length).collect()
+    out = suffix.remove_repeats(df, length, **more).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out) == want
 
 
@@ -214,7 +214,8 @@ def test_removal_messy(messy):
     check_removal(messy.withColumn("kept", F.lit(1)), 50)
 
 
-def test_removal_in_many_shards(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1 << 30, 1000])
+def test_removal_in_many_shards(spark, hot):
     """Buckets cut into several suffix arrays, long repeats of one byte, overlaps, shifted copies."""
     rnd = random.Random(8)
     word = lambda: rnd.choice(["ab", "cd", "efg", "hij", "klmn"])
@@ -226,8 +227,39 @@ def test_removal_in_many_shards(spark, monkeypatch):
         t += passage[at : at + rnd.randrange(30, 120)] if i % 2 else ""
         rows.append(t + " ".join(word() for _ in range(rnd.randrange(5, 20))))
     rows += ["a" * 70, "b" + "a" * 300, "a" * 49, passage, passage[10:], "", passage + passage]
-    monkeypatch.setattr(suffix, "SHARD_BYTES", 300)
-    check_removal(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(6), 50)
+    check_removal(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(6), 50, piece=300, hot=hot)
+
+
+def test_removal_of_one_line_in_every_document(spark):
+    """A frequent line among neighbours that differ everywhere: hot anchors are dealt out by their windows."""
+    rnd = random.Random(12)
+    noise = lambda n: "".join(rnd.choice("abcdefghijklmnop ") for _ in range(n))
+    line = "this line stands in every document of the corpus, word for word, always"
+    rows = [(i, noise(rnd.randrange(20, 90)) + line + noise(rnd.randrange(20, 90))) for i in range(300)]
+    check_removal(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 50, hot=2000)
+
+
+def test_removal_of_whole_characters(spark):
+    """A character that loses a byte goes; replacement characters that an author wrote stay."""
+    shared = "\u00e9" * 30 + " a passage of words that stands in two documents and is long enough"
+    rows = [(1, "keep \ufffd mark. " + shared), (2, "\u4f60\u597d \ufffd \u0269" + shared[1:] + " \ufffd end")]
+    out = {r.doc_id: bytes(r.kept).decode() for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 50, characters=True).collect()}
+    # The last byte of the character before the passage is that of its first one.
+    assert out == {1: rows[0][1], 2: "\u4f60\u597d \ufffd  \ufffd end"}
+
+
+def test_equal_hashes_are_compared():
+    data = np.frombuffer(b"abcdefabcdexabcdefabc", np.uint8)
+    start, size = np.array([0, 6, 12, 18]), np.array([6, 6, 6, 3])
+    head = suffix._equal_runs(data, start, size, np.zeros(4, np.uint64), np.array([5, 4, 9, 7]))
+    assert head.tolist() == [0, 1, 2, 3]  # only the least document's run is compared with, and it differs
+    assert suffix._equal_runs(data, start, size, np.array([1, 2, 1, 3], np.uint64), np.array([5, 4, 9, 7])).tolist() == [0, 1, 0, 3]
+
+
+def test_refused_lengths(empty):
+    for n in (16, (1 << 16) + 1):
+        with pytest.raises(ValueError):
+            suffix.remove_repeats(empty, n)
 
 
 def test_removal_empty_and_null_ids(spark, empty):
