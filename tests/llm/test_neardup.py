@@ -34,9 +34,9 @@ def brute(rows, size):
     return {d: (len(s[d]), find(d)) for d in ids}
 
 
-def check(df, size):
+def check(df, size, **more):
     rows = [(r.doc_id, r.text) for r in df.collect()]
-    out = neardup.near_duplicates(df, size).collect()
+    out = neardup.near_duplicates(df, size, **more).collect()
     want = brute(rows, size)
     assert len(out) == len(rows)
     for r in out:
@@ -85,10 +85,9 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_branches_and_tiles(spark, monkeypatch):
-    """Nodes of more than a few sets branch, and end in tiles."""
-    monkeypatch.setattr(neardup, "SMALL", 8)
-    monkeypatch.setattr(neardup, "DEPTH", 1)
+@pytest.mark.parametrize("slice_bytes", [neardup.SLICE, 2000])
+def test_branches_and_tiles(spark, slice_bytes):
+    """Nodes of more than a few sets branch, are cut along their largest component, and end in tiles; heavy texts meet in tiles too."""
     rnd = random.Random(3)
     word = lambda: f"w{rnd.randrange(5000)}"
     base, rows = [word() for _ in range(50)], []
@@ -98,4 +97,4 @@ def test_branches_and_tiles(spark, monkeypatch):
             w[rnd.randrange(50)] = word()
         rows.append(" ".join(w))
     rows += [" ".join(base[:20] + [word() for _ in range(rnd.randrange(3, 25))]) for _ in range(60)]
-    check(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), 2)
+    check(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), 2, small=8, depth=1, slice_bytes=slice_bytes)
