@@ -31,9 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that a document of a smaller doc_id holds; bytes of a character that was cut in part go too."""
-    t = suffix.remove_repeats(docs, PASSAGE_BYTES)
-    whole = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    text = F.when(F.col("n_removed") > 0, whole).otherwise(F.col("text"))
+    t = suffix.remove_repeats(docs, PASSAGE_BYTES, characters=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
     t = t.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return t.select(*docs.columns)
 
