@@ -7,9 +7,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import drop_saved, save
+
 
 @dataclass
 class Model:
@@ -52,8 +54,7 @@ def difference(texts: list[bytes], model: Model) -> np.ndarray:
     return out
 
 
-def _dictionary(texts: list[bytes], size: int) -> bytes:
-    parts = [t[i : i + 2048] for t in texts for i in range(0, len(t), 2048)]
+def _dictionary(parts: list[bytes], size: int) -> bytes:
     try:
         return zstandard.train_dictionary(size, parts).as_bytes()
     except zstandard.ZstdError:  # too little to train on: the text itself serves
@@ -75,26 +76,41 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(w[0]), float(w[1] / scale)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, most: int = 16384, size: int = 1 << 18) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, pieces: int = 8, size: int = 1 << 18) -> Model:
     """Learns from `rows` labelled texts of each class at most, outside the held-out fold, chosen by a hash of doc_id.
 
-    This bounded sample is all that reaches the driver: of each sampled text up to `most` characters. One half
-    makes the dictionaries, the other calibrates. With no label of one class, the score is the
-    smoothed share of good labels. Null labels and texts teach nothing.
+    One half makes the dictionaries, from up to `pieces` pieces of 2,048 characters of each text, which a hash picks from the whole
+    text; the other calibrates: its whole texts are compressed in tasks. These bounded pieces and a number for each calibrating
+    text are all that reaches the driver. With no label of one class, the score is the smoothed share of good labels. Null labels
+    and texts teach nothing, nor does a doc_id with both labels; of rows that share a doc_id, the text of the least hash counts.
     """
-    wanted = labels.filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("y")).distinct()
-    picked = [wanted.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
+    known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"), F.max("quality").cast("int").alias("__z")).filter("y = __z").drop("__z")
+    picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     # At most 2 * rows ids.
-    sample = docs.select("doc_id", F.substring("text", 1, most).alias("text")).filter(F.col("text").isNotNull()).join(F.broadcast(picked[0].union(picked[1])), "doc_id").limit(4 * rows)
-    got = sample.select("y", "text", F.xxhash64("doc_id", F.lit(1)).alias("h")).toPandas().sort_values(["h", "text"], ignore_index=True)
-    texts = {y: [t.encode() for t in got.text[got.y == y]] for y in (0, 1)}
-    if min(map(len, texts.values())) < 2:
-        share = (len(texts[1]) + 1) / (len(got) + 2)
+    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked[0].union(picked[1])), "doc_id")
+    sample = sample.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))  # `rows` rows a class
+    sample = save(sample.withColumn("__at", place))
+    counts = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if min(counts.get(0, 0), counts.get(1, 0)) < 2:
+        share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
         return Model(b" ", b" ", float(np.log(share / (1 - share))), 0.0)
-    model = Model(_dictionary(texts[1][::2], size), _dictionary(texts[0][::2], size), 0.0, 0.0)
-    rest = texts[1][1::2] + texts[0][1::2]
-    x, y = difference(rest, model), np.array([1.0] * len(texts[1][1::2]) + [0.0] * len(texts[0][1::2]))
-    model.intercept, model.slope = _logistic(x, y)
+    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(2048))
+    some = F.slice(F.array_sort(F.transform(starts, lambda i: F.struct(F.xxhash64("doc_id", i).alias("h"), F.substring(F.col("text"), i, F.lit(2048)).alias("part")))), 1, pieces)
+    learn = sample.filter("__at % 2 = 1").select("y", "__at", F.transform(some, lambda x: x["part"]).alias("parts")).collect()
+    learn = sorted(learn, key=lambda r: r["__at"])
+    good, bad = (_dictionary([p.encode() for r in learn if r.y == y for p in r.parts if p], size) for y in (1, 0))
+    model = Model(good, bad, 0.0, 0.0)
+
+    @F.pandas_udf("double")
+    def differ(text: pd.Series) -> pd.Series:
+        return pd.Series(difference([t.encode() for t in text], model))
+
+    got = sample.filter("__at % 2 = 0").select("y", "__at", differ("text").alias("x")).collect()
+    got = sorted((r["y"], r["__at"], r["x"]) for r in got)
+    drop_saved(sample)
+    model.intercept, model.slope = _logistic(np.array([g[2] for g in got]), np.array([float(g[0]) for g in got]))
     return model
 
 

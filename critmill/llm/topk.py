@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, save
+from .common import partitions, ranked, save
 
 
 def usable(vector: Column) -> Column:
@@ -17,9 +17,9 @@ def usable(vector: Column) -> Column:
 
 
 def quantised(vectors: DataFrame, column: str = "embedding", scale: int = 64) -> DataFrame:
-    """vec_id and v: floor(scale * x) of each component, as double."""
+    """vec_id and v: floor(scale * x) of each component, as double. Rows without a vec_id take no part."""
     v = F.col(column).cast("array<double>")
-    return vectors.filter(usable(v)).select("vec_id", F.transform(v, lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    return vectors.filter(F.col("vec_id").isNotNull() & usable(v)).select("vec_id", F.transform(v, lambda x: F.floor(x * scale).cast("double")).alias("v"))
 
 
 def _blocks(t: DataFrame, rows: int) -> DataFrame:
@@ -47,23 +47,35 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([[int(x) for x in r] for r in a], object) @ np.array([[int(x) for x in r] for r in b], object).T
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, query_rows: int = 512, shard_rows: int = 8192, fan_in: int = 16) -> DataFrame:
+#: Bytes of a block of queries or a shard of vectors, and query rows of a tile.
+BLOCK_BYTES, TILE = 16 << 20, 512
+
+
+def _rows(t: DataFrame) -> int:
+    """Rows of a block: BLOCK_BYTES of doubles, fewer where the table wouldn't fill a block a partition."""
+    n, longest = t.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    return max(1, min(BLOCK_BYTES // (8 * (longest or 1)), max(TILE, -(-n // partitions(t.sparkSession)))))
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, query_rows: int | None = None, shard_rows: int | None = None, fan_in: int = 16) -> DataFrame:
     """Each query's k best rows other than itself by inner product: query_id, rank, vec_id, score; ties to the smaller id.
 
     Inputs hold vec_id and v (integers as doubles, one length). Queries stand in blocks, vectors in shards; every
-    pair of them is one cell (equi-join on a cell number), a matrix product that keeps k rows a query. Partial lists
-    are merged in a tree, `fan_in` shards at a time. Empty inputs give an empty result; vectors of
+    pair of them is one cell (equi-join on a cell number), matrix products of tiles that keep k rows a query. Blocks are as
+    large as a task can hold, since vectors move once for each block of queries. Partial lists
+    are merged in a tree, `fan_in` shards at a time. Rows without vec_id take no part. Empty inputs give an empty result; vectors of
     a length other than the query's take no part; a repeated vec_id is a row of its own, and a query skips every row of its own id.
     """
     spark = vectors.sparkSession
-    q, s = _blocks(queries, query_rows), _blocks(vectors, shard_rows)
+    queries, vectors = queries.filter("vec_id IS NOT NULL"), vectors.filter("vec_id IS NOT NULL")
+    q, s = _blocks(queries, query_rows or _rows(queries)), _blocks(vectors, shard_rows or _rows(vectors))
     n_q, n_s = q.count(), s.count()  # rows here are whole blocks
     q = q.select(F.col("block").alias("qb"), F.col("__rows").alias("qrows")).withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(max(n_s - 1, 0)))))
     s = s.select(F.col("block").alias("sb"), F.col("__rows").alias("srows")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(max(n_q - 1, 0)))))
     cells = q.join(s.hint("shuffle_hash"), ["qb", "sb"])
 
     def rows_of(x: pa.ListScalar):
-        ids = np.array(x.values.field("vec_id").to_numpy(zero_copy_only=False), np.int64)
+        ids = x.values.field("vec_id").cast(pa.int64()).to_numpy()
         v = x.values.field("v")
         lengths = np.array(v.value_lengths().to_numpy(zero_copy_only=False))
         return ids, lengths, v
@@ -75,17 +87,21 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, query_rows: int =
                 si, sl, sv = rows_of(b.column("srows")[i])
                 for d in np.intersect1d(ql, sl):
                     qa, sa = np.flatnonzero(ql == d), np.flatnonzero(sl == d)
-                    a, m = (np.stack([np.asarray(v[int(j)].values) for j in at]) for v, at in ((qv, qa), (sv, sa)))
-                    score = products(a, m)
-                    own = qi[qa][:, None] == si[sa][None, :]
-                    score[own] = np.iinfo(np.int64).min + 1
-                    score = score.astype(np.int64)  # raises where a score is no 64-bit integer
-                    at = tile_top(score, k)
-                    row = np.repeat(np.arange(len(qa)), at.shape[1])
-                    flat = at.reshape(-1)
-                    ok = ~own[row, flat]
-                    row, flat = row[ok], flat[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qi[qa][row], np.full(len(row), b.column("sb")[i].as_py(), np.int64), si[sa][flat], score[row, flat])], names=["query_id", "sb", "vec_id", "score"])
+                    # Vectors of one length are one matrix.
+                    matrix = lambda v, at: v.take(pa.array(at)).flatten().to_numpy().reshape(len(at), d)
+                    m = matrix(sv, sa)
+                    for lo in range(0, len(qa), TILE):
+                        part = qa[lo : lo + TILE]
+                        score = products(matrix(qv, part), m)
+                        own = qi[part][:, None] == si[sa][None, :]
+                        score[own] = np.iinfo(np.int64).min + 1
+                        score = score.astype(np.int64)  # raises where a score is no 64-bit integer
+                        at = tile_top(score, k)
+                        row = np.repeat(np.arange(len(part)), at.shape[1])
+                        flat = at.reshape(-1)
+                        ok = ~own[row, flat]
+                        row, flat = row[ok], flat[ok]
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qi[part][row], np.full(len(row), b.column("sb")[i].as_py(), np.int64), si[sa][flat], score[row, flat])], names=["query_id", "sb", "vec_id", "score"])
 
     t = cells.select("sb", "qrows", "srows").mapInArrow(tiles, "query_id long, sb long, vec_id long, score long")
     best = [F.col("score").desc(), F.col("vec_id")]

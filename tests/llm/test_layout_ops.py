@@ -185,6 +185,12 @@ def test_top_k(spark):
     out = topk.top_k(v.filter("vec_id % 20 = 0"), v, k=7, query_rows=6, shard_rows=9, fan_in=3).collect()
     want = brute_top([(i, [int(np.floor(64 * x)) for x in a]) for i, a in rows], 7)
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in out} == want and len(out) == len(want)
+    # Null ids take no part, large ones stay exact, and repeated ones are rows of their own.
+    big = (1 << 60) + 1
+    odd = [(None, [3.0, 3.0, 3.0, 3.0]), (big, [2.0, 2.0, 2.0, 2.0]), (big, [1.0, 2.0, 2.0, 2.0]), (20, [1.0, 1.0, 1.0, 1.0]), (0, [0.0, 1.0, 0.0, 1.0])]
+    w = topk.quantised(spark.createDataFrame(odd, "vec_id long, embedding array<double>"))
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(w.filter("vec_id % 20 = 0"), w, k=3).collect()}
+    assert got == {(20, 1, big, 8 * 4096), (20, 2, big, 7 * 4096), (20, 3, 0, 2 * 4096), (0, 1, big, 4 * 4096), (0, 2, big, 4 * 4096), (0, 3, 20, 2 * 4096)}
     few = v.filter("vec_id < 3")
     assert topk.top_k(few, few, k=7).count() == 6
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0

@@ -1,6 +1,7 @@
 """Licence scans, classifier, fingerprints and suffix-array removal against brute force and held-out labels."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from critmill.llm import licenses, quality, queries, simhash, suffix
@@ -90,6 +92,18 @@ def test_quality(spark, messy, empty):
     assert np.mean([a == b for a, b in held]) > 0.85
     again = quality.fit(docs.repartition(3), labels.repartition(2))
     assert again == model
+    # Scores against a plain computation; what is no label, or two, teaches nothing.
+    for r in docs.filter("doc_id % 97 = 0").join(quality.score(docs, model).select("doc_id", "score"), "doc_id").collect():
+        data, sizes = (r.text or "").encode(), []
+        for d in (model.good, model.bad):
+            c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(data[i : i + model.piece])) for i in range(0, len(data), model.piece)))
+        x = (sizes[1] - sizes[0]) / len(data) if data else 0.0
+        assert abs(r.score - 1 / (1 + math.exp(-(model.intercept + model.slope * x)))) < 1e-9
+    more = spark.createDataFrame([(d, q) for d in range(3) for q in (0, 1)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    ids = [r.doc_id for r in labels.limit(3).collect()]
+    twice = more.replace({0: ids[0], 1: ids[1], 2: ids[2]}, subset=["doc_id"])
+    assert quality.fit(docs, labels.select("doc_id", "quality").union(twice)) == quality.fit(docs, labels.filter(~F.col("doc_id").isin(ids)))
     assert quality.score(messy, model).filter("score IS NULL").count() == 0
     assert quality.score(empty, model).count() == 0
     assert quality.fit(docs, labels.limit(0)).slope == 0
