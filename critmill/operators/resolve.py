@@ -36,6 +36,11 @@ def exact_arm(queries: DataFrame, atoms: DataFrame) -> DataFrame:
     return q.join(atoms.select("str_norm", "cui").distinct(), "str_norm").select("query", "cui", F.lit(2.0).alias("rank"))
 
 
+def _fit(atoms: DataFrame, max_len: int) -> DataFrame:
+    """Atoms that the fuzzy arms look at: no overlong ones, no panels of several names."""
+    return atoms.filter((F.length("str") <= max_len) & ~F.contains(F.col("str"), F.lit(" | ")))
+
+
 def token_arm(queries: DataFrame, atoms: DataFrame, limit: int = 15, max_len: int = 80) -> DataFrame:
     """Atoms that share a lexeme: 1 + min(0.999, matched / query lexemes / (1 + ln(atom lexemes))).
 
@@ -43,7 +48,7 @@ def token_arm(queries: DataFrame, atoms: DataFrame, limit: int = 15, max_len: in
     are summed before the join with concepts. The best max(limit, 40) atoms of a query stay.
     """
     q = _distinct(queries).withColumn("w", lexemes(F.col("query"))).select("query", F.size("w").alias("nq"), F.explode("w").alias("lexeme"))
-    fit = atoms.filter((F.length("str") <= max_len) & ~F.contains(F.col("str"), F.lit(" | ")))
+    fit = _fit(atoms, max_len)
     texts = fit.select("str").distinct().withColumn("w", lexemes(F.col("str"))).select("str", F.size("w").alias("na"), F.explode("w").alias("lexeme"))
     shared = q.join(texts, "lexeme").groupBy("query", "str", "nq", "na").agg(F.count(F.lit(1)).alias("n"))
     rank = 1 + F.least(F.lit(0.999), F.col("n") / F.col("nq") / (1 + F.log("na")))
@@ -53,8 +58,9 @@ def token_arm(queries: DataFrame, atoms: DataFrame, limit: int = 15, max_len: in
     return ranked.join(fit.select("str", "cui").distinct(), "str").select("query", "cui", "rank")
 
 
-def trigram_arm(queries: DataFrame, atoms: DataFrame, least: float = 0.3) -> DataFrame:
+def trigram_arm(queries: DataFrame, atoms: DataFrame, least: float = 0.3, max_len: int = 80) -> DataFrame:
     """Atoms whose trigrams are alike enough, by an equi-join on the trigram; sizes bound the pairs before they are counted."""
+    atoms = _fit(atoms, max_len)
     q = _distinct(queries).withColumn("g", trigrams(F.col("query"))).select("query", F.size("g").alias("nq"), F.explode("g").alias("gram"))
     a = atoms.select("str").distinct().withColumn("g", trigrams(F.col("str"))).select("str", F.size("g").alias("na"), F.explode("g").alias("gram"))
     near = (F.col("nq") * least <= F.col("na")) & (F.col("na") * least <= F.col("nq"))
@@ -67,7 +73,7 @@ def candidate_search(queries: DataFrame, atoms: DataFrame, concepts: DataFrame,
     """query, cui, rank, position, name, root_source of the best candidates of each distinct query."""
     arms = [exact_arm(queries, atoms), token_arm(queries, atoms, limit, max_len)]
     if include_trigram:
-        arms.append(trigram_arm(queries, atoms, least))
+        arms.append(trigram_arm(queries, atoms, least, max_len))
     return top_k_candidates(union_hits(*arms), limit).join(concepts.select("cui", F.col("pref_name").alias("name"), "root_source"), "cui")
 
 

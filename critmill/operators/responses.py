@@ -2,80 +2,22 @@
 
 from __future__ import annotations
 
-import json
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import deterministic_id, let, strip_bullet, trimmed, tui_from_uri
+from .repair import repaired
 
 #: Where an envelope may hold its text, in this order.
 TEXT_FIELDS = ["text", "output", "message", "content"]
-#: The fields of a record.
-RECORD_FIELDS = ["NCT_ID", "Criterion", "Domain", "Concept", "Qualifier", "TimeWindow", "OriginalText"]
-_KEYS = "|".join(RECORD_FIELDS)
-#: Rewrites of malformed JSON, in the order in which they apply.
-REPAIRS = [
-    (r'("\w+")\s*[=<>~]\s*(")', "$1:$2"),
-    (r'(?<=[{,])\s*"(\w+)\s*=\s*"', '"$1":"'),
-    (r'(?<=[{,])\s*"(\w+)(?:[^"\w][^"]*)"\s*[><=]\s*([^"]+)"', '"$1":"$2"'),
-    (r'"([A-Za-z_][A-Za-z0-9_]*)"(?!\s*[:,\]\}])', '"$1":"'),
-    (rf'(?<=[{{,]\s{{0,100}})"({_KEYS})"(?=\s*[,}}])', '"$1":""'),
-    (r"\}\s*,\s*\\\w+\s*\{", "},{"),
-    (r'(?<=\{)\s*("[^"]*"\s*)+(?="NCT_ID"\s*:)', ""),
-    (r'\{\s*"\},\{(?=\s*"NCT_ID"\s*:)', "{"),
-    (r'"(?=\{\s*"NCT_ID")', ""),
-    (rf'(?<=[{{,]\s{{0,100}})"n({_KEYS})"\s*:', '"$1":'),
-    (r"\}\s*\{[^}]*$", "}]"),
-    (r'\}\s*\{(?=\s*"NCT_ID")', "},{"),
-    (r"\]\s*\}+\s*$", "]"),
-    (r"^(\s*\[[\s\S]*\})\s*$", "$1]"),
-    (r'"\s*\]\s*$', '"}]'),
-    (r'("[^"]*)"(\)+)(?=\s*[,}])', '$1$2"'),
-    (r'\{"(NCT\d{8,})"(?=\s*,)', '{"NCT_ID":"$1"'),
-    (r'(?<=[^:"\s\\])""(?=\s*[,\]\}])', '"'),
-    (r'(":\s*"[^"\\]*(?:\\.[^"\\]*)*")\s+[^,}"\n]+"[^"\\]*(?:\\.[^"\\]*)*"(?=\s*[,\}])', "$1"),
-    (r",(\s*[\]\}])", "$1"),
-    (r'(?<!\\)\\([^"\\/bfnrtu])', "$1"),
-]
-
-
-@F.pandas_udf(StringType())
-def _unwrap_records(texts: pd.Series) -> pd.Series:
-    """Records that stand as JSON strings become objects; only failing rows have text here."""
-
-    def one(m: re.Match) -> str:
-        token = m.group(0) if m.group(0).endswith('"') else m.group(0) + '"'
-        try:
-            inner = json.loads(token)
-            return inner if "NCT_ID" in json.loads(inner) else m.group(0)
-        except (ValueError, TypeError):
-            return m.group(0)
-
-    return texts.map(lambda t: None if t is None else re.sub(r'"\{(?:\\.|[^"\\])*\}"?', one, t))
 
 
 @F.pandas_udf(StringType())
-def _mend_values(texts: pd.Series) -> pd.Series:
-    """Quotes inside a known field's value are escaped, raw line breaks inside strings become a blank."""
-    value = re.compile(rf'"({_KEYS})"\s*:\s*"([\s\S]*?)"(?=\s*(?:,\s*"(?:{_KEYS})"|[}}\]]))')
-    token, inner, breaks = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"'), re.compile(r'(?<!\\)"'), re.compile(r"\s*[\r\n]+\s*")
-
-    def escape(m: re.Match) -> str:
-        return f'"{m.group(1)}":"' + inner.sub('\\\\"', m.group(2)) + '"' if inner.search(m.group(2)) else m.group(0)
-
-    return texts.map(lambda t: None if t is None else token.sub(lambda m: breaks.sub(" ", m.group(0)), value.sub(escape, t)))
-
-
-def repair_json(text: Column) -> Column:
-    """The text after every rewrite; null stays null, so callers pass only what failed a strict parse."""
-    t = _unwrap_records(text)
-    for pattern, to in REPAIRS:
-        t = F.regexp_replace(t, pattern, to)
-    return _mend_values(t)
+def repair_json(texts: pd.Series) -> pd.Series:
+    """Clean JSON of malformed record arrays; null stays null, so callers pass only what failed a strict parse."""
+    return texts.map(repaired, na_action="ignore")
 
 
 def _kind(v: Column) -> Column:
@@ -109,7 +51,7 @@ def payload(raw: Column) -> Column:
 def parse_responses(df: DataFrame) -> DataFrame:
     """nct_id, outcome (success, empty_array, invalid_json), was_repaired and records of each row of nct_id, raw.
 
-    A strict parse comes first; only text that fails it is rewritten and parsed once more. A record is an
+    A strict parse comes first; only text that fails it is read leniently (`repair`) and parsed once more. A record is an
     object, or a string that holds one with an NCT_ID; the trial's own nct_id takes the place of the model's. Numbers and
     truth values become text (a number in the parser's notation: 1e3 gives 1000.0). Duplicate keys need
     spark.sql.variant.allowDuplicateKeys=true.
@@ -117,7 +59,7 @@ def parse_responses(df: DataFrame) -> DataFrame:
     t = df.select("nct_id", F.when(trimmed(F.col("raw")) != "", payload(F.col("raw"))).alias("text"))
     t = t.withColumn("strict", parse_strict(F.col("text")))
     t = t.withColumn("mended", repair_json(F.when(F.col("strict").isNull(), F.col("text"))))
-    t = t.withColumn("second", parse_strict(F.when(F.col("mended") != F.col("text"), F.col("mended"))))
+    t = t.withColumn("second", parse_strict(F.col("mended")))
     t = t.withColumn("was_repaired", F.col("strict").isNull() & F.col("second").isNotNull()).withColumn("root", F.coalesce("strict", "second"))
     root = F.col("root")
     items = F.when(_kind(root) == "ARRAY", F.try_variant_get(root, "$", "array<variant>")).when(_kind(root) == "OBJECT", F.array(root))
@@ -137,7 +79,8 @@ def parse_responses(df: DataFrame) -> DataFrame:
     )
     t = t.withColumn("records", F.transform("objects", record))
     outcome = F.when(root.isNull(), "invalid_json").when(F.coalesce(F.size("records"), F.lit(0)) > 0, "success").otherwise("empty_array")
-    return t.select("nct_id", outcome.alias("outcome"), "was_repaired", "records")
+    # The explode of one element keeps later filters from making the records again.
+    return t.select(F.explode(F.array(F.struct("nct_id", outcome.alias("outcome"), "was_repaired", "records"))).alias("r")).select("r.*")
 
 
 def records(parsed: DataFrame) -> DataFrame:

@@ -437,14 +437,14 @@ COSINE = """WITH q AS (SELECT * FROM b_embedding WHERE {where}), s AS (SELECT q.
     SELECT query_id, nct_id, similarity, CAST(rank AS INTEGER) AS rank{more} FROM r WHERE rank <= 10"""
 
 
-@query(COSINE.format(where="nct_id LIKE '%00'", on="true", more=""))
+@query(COSINE.format(where="CAST(substr(nct_id, 4) AS BIGINT) % 50 = 0", on="true", more=""))
 def j12_similar_to_vectors(t):
-    return jo.similar_to_vectors(t.b_embedding, t.b_embedding.filter("nct_id LIKE '%00'").withColumnRenamed("nct_id", "query_id"))
+    return jo.similar_to_vectors(t.b_embedding, t.b_embedding.filter("CAST(substr(nct_id, 4) AS BIGINT) % 50 = 0").withColumnRenamed("nct_id", "query_id"))
 
 
-@query(COSINE.format(where="nct_id LIKE '%50'", on="q.nct_id <> e.nct_id AND q.phase = e.phase", more=", true AS has_vector"))
+@query(COSINE.format(where="CAST(substr(nct_id, 4) AS BIGINT) % 50 = 0", on="q.nct_id <> e.nct_id AND q.phase = e.phase", more=", true AS has_vector"))
 def j13_similar_to_trials(t):
-    return jo.similar_to_trials(t.b_embedding, t.b_embedding.filter("nct_id LIKE '%50'").select("nct_id"), match=["phase"])
+    return jo.similar_to_trials(t.b_embedding, t.b_embedding.filter("CAST(substr(nct_id, 4) AS BIGINT) % 50 = 0").select("nct_id"), match=["phase"])
 
 
 @query("""SELECT c_custkey AS study_id, count(o_orderkey) AS criterion_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")

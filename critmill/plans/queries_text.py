@@ -31,10 +31,11 @@ def e1_normalize_key(t):
     return t.b_condition_mention.groupBy(tx.normalize_key(F.col("cond")).alias("norm")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, text AS plain FROM documents WHERE text NOT LIKE '%\\%'")
+#: The marks before which a backslash goes.
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(text, '([*\[\]#>_.!-])', '\\\1', 'g'), '\\([][\\`*_{}()#+.!<>|~-])', '\1', 'g') AS plain FROM documents""")
 def e2_unescape_markdown(t):
     escaped = F.regexp_replace("text", r"([*\[\]#>_.!-])", r"\\$1")
-    return t.documents.filter(~F.contains(F.col("text"), F.lit("\\"))).select("doc_id", tx.unescape_markdown(escaped).alias("plain"))
+    return t.documents.select("doc_id", tx.unescape_markdown(escaped).alias("plain"))
 
 
 @query(f"SELECT doc_id, list_aggregate(list_sort({TOKENS.format(x='text')}), 'string_agg', ' ') AS tokens, len({TOKENS.format(x='text')}) AS n FROM documents")
@@ -223,15 +224,36 @@ def asked(t: Tables) -> DataFrame:
 
 ASKED = "SELECT DISTINCT str AS query FROM b_atom UNION SELECT DISTINCT str || right(str, 1) FROM b_atom"
 NORM = "trim(regexp_replace(lower({x}), '\\s+', ' ', 'g'))"
-ARMS = f"""q AS (SELECT query, {LEXER.format(x='query')} AS l FROM ({ASKED})), s AS (SELECT str, {LEXER.format(x='str')} AS l FROM (SELECT DISTINCT str FROM b_atom)),
+TOP = "SELECT query, cui, rank, row_number() OVER (PARTITION BY query ORDER BY rank DESC, cui) AS position FROM (SELECT query, cui, max(round(rank, 9)) AS rank FROM ({arms}) GROUP BY ALL)"
+
+
+def arms(wanted: str) -> str:
+    """CTEs of the arms over a SELECT of query: top has the ranked candidates of all, top1 of those without trigrams."""
+    fit = "length(s.str) <= 80 AND NOT contains(s.str, ' | ')"
+    return f"""q AS (SELECT query, {LEXER.format(x='query')} AS l FROM ({wanted})), s AS (SELECT str, {LEXER.format(x='str')} AS l FROM (SELECT DISTINCT str FROM b_atom)),
     ex AS (SELECT DISTINCT query, cui, 2.0 AS rank FROM q JOIN atoms ON str_norm = {NORM.format(x='query')}),
-    tk0 AS (SELECT query, s.str, 1 + least(0.999, CAST(len(list_intersect(q.l, s.l)) AS DOUBLE) / len(q.l) / (1 + ln(len(s.l)))) AS rank FROM q, s WHERE len(list_intersect(q.l, s.l)) > 0 AND length(s.str) <= 80),
+    tk0 AS (SELECT query, s.str, 1 + least(0.999, CAST(len(list_intersect(q.l, s.l)) AS DOUBLE) / len(q.l) / (1 + ln(len(s.l)))) AS rank FROM q, s WHERE len(list_intersect(q.l, s.l)) > 0 AND {fit}),
     tk1 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(rank, 9) DESC, str) AS i FROM tk0),
     tk AS (SELECT DISTINCT query, cui, rank FROM tk1 JOIN b_atom USING (str) WHERE i <= 40),
-    qg AS (SELECT query, {GRAMS.format(l='l')} AS g FROM q), sg AS (SELECT str, {GRAMS.format(l='l')} AS g FROM s),
+    qg AS (SELECT query, {GRAMS.format(l='l')} AS g FROM q), sg AS (SELECT str, {GRAMS.format(l='l')} AS g FROM s WHERE {fit}),
     tg0 AS (SELECT query, str, CAST(len(list_intersect(qg.g, sg.g)) AS DOUBLE) / (len(qg.g) + len(sg.g) - len(list_intersect(qg.g, sg.g))) AS rank FROM qg, sg),
     tg AS (SELECT DISTINCT query, cui, rank FROM tg0 JOIN b_atom USING (str) WHERE rank >= 0.3),
-    top AS (SELECT query, cui, rank, row_number() OVER (PARTITION BY query ORDER BY rank DESC, cui) AS position FROM (SELECT query, cui, max(round(rank, 9)) AS rank FROM (SELECT * FROM ex UNION ALL SELECT * FROM tk UNION ALL SELECT * FROM tg) GROUP BY ALL))"""
+    top AS ({TOP.format(arms='SELECT * FROM ex UNION ALL SELECT * FROM tk UNION ALL SELECT * FROM tg')}), top1 AS ({TOP.format(arms='SELECT * FROM ex UNION ALL SELECT * FROM tk')})"""
+
+
+def resolution(wanted: str, threshold: float) -> str:
+    """CTEs of the guarded search with fallback: best has query, cui, name, root_source, score. The bindings' texts are no acronyms."""
+    tokens, digits = TOKENS.format(x="query"), "list_filter(" + WORDS + ", lambda w: regexp_matches(w, '[0-9]'))"
+    lev = "1 - CAST(levenshtein(lower(trim(query)), lower(trim(pref_name))) AS DOUBLE) / greatest(length(trim(query)), length(trim(pref_name)))"
+    return f"""{arms(wanted)},
+    cand AS (SELECT *, 1 AS pass FROM top1 WHERE position <= 15 UNION ALL SELECT *, 2 FROM top WHERE position <= 15),
+    scored AS (SELECT query, cui, position, pass, pref_name, root_source, len({tokens}) AS nt, CASE WHEN len({tokens}) = 0 THEN 0.0 ELSE CAST(len(list_intersect({tokens}, {TOKENS.format(x='pref_name')})) AS DOUBLE) / len({tokens}) END AS cover, {lev} AS lev, {digits.format(x='query')} AS qd, {digits.format(x='pref_name')} AS cd FROM cand JOIN concepts USING (cui)),
+    good AS (SELECT *, greatest(cover, lev) AS score FROM scored WHERE (nt < 2 OR cover >= 0.6) AND (len(qd) = 0 OR len(cd) = 0 OR list_has_any(qd, cd)) AND greatest(cover, lev) >= {threshold}),
+    firsts AS (SELECT query, min(pass) AS pass FROM good GROUP BY 1),
+    best AS (SELECT query, cui, pref_name AS name, root_source, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, position, cui) AS i FROM good JOIN firsts USING (query, pass)) WHERE i = 1)"""
+
+
+ARMS = arms(ASKED)
 
 
 @query(f"WITH {ARMS} SELECT query, cui, round(rank, 6) AS rank, CAST(position AS INTEGER) AS position, pref_name AS name FROM top JOIN concepts USING (cui) WHERE position <= 15")
@@ -240,48 +262,73 @@ def r1_candidate_search(t):
     return c.select("query", "cui", F.round("rank", 6).alias("rank"), "position", "name")
 
 
-@query(f"""WITH m AS (SELECT norm, min(raw) AS raw_form FROM mentions GROUP BY 1), e AS (SELECT DISTINCT m.norm, raw_form, a.cui, c.pref_name, a.cui IN (SELECT descendant FROM closure) AS h FROM m JOIN atoms a ON a.str_norm = m.norm JOIN concepts c ON c.cui = a.cui),
+CONDITIONS = f"""WITH m AS (SELECT norm, min(raw) AS raw_form FROM mentions GROUP BY 1), e AS (SELECT DISTINCT m.norm, raw_form, a.cui, c.pref_name, a.cui IN (SELECT descendant FROM closure) AS h FROM m JOIN atoms a ON a.str_norm = m.norm JOIN concepts c ON c.cui = a.cui),
     k AS (SELECT *, count(*) OVER (PARTITION BY norm) AS n, row_number() OVER (PARTITION BY norm ORDER BY h DESC, {NORM.format(x='pref_name')} = norm DESC,
-        greatest(1 - CAST(levenshtein(lower(raw_form), lower(pref_name)) AS DOUBLE) / greatest(length(raw_form), length(pref_name)), CAST(len(list_intersect({TOKENS.format(x='raw_form')}, {TOKENS.format(x='pref_name')})) AS DOUBLE) / len({TOKENS.format(x='raw_form')})) DESC, cui) AS i FROM e)
-    SELECT norm AS condition_norm, cui AS code, CASE WHEN n = 1 THEN 'exact' ELSE 'exact_ambiguous' END AS match_tier, 1.0 AS match_score FROM k WHERE i = 1""")
+        greatest(1 - CAST(levenshtein(lower(raw_form), lower(pref_name)) AS DOUBLE) / greatest(length(raw_form), length(pref_name)), CAST(len(list_intersect({TOKENS.format(x='raw_form')}, {TOKENS.format(x='pref_name')})) AS DOUBLE) / len({TOKENS.format(x='raw_form')})) DESC, cui) AS i FROM e),
+    others AS (SELECT norm, raw_form FROM m WHERE norm NOT IN (SELECT norm FROM e)), {resolution('SELECT DISTINCT raw_form AS query FROM others', 0.6)},
+    known AS (SELECT norm AS condition_norm, raw_form, cui AS code, CASE WHEN n = 1 THEN 'exact' ELSE 'exact_ambiguous' END AS match_tier, CAST(1.0 AS DOUBLE) AS match_score FROM k WHERE i = 1
+        UNION ALL SELECT norm, raw_form, cui, CASE WHEN cui IS NULL THEN 'unresolved' ELSE 'fuzzy' END, score FROM others LEFT JOIN best ON query = raw_form)"""
+
+
+@query(f"{CONDITIONS} SELECT condition_norm, code, match_tier, match_score FROM known")
 def r4_resolve_conditions(t):
     c = t.b_condition_mention.groupBy(tx.normalize_key(F.col("cond")).alias("condition_norm")).agg(F.min(F.trim("cond")).alias("raw_form"))
     return re_.resolve_conditions(c, t.atoms, t.concepts, t.closure).select("condition_norm", "code", "match_tier", "match_score")
 
 
-@query()
+@query(f"WITH {resolution(ASKED, 0.45)} SELECT * FROM best")
 def r2_search_with_fallback(t):
     return re_.resolve_queries(asked(t), t.atoms, t.concepts)
 
 
-@query()
+#: The concepts of criteria, resolved, with their canonical types.
+CRITERIA = f"""WITH {resolution('SELECT DISTINCT concept AS query FROM b_eligibility', 0.45)},
+    canon AS (SELECT cui, list_sort(list(DISTINCT tui)) AS tuis, list_aggregate(list_sort(list(DISTINCT sty)), 'string_agg', ', ') AS sty_text FROM b_type GROUP BY 1)"""
+
+
+@query(f"""{CRITERIA} SELECT id, nct_id, concept, cui AS concept_code, name AS umls_name, score AS match_score, root_source AS match_source, sty_text AS semantic_type, list_aggregate(tuis, 'string_agg', '|') AS tuis
+    FROM b_eligibility LEFT JOIN best ON query = concept LEFT JOIN canon USING (cui)""")
 def r3_resolve_concepts(t):
-    return re_.resolve_concepts(t.b_eligibility.select("id", "nct_id", "concept"), t.atoms, t.concepts, t.b_type)
+    out = re_.resolve_concepts(t.b_eligibility.select("id", "nct_id", "concept"), t.atoms, t.concepts, t.b_type)
+    return out.withColumn("tuis", F.array_join("semantic_type_tuis", "|")).drop("semantic_type_tuis")
 
 
-@query()
+@query(f"{CONDITIONS} SELECT condition_norm, raw_form, CAST(0 AS BIGINT) AS study_count, code, match_tier, match_score, '2024-01-01' AS resolved FROM known")
 def r5_ensure_conditions(t):
     d = dictionary(t).limit(0).select("condition_norm", "raw_form", "study_count", "code", F.lit("").alias("match_tier"), F.lit(0.0).alias("match_score"), F.lit(None).cast("timestamp").alias("resolved_at"))
-    return re_.ensure_conditions(t.b_condition_mention, d, t.atoms, t.concepts, t.closure, "2024-01-01 00:00:00")
+    out = re_.ensure_conditions(t.b_condition_mention, d, t.atoms, t.concepts, t.closure, "2024-01-01 00:00:00")
+    return out.withColumn("resolved", F.date_format("resolved_at", "yyyy-MM-dd")).drop("resolved_at")
 
 
 def coded(t: Tables) -> DataFrame:
     return t.b_eligibility.select("id", "nct_id", "concept", "concept_code", F.lit(None).cast("string").alias("umls_name"), F.lit(None).cast("double").alias("match_score"), F.lit(None).cast("string").alias("match_source"), "semantic_type", F.array().cast("array<string>").alias("semantic_type_tuis"))
 
 
-@query()
+@query(f"""{CRITERIA} SELECT nct_id, count(*) AS rows_attempted, count(cui) AS rows_resolved FROM b_eligibility LEFT JOIN best ON query = concept
+    WHERE concept_code IS NULL AND trim(concept) <> '' AND nct_id NOT IN (SELECT nct_id FROM b_attempted) GROUP BY 1""")
 def r6_retry_unresolved(t):
     return re_.retry_unresolved(coded(t), jo.trials_to_retry(t.b_eligibility, t.b_attempted, n=None), t.atoms, t.concepts, t.b_type)[1]
 
 
-@query("SELECT id, coalesce(e.concept_code, c.cui) AS concept_code FROM b_eligibility e LEFT JOIN (SELECT str_norm, min(cui) AS cui FROM atoms WHERE str_norm IN (SELECT str_norm FROM atoms GROUP BY 1 HAVING count(DISTINCT cui) = 1) GROUP BY 1) c ON false")
+@query("SELECT id, concept_code FROM b_eligibility")
 def r7_no_terms(t):
     """Terms that all say NONE change nothing."""
     terms = co.concepts_to_normalize(t.b_eligibility, t.b_atom.limit(0).select(F.col("cui").alias("concept_norm")), n=None).select("concept_norm", F.lit(" none ").alias("term"))
     return re_.apply_normalized_terms(coded(t), terms, t.atoms, t.concepts)[0].select("id", "concept_code")
 
 
-@query()
+#: A term is its key's smallest form; each key of the bindings has one.
+FILLED = f"""WITH u AS (SELECT {NORM.format(x='concept')} AS norm, min(concept) AS term FROM b_eligibility WHERE concept_code IS NULL GROUP BY 1), {resolution('SELECT DISTINCT term AS query FROM u', 0.45)},
+    filled AS (SELECT id, concept_code, cui FROM b_eligibility LEFT JOIN u ON {NORM.format(x='concept')} = norm LEFT JOIN best ON query = term)"""
+
+
+@query(f"{FILLED} SELECT id, coalesce(concept_code, cui) AS concept_code FROM filled")
+def r7_filled_rows(t):
+    terms = co.concepts_to_normalize(t.b_eligibility, t.b_atom.limit(0).select(F.col("cui").alias("concept_norm")), n=None).select("concept_norm", F.col("sample").alias("term"))
+    return re_.apply_normalized_terms(coded(t), terms, t.atoms, t.concepts)[0].select("id", "concept_code")
+
+
+@query(f"{FILLED} SELECT (SELECT count(*) FROM u JOIN best ON query = term) AS resolved, CAST(0 AS BIGINT) AS not_a_concept, count(*) FILTER (concept_code IS NULL AND cui IS NOT NULL) AS rows_updated FROM filled")
 def r7_apply_terms(t):
     terms = co.concepts_to_normalize(t.b_eligibility, t.b_atom.limit(0).select(F.col("cui").alias("concept_norm")), n=None).select("concept_norm", F.col("sample").alias("term"))
     return re_.apply_normalized_terms(coded(t), terms, t.atoms, t.concepts)[2]
@@ -333,6 +380,26 @@ def x1_parse_responses(t):
     return rs.records(rs.parse_responses(damaged(t))).select("nct_id", "criterion", "domain", "concept", "original_text")
 
 
+#: Damage of each kind that a response may have: what is replaced, by what.
+DAMAGE = [
+    ('"Qualifier":""', '"Qualifier">= 70%"'), ('"Qualifier":""', '"Qualifier="high"'), ('"Qualifier":""', '"Qualifier"'), (r"\},\{", r"},\\n{"), (r"\},\{", "}{"), (r"\},\{", '},"{'), (r"^\[\{", '[{"n{"'),
+    (r"\},\{", '},{"},{'), ('"NCT_ID"', '"nNCT_ID"'), (r"\]$", '{"NCT_ID":"N'), (r"\}\]$", "]"), (r'"\}', '""}'), ('"TimeWindow":""', '"TimeWindow":"x*" OR "y*"'), (',"TimeWindow"', "," + " " * 150 + '"nTimeWindow"'),
+    ('"Domain":"', '"Domain" > "'), (r"\]$", "]}}"), ('"TimeWindow":""', r'"TimeWindow":"a \\> b"'), ('"Qualifier":""', '"Qualifier":"a \n b"'), ('"Qualifier":""', '"Qualifier":"the "active" arm, "x", or y"'), ('"Qualifier":""', '"Qualifier":"a (b")'),
+    (r"\]$", ",]"), (r"\]$", ""), ('"Criterion":"', '"Criterion કરતા " > "'),
+]
+
+
+@query(RECORDS)
+def x2_repair_json(t):
+    """Each trial's rows with one kind of damage; every one is read as it was."""
+    whole, raw = t.b_eligibility.select("nct_id", F.struct(F.col("nct_id").alias("NCT_ID"), F.col("criterion").alias("Criterion"), F.col("domain").alias("Domain"), F.col("concept").alias("Concept"), F.lit("").alias("Qualifier"), F.lit("").alias("TimeWindow"), F.col("original_text").alias("OriginalText")).alias("r")), F.col("j")
+    k = F.pmod(F.xxhash64("nct_id"), F.lit(len(DAMAGE)))
+    for i, (what, by) in enumerate(DAMAGE):
+        raw = F.when(k == i, F.regexp_replace("j", what, by)).otherwise(raw)
+    sent = whole.groupBy("nct_id").agg(F.to_json(F.collect_list("r")).alias("j")).select("nct_id", raw.alias("raw"))
+    return rs.records(rs.parse_responses(sent)).select("nct_id", "criterion", "domain", "concept", "original_text")
+
+
 @query("SELECT nct_id, 'success' AS status, CAST(substr(nct_id, 4, 8) AS INTEGER) % 9 IN (2, 3, 4, 6, 7) AS was_repaired FROM (SELECT DISTINCT nct_id FROM b_eligibility)")
 def x3_parse_outcome(t):
     return rs.attempt_status(rs.parse_responses(damaged(t))).select("nct_id", "status", "was_repaired")

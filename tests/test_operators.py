@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from critmill.functions import text as tx
 from critmill.operators import cohorts as co
 from critmill.operators import joins as jo
+from critmill.operators import resolve as re_
 from critmill.operators import responses as rs
 from critmill.operators import search as se
 from critmill.plans import queries as plans
@@ -133,3 +134,11 @@ def test_similar_in_many_cells(spark, match):
     s = np.round(unit @ unit.T, 4)
     want = {(ids[i], ids[j], n + 1) for i in range(0, 600, 50) for n, j in enumerate(sorted((j for j in range(600) if not match or phase[i] == phase[j]), key=lambda j: (-s[i, j], ids[j]))[:5])}
     assert {(r.query_id, r.nct_id, r["rank"]) for r in t.collect()} == want
+
+
+def test_fuzzy_arms_skip_long_and_panel_atoms(spark):
+    atoms = [("C1", "chest pains | panel"), ("C2", "chest pain " + "x" * 80), ("C3", "chest pain syndrome")]
+    atoms = spark.createDataFrame(atoms, "cui string, str string")
+    q = spark.createDataFrame([("chest pain",)], "query string")
+    assert {r.cui for r in re_.trigram_arm(q, atoms).collect()} == {"C3"}
+    assert {r.cui for r in re_.token_arm(q, atoms).collect()} == {"C3"}
