@@ -26,9 +26,13 @@ def scratch(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/critmill-{uuid.uuid4().hex}"
+    # With its scheme, so that tasks that write files themselves mean the same store as Spark does.
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/critmill-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def save(df: DataFrame, path: str | None = None) -> DataFrame:

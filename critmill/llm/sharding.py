@@ -111,12 +111,21 @@ def shard(docs: DataFrame, n_shards: int = 40, tolerance: float = 0.002, group_t
     fine = [total * i // (n_shards * per) for i in range(1, n_shards * per)]
     known = splitters(narrow, fine, total, rows, int(tolerance * total / n_shards)) if rows else {0: (0, 0)}
     keys = sorted(known)
+    whole_keys = [k for k in keys if k % (1 << 64) == 0]
+    sorted_bytes = {id(x): [known[k][0] for k in x] for x in (keys, whole_keys)}
+
+    def closest(among: list[int], aim: int) -> int:
+        """Of counted keys in order, the one nearest to a position, ties to the smaller."""
+        below = sorted_bytes[id(among)]
+        i = bisect.bisect_left(below, aim)
+        # Keys of equal counts stand together; the first of them is the smallest.
+        ends = [bisect.bisect_left(below, below[j]) for j in (i - 1, i) if 0 <= j < len(below)]
+        return among[min(ends, key=lambda j: (abs(below[j] - aim), among[j]))]
 
     def nearest(aim: int) -> int:
         """The counted key nearest to a position; one that cuts no group of equal texts, where that is near enough."""
-        best = min(keys, key=lambda k: (abs(known[k][0] - aim), k))
-        whole = [k for k in keys if k % (1 << 64) == 0 and abs(known[k][0] - aim) <= group_tolerance * total / n_shards]
-        return min(whole, key=lambda k: (abs(known[k][0] - aim), k)) if whole else best
+        whole = closest(whole_keys, aim)
+        return whole if abs(known[whole][0] - aim) <= group_tolerance * total / n_shards else closest(keys, aim)
 
     bounds = [0]
     for aim in aims:
