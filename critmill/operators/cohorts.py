@@ -10,7 +10,7 @@ from .search import latest_attempt, resolved, selectable
 
 
 def pairs(criteria: DataFrame) -> DataFrame:
-    """Distinct (nct_id, concept_code) of resolved rows: the table that cohort work is best kept in, bucketed by code."""
+    """Distinct (nct_id, concept_code) of resolved rows: the table that cohort work is best kept in; made once, it stands for criteria in the functions below."""
     return resolved(criteria).select("nct_id", "concept_code").distinct()
 
 
@@ -34,7 +34,7 @@ def cohort_members(kind: str, value: str, *, criteria: DataFrame, detail: DataFr
     spark = criteria.sparkSession
     universe = resolved(criteria).select("nct_id", "concept_code")
     if kind == "Concept":
-        return universe.join(F.broadcast(with_descendants(value, closure, spark)), "concept_code", "left_semi").select("nct_id").distinct()
+        return universe.join(with_descendants(value, closure, spark), "concept_code", "left_semi").select("nct_id").distinct()
     if kind == "Condition":
         known = dictionary.select("condition_norm", F.col("code").alias("concept_code")).join(with_descendants(value, closure, spark), "concept_code", "left_semi")
         t = mentions.withColumn("condition_norm", normalize_key(F.col("cond"))).join(known.select("condition_norm"), "condition_norm", "left_semi")
@@ -51,8 +51,10 @@ def cohort_members(kind: str, value: str, *, criteria: DataFrame, detail: DataFr
 def cohort_profile(members: DataFrame, criteria: DataFrame) -> DataFrame:
     """concept_code, trials and the cohort's size on every row; one row without a code if the profile is empty."""
     per = pairs(criteria).join(members, "nct_id", "left_semi").groupBy("concept_code").agg(F.count(F.lit(1)).alias("trials"))
-    size = members.agg(F.count(F.lit(1)).alias("size"))
-    return size.join(per, F.lit(True), "left")
+    size = F.broadcast(members.agg(F.count(F.lit(1)).alias("size")))  # one row
+    # The row without a code goes where there are others: it is one of few rows, the profile never moves to it.
+    none = per.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit(None).cast("string").alias("concept_code"), F.lit(None).cast("long").alias("trials"))
+    return per.unionByName(none).crossJoin(size).select("size", "concept_code", "trials")
 
 
 def corpus_profile(criteria: DataFrame) -> DataFrame:

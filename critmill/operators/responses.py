@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import deterministic_id, let, strip_bullet, trimmed, tui_from_uri
+from ..sources.tables import upsert
 from .repair import repaired
 
 #: Where an envelope may hold its text, in this order.
@@ -183,6 +184,16 @@ def _by(*names: str):
     return Window.partitionBy(*names)
 
 
-def sync_children(target: DataFrame, new: DataFrame, parent: str, key: str) -> DataFrame:
-    """Children of every parent that `new` names become exactly the new ones; other parents' stay."""
-    return target.join(new.select(parent).distinct(), parent, "left_anti").select(*target.columns).unionByName(new.dropDuplicates([key]).select(*target.columns))
+def sync_children(target: DataFrame, new: DataFrame, parent: str, key: str, keep: tuple[str, ...] = ("created_at", "created_by")) -> DataFrame:
+    """Children of every parent that `new` names become the new ones; other parents' stay.
+
+    A child that stays (by its key) is updated but for the `keep` columns, others of the parent go.
+    """
+    others = target.join(new.select(parent).distinct(), parent, "left_anti")
+    kept = target.join(new.select(parent, key).distinct(), [parent, key], "left_semi")
+    return others.unionByName(upsert(kept.select(*target.columns), new, [key], {c: "keep" for c in keep if c in target.columns})).select(*target.columns)
+
+
+def replace_sources(sources: DataFrame, new: DataFrame, kept: DataFrame, key: str = "criterion_id") -> DataFrame:
+    """Sources of the kept children become the new ones; those of other children stay. kept: the ids that sync_children took."""
+    return sources.join(kept.select(key).distinct(), key, "left_anti").select(*sources.columns).unionByName(new.select(*sources.columns))

@@ -9,12 +9,30 @@ from ..functions.text import code_tokens, null_if_empty, significant_token_count
 
 #: Phrases of criteria that only name a contact.
 STOP_PHRASES = ["please contact", "contact site for", "contact study"]
-CRITERIA_SORTS = {
-    "newest": [F.desc_nulls_last, "created_at"],
-    "nct": [F.asc_nulls_last, "nct_id"],
-    "concept": [F.asc_nulls_last, "concept"],
-    "domain": [F.asc_nulls_last, "domain"],
-}
+#: By what criteria and attempts can be sorted; an unknown key means the first.
+CRITERIA_SORTS = ["created_at_desc", "created_at_asc", "nct_id_asc", "criterion_asc", "domain_asc", "concept_asc", "concept_code_asc", "semantic_type_asc", "match_score_desc"]
+ATTEMPT_SORTS = ["started_at_desc", "started_at_asc", "finished_at_desc", "nct_id_asc", "status_asc", "duration_desc", "parsed_desc", "persisted_desc", "prompt_tokens_desc", "completion_tokens_desc"]
+#: Short names of sort keys, and columns that a key's name stands for.
+SHORT = {"newest": "created_at_desc", "nct": "nct_id_asc", "concept": "concept_asc", "domain": "domain_asc"}
+SHORT_ATTEMPTS = {"newest": "started_at_desc", "oldest": "started_at_asc", "nct": "nct_id_asc", "duration": "duration_desc"}
+NAMED = {"parsed": "parsed_record_count", "persisted": "persisted_row_count", "prompt_tokens": "llm_prompt_tokens", "completion_tokens": "llm_completion_tokens"}
+
+
+def sort_columns(df: DataFrame, sort: str | None, menu: list[str], short: dict[str, str], ties: dict[str, str]) -> list[Column]:
+    """Order of a menu's key: nulls last, ties in the key's own direction by the column that `ties` names for it ('' for the rest).
+
+    A key whose column the table lacks falls back to the first as an unknown one does.
+    """
+    key = short.get((sort or "").lower(), (sort or "").lower())
+    name, _, way = (key if key in menu else menu[0]).rpartition("_")
+    took = F.col("finished_at").cast("double") - F.col("started_at").cast("double") if name == "duration" and "finished_at" in df.columns else None
+    column = took if took is not None else F.col(NAMED.get(name, name)) if NAMED.get(name, name) in df.columns else None
+    if column is None:
+        name, _, way = menu[0].rpartition("_")
+        column = F.col(name)
+    down = way == "desc"
+    tie = ties.get(name, ties[""])
+    return [column.desc_nulls_last() if down else column.asc_nulls_last(), F.desc(tie) if down or name in ties else F.asc(tie)]
 
 
 def selectable(criteria: Column, min_length: int = 50, phrases: list[str] = STOP_PHRASES) -> Column:
@@ -60,8 +78,7 @@ def search_criteria(df: DataFrame, *, nct_id=None, criterion=None, domain=None,
         t = t.filter(F.col("concept_code") == v)
     if types := sorted({x.strip() for x in semantic_types or [] if x and x.strip()}):
         t = t.filter(F.arrays_overlap("semantic_type_tuis", F.array(*map(F.lit, types))))
-    way, name = CRITERIA_SORTS.get(sort, CRITERIA_SORTS["newest"])
-    return page_of(t, [way(name), F.desc("id")], page, size), t.agg(F.count(F.lit(1)).alias("total"))
+    return page_of(t, sort_columns(t, sort, CRITERIA_SORTS, SHORT, {"": "id"}), page, size), t.agg(F.count(F.lit(1)).alias("total"))
 
 
 def _holds(text: str):
@@ -109,9 +126,7 @@ def list_attempts(df: DataFrame, *, status=None, run_id=None, nct_id=None, hide_
     for name, value in (("status", status), ("run_id", run_id), ("nct_id", nct_id)):
         if v := _given(value):
             t = t.filter(F.col(name) == v)
-    order = {"oldest": [F.asc("started_at")], "nct": [F.asc("nct_id")]}.get(sort, [F.desc("started_at")])
-    if sort == "duration" and "finished_at" in df.columns:
-        order = [F.desc_nulls_last(F.col("finished_at").cast("double") - F.col("started_at").cast("double"))]
+    order = sort_columns(t, sort, ATTEMPT_SORTS, SHORT_ATTEMPTS, {"": "nct_id", "nct_id": "started_at", "status": "started_at"})
     return page_of(t, [*order, F.desc("attempt_id")], page, size, 1000)
 
 
@@ -119,15 +134,15 @@ def attempt_history(df: DataFrame, nct_id: str) -> DataFrame:
     return df.filter(F.col("nct_id") == nct_id).orderBy(F.desc("started_at"), F.desc("attempt_id"))
 
 
-def search_audit(df: DataFrame, *, user=None, action=None, since=None, until=None, limit=50, cap=100_000) -> DataFrame:
-    """Audit rows, newest first; the time range is inclusive."""
+def search_audit(df: DataFrame, *, user=None, action=None, since=None, until=None, limit=50, cap=100_000, page=1) -> DataFrame:
+    """A page of audit rows, newest first; the time range is inclusive."""
     t = df
     for name, value in (("user_name", user), ("action", action)):
         if v := _given(value):
             t = t.filter(F.col(name) == v)
     t = t if since is None else t.filter(F.col("occurred_at") >= F.lit(since))
     t = t if until is None else t.filter(F.col("occurred_at") <= F.lit(until))
-    return t.orderBy(F.desc("occurred_at"), F.desc("audit_id")).limit(max(1, min(limit, cap)))
+    return page_of(t, [F.desc("occurred_at"), F.desc("audit_id")], page, limit, cap)
 
 
 def append_audit(log: DataFrame, rows: DataFrame) -> DataFrame:

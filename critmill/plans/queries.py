@@ -48,20 +48,22 @@ LIFT = """
     WHERE c.trials >= 10"""
 
 
-def lift(t: Tables, members: DataFrame, defining: DataFrame) -> DataFrame:
-    e = t.b_eligibility
-    return co.lift_table(co.cohort_profile(members, e), co.corpus_profile(e), co.corpus_trial_count(e), t.concepts, defining)
+def lift(t: Tables, members: Callable[[DataFrame], DataFrame], defining: DataFrame) -> DataFrame:
+    """The pairs are written once and stand for the criteria in all four parts."""
+    p = ta.materialized(co.pairs(t.b_eligibility))
+    members = ta.materialized(members(p))
+    return co.lift_table(co.cohort_profile(members, p), co.corpus_profile(p), co.corpus_trial_count(p), t.concepts, defining)
 
 
 @query(f"WITH members AS (SELECT DISTINCT nct_id FROM pairs WHERE concept_code = '{CODE}'), defining AS (SELECT '{CODE}' AS code) {LIFT}")
 def a5_lift_concept(t):
-    return lift(t, co.cohort_members("Concept", CODE, criteria=t.b_eligibility), co.defining_codes("Concept", CODE, None, t.spark))
+    return lift(t, lambda p: co.cohort_members("Concept", CODE, criteria=p), co.defining_codes("Concept", CODE, None, t.spark))
 
 
 @query(f"""WITH defining AS (SELECT 'C0001007' AS code UNION SELECT descendant FROM closure WHERE ancestor = 'C0001007'),
     members AS (SELECT DISTINCT nct_id FROM pairs WHERE concept_code IN (SELECT code FROM defining)) {LIFT}""")
 def a5_lift_descendants(t):
-    return lift(t, co.cohort_members("Concept", "C0001007", criteria=t.b_eligibility, closure=t.closure), co.defining_codes("Concept", "C0001007", t.closure, t.spark))
+    return lift(t, lambda p: co.cohort_members("Concept", "C0001007", criteria=p, closure=t.closure), co.defining_codes("Concept", "C0001007", t.closure, t.spark))
 
 
 @query("SELECT DISTINCT nct_id FROM b_study_detail WHERE phase = '1-URGENT' AND nct_id IN (SELECT nct_id FROM pairs)")
@@ -275,7 +277,7 @@ def f1_selectable_trials(t):
     return se.selectable_trials(t.b_source_trial).select("nct_id")
 
 
-@query("""SELECT id, nct_id, concept FROM b_eligibility WHERE contains(lower(criterion), 'inclu') AND contains(lower(concept), 'a') AND domain = 'PROMO' ORDER BY concept, id DESC LIMIT 50 OFFSET 50""")
+@query("""SELECT id, nct_id, concept FROM b_eligibility WHERE contains(lower(criterion), 'inclu') AND contains(lower(concept), 'a') AND domain = 'PROMO' ORDER BY concept, id LIMIT 50 OFFSET 50""")
 def f2_search_criteria(t):
     return se.search_criteria(t.b_eligibility, criterion="INCLU", concept="a ", domain="PROMO", nct_id=" ", sort="concept", page=2)[0].select("id", "nct_id", "concept")
 
@@ -291,7 +293,7 @@ def f3_search_studies(t):
     return se.search_studies(t.b_study_detail.join(names, "nct_id"), {"brief_title": "urgent", "conditions": "B", "source": ""}).select("nct_id", "brief_title")
 
 
-@query("SELECT attempt_id, nct_id, status FROM latest WHERE i = 1 AND status = 'llm_failed' ORDER BY started_at DESC, attempt_id DESC LIMIT 100")
+@query("SELECT attempt_id, nct_id, status FROM latest WHERE i = 1 AND status = 'llm_failed' ORDER BY started_at DESC, nct_id DESC LIMIT 100")
 def f4_list_attempts(t):
     return se.list_attempts(t.b_study_attempt, status="llm_failed", size=100).select("attempt_id", "nct_id", "status")
 

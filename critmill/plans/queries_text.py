@@ -250,7 +250,7 @@ def resolution(wanted: str, threshold: float) -> str:
     scored AS (SELECT query, cui, position, pass, pref_name, root_source, len({tokens}) AS nt, CASE WHEN len({tokens}) = 0 THEN 0.0 ELSE CAST(len(list_intersect({tokens}, {TOKENS.format(x='pref_name')})) AS DOUBLE) / len({tokens}) END AS cover, {lev} AS lev, {digits.format(x='query')} AS qd, {digits.format(x='pref_name')} AS cd FROM cand JOIN concepts USING (cui)),
     good AS (SELECT *, greatest(cover, lev) AS score FROM scored WHERE (nt < 2 OR cover >= 0.6) AND (len(qd) = 0 OR len(cd) = 0 OR list_has_any(qd, cd)) AND greatest(cover, lev) >= {threshold}),
     firsts AS (SELECT query, min(pass) AS pass FROM good GROUP BY 1),
-    best AS (SELECT query, cui, pref_name AS name, root_source, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, position, cui) AS i FROM good JOIN firsts USING (query, pass)) WHERE i = 1)"""
+    best AS (SELECT query, cui, pref_name AS name, root_source, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, position, cui) AS i FROM good JOIN firsts USING (query, pass)) WHERE i = 1)"""
 
 
 ARMS = arms(ASKED)

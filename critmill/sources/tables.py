@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; in a temporary one where none is set (tests)."""
+    """A new path in the shared folder that spark.checkpoint.dir names; in a temporary one where none is set and all runs on this machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
@@ -48,9 +50,15 @@ RULES = {
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], rules: dict[str, object] | None = None) -> DataFrame:
     """Keyed merge by one full outer join; `rules` names a rule or gives f(old, new) by column (default: overwrite).
 
-    Updates hold one row a key. Plain files have no MERGE, so the result is the whole new table.
+    Of several updates of a key, the greatest row (by its columns in the target's order) counts, so that none multiplies a
+    stored row. Plain files have no MERGE, so the result is the whole new table.
     """
     rules = rules or {}
+    rest = [c for c in target.columns if c in updates.columns and c not in keys]
+    if rest:
+        updates = updates.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("__r")).select(*keys, "__r.*")
+    else:
+        updates = updates.select(*keys).distinct()
     t = target.select("*", F.lit(True).alias("__t")).alias("t")
     u = updates.select("*", F.lit(True).alias("__u")).alias("u")
     on = [F.col(f"t.{k}").eqNullSafe(F.col(f"u.{k}")) for k in keys]

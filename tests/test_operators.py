@@ -142,3 +142,33 @@ def test_fuzzy_arms_skip_long_and_panel_atoms(spark):
     q = spark.createDataFrame([("chest pain",)], "query string")
     assert {r.cui for r in re_.trigram_arm(q, atoms).collect()} == {"C3"}
     assert {r.cui for r in re_.token_arm(q, atoms).collect()} == {"C3"}
+
+
+def test_sort_menus(spark):
+    """Ties follow the key's own direction; nulls come last; unknown keys mean the first."""
+    rows = [(1, "b", None), (2, "a", 0.5), (3, "a", 0.9), (4, "b", 0.9)]
+    t = spark.createDataFrame(rows, "id long, concept string, match_score double").withColumn("created_at", F.lit("2024-01-01"))
+    order = lambda key: [r.id for r in se.search_criteria(t, sort=key)[0].collect()]
+    assert order("concept_asc") == [2, 3, 1, 4] and order("match_score_desc") == [4, 3, 2, 1] and order("created_at_asc") == [1, 2, 3, 4]
+    assert order("no such key") == order(None) == order("created_at_desc") == [4, 3, 2, 1]
+    a = spark.createDataFrame([("r", "n1", "failed", 3), ("r", "n2", "done", None), ("r", "n3", "done", 7)], "run_id string, nct_id string, status string, llm_prompt_tokens long")
+    a = a.withColumn("started_at", F.lit("2024-01-01")).withColumn("attempt_id", F.col("nct_id"))
+    names = lambda key: [r.nct_id for r in se.list_attempts(a, sort=key).collect()]
+    assert names("prompt_tokens_desc") == ["n3", "n1", "n2"] and names("status_asc")[2] == "n1" and names("parsed_desc") == names("newest") == ["n3", "n2", "n1"]
+
+
+def test_upsert_takes_one_row_a_key_and_children_keep_their_origin(spark):
+    t = spark.createDataFrame([("p", 1, "x", "then", "ann"), ("p", 2, "y", "then", "ann"), ("q", 3, "z", "then", "ann")], "parent string, id long, v string, created_at string, created_by string")
+    new = spark.createDataFrame([("p", 1, "x2", "now", "bob"), ("p", 4, "w", "now", "bob")], t.schema)
+    got = {tuple(r) for r in rs.sync_children(t, new, "parent", "id").collect()}
+    assert got == {("p", 1, "x2", "then", "ann"), ("p", 4, "w", "now", "bob"), ("q", 3, "z", "then", "ann")}
+    twice = new.union(new.withColumn("v", F.lit("a")))
+    assert {(r.id, r.v) for r in ta.upsert(t, twice, ["id"]).collect()} == {(1, "x2"), (2, "y"), (3, "z"), (4, "w")}
+    s = spark.createDataFrame([(1, "old"), (3, "old")], "criterion_id long, text string")
+    assert {tuple(r) for r in rs.replace_sources(s, s.limit(0).union(spark.createDataFrame([(1, "new")], s.schema)), spark.createDataFrame([(1,)], "criterion_id long")).collect()} == {(1, "new"), (3, "old")}
+
+
+def test_empty_profile_keeps_the_size(spark):
+    c = spark.createDataFrame([("n1", None), ("n2", "C1")], "nct_id string, concept_code string")
+    members = spark.createDataFrame([("n1",)], "nct_id string")
+    assert [tuple(r) for r in co.cohort_profile(members, c).collect()] == [(1, None, None)]
