@@ -87,11 +87,12 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, pieces: int = 8, s
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"), F.max("quality").cast("int").alias("__z")).filter("y = __z").drop("__z")
     picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
     # At most 2 * rows ids.
-    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked[0].union(picked[1])), "doc_id")
-    sample = sample.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
-    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))  # `rows` rows a class
-    sample = save(sample.withColumn("__at", place))
+    ids = picked[0].union(picked[1]).withColumn("__at", place)
+    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    sample = sample.groupBy("doc_id", "y", "__at").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    sample = save(sample)
     counts = {r.y: r.n for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if min(counts.get(0, 0), counts.get(1, 0)) < 2:
         share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
