@@ -172,3 +172,36 @@ def test_empty_profile_keeps_the_size(spark):
     c = spark.createDataFrame([("n1", None), ("n2", "C1")], "nct_id string, concept_code string")
     members = spark.createDataFrame([("n1",)], "nct_id string")
     assert [tuple(r) for r in co.cohort_profile(members, c).collect()] == [(1, None, None)]
+
+
+def test_stream_of_runs_equals_one_run_and_replays(spark, tmp_path):
+    from critmill.plans.batch import CRITERIA, run_batch
+    from critmill.streaming.batches import stream_runs
+
+    text = "Adults of at least eighteen years who have given their consent to take part"
+    ids = [f"NCT{i:08d}" for i in range(6)]
+    for k in range(2):
+        spark.createDataFrame([(i, text) for i in ids[k::2]] + [("NCT99999999", "short")], "nct_id string, criteria string").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    raw = ['[{"NCT_ID":"x","Criterion":"Inclusion","Concept":"asthma","OriginalText":"t"}]', "[]", "no answer", None, '[{"NCT_ID":"x","Concept":"asthma",}]']
+    responses = spark.createDataFrame(list(zip(ids, raw)), "nct_id string, raw string")
+    atoms = spark.createDataFrame([("C1", "asthma", "asthma")], "cui string, str string, str_norm string")
+    concepts = spark.createDataFrame([("C1", "asthma", "MSH")], "cui string, pref_name string, root_source string")
+    types = spark.createDataFrame([("C1", "T1", "Disease")], "cui string, tui string, sty string")
+    kinds = {"ord": "int", "match_score": "double", "semantic_type_tuis": "array<string>"}
+    start = {
+        "criteria": spark.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in CRITERIA)),
+        "attempts": spark.createDataFrame([], "run_id string, nct_id string, status string, message string, was_repaired boolean, criterion_count int, started_at timestamp"),
+        "failures": spark.createDataFrame([], "nct_id string, attempt_count int, last_error string"),
+    }
+
+    def run(trials, old, number):
+        r = run_batch(trials, responses, atoms, concepts, types, old["criteria"], old["attempts"], old["failures"], "r1", "2024-01-01 00:00:00")
+        return {"criteria": r.criteria, "attempts": r.attempts, "failures": r.failures}
+
+    rows = lambda tables: {n: sorted(map(str, t.collect())) for n, t in tables.items()}
+    source = spark.readStream.schema("nct_id string, criteria string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    stream_runs(source, start, run, f"{tmp_path}/state", f"{tmp_path}/checkpoint").awaitTermination()
+    streamed = rows({n: spark.read.parquet(f"{tmp_path}/state/1/{n}") for n in start})
+    once = run(spark.createDataFrame([(i,) for i in ids], "nct_id string"), start, 0)
+    assert streamed == rows(once) == rows(run(spark.createDataFrame([(i,) for i in ids], "nct_id string"), once, 0))
+    assert [len(streamed[n]) for n in start] == [2, 6, 3]
