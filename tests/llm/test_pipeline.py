@@ -72,3 +72,27 @@ def test_mixing_and_packing(steps):
         used[r.sequence_id] += r.length
     assert max(used.values()) <= 2048 and len(used) <= 1.02 * sum(used.values()) / 2048 + 1
     assert p.ORACLE_SQL is None
+
+
+def test_stages_on_messy_rows(spark, messy):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing column names, stage after stage."""
+    docs = messy.withColumn("score", F.lit(1.0)).withColumn("n_bytes", F.lit("mine")).withColumn("taken", F.lit(3)).withColumn("kept", F.lit(True))
+    docs = docs.union(docs.filter("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    kept = p.drop_near_duplicates(spark, docs, SF10)
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert {1, 2, 3, None} <= set(ids) and not {7, 12} & set(ids) and kept.columns == docs.columns
+    good = p.filter_quality(spark, docs, SF10)
+    assert good.columns == docs.columns and good.count() <= docs.count()
+    cut = p.cut_repeats(spark, docs, SF10)
+    texts = {r.doc_id: r.text for r in cut.collect()}
+    assert cut.columns == docs.columns and cut.count() == docs.count() and texts[1] is None and texts[2] == "" and texts[7] == ""
+    assert cut.filter("score <> 1 OR n_bytes <> 'mine' OR taken <> 3").count() == 0
+    mixed = p.mix_sources(spark, docs, SF10)
+    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in docs.collect()}
+    packed = p.pack_sequences(spark, docs, SF10)
+    assert packed.filter("piece = 0").count() == docs.count()
+
+
+def test_stages_on_no_rows(spark, empty):
+    for name, stage in p.STAGES:
+        assert stage(spark, empty, SF10).count() == 0, name
