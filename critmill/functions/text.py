@@ -211,6 +211,11 @@ def tokens_per_second(tokens: Column, started: Column, finished: Column) -> Colu
     return F.when(s > 0, tokens / s)
 
 
+def average_per_study(total: Column, studies: Column) -> Column:
+    """Criteria or seconds a study; 0 without studies or while the total isn't known (a run that is open)."""
+    return F.when(studies > 0, F.coalesce(total / studies, F.lit(0.0))).otherwise(0.0)
+
+
 def run_fraction(done: Column, requested: Column) -> Column:
     return F.when(requested > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), done / requested))).otherwise(0.0)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_key, trimmed, unresolved
+from ..sources.tables import materialized
 from .search import latest_attempt, resolved, selectable
 
 
@@ -255,13 +256,17 @@ def backfill_semantic_types(criteria: DataFrame, types: DataFrame) -> tuple[Data
 
 
 def compare_resolvers(sample: DataFrame, a: DataFrame, b: DataFrame, examples: int = 15) -> DataFrame:
-    """bucket, n and example queries of two resolvers' results. sample: query; a, b: query, cui."""
+    """bucket, n and example queries of two resolvers' results. sample: query; a, b: query, cui.
+
+    Each task keeps its first queries of a bucket before they meet, so that no bucket is sorted whole in one task.
+    """
     t = sample.select("query").distinct().join(a.select("query", F.col("cui").alias("ca")), "query", "left").join(b.select("query", F.col("cui").alias("cb")), "query", "left")
     x, y = F.col("ca").isNotNull(), F.col("cb").isNotNull()
     bucket = F.when(x & y & (F.col("ca") == F.col("cb")), "both").when(x & y, "different").when(x, "a_only").when(y, "b_only").otherwise("neither")
-    t = t.withColumn("bucket", bucket)
-    t = t.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy("query")))
-    return t.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("i") <= examples, F.col("query")))).alias("examples"))
+    t = materialized(t.select("query", bucket.alias("bucket")))
+    first = t.withColumn("i", F.row_number().over(Window.partitionBy("bucket").orderBy("query"))).filter(F.col("i") <= examples)
+    first = first.groupBy("bucket").agg(F.sort_array(F.collect_list("query")).alias("examples"))
+    return t.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(first), "bucket")  # five rows at most
 
 
 def merge_duplicate_concepts(records: DataFrame) -> DataFrame:

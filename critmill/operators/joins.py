@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_key, trimmed, unescape_markdown, unresolved
@@ -82,16 +82,25 @@ def unmappable_rows(criteria: DataFrame, types: DataFrame) -> DataFrame:
     return t.join(types.select(F.col("cui").alias("concept_code")), "concept_code", "left_anti")
 
 
+#: Columns of attempts that time a phase of a trial's work.
+PHASES = ["llm_ms", "umls_ms", "persist_ms"]
+
+
 def runs_with_totals(runs: DataFrame, attempts: DataFrame, page: int = 1, size: int = 50) -> DataFrame:
-    """Runs, newest first, with token sums of their successful attempts."""
+    """Runs, newest first, with token sums and mean milliseconds a phase (those that attempts time) of their successful attempts.
+
+    A run without a timed success has null means.
+    """
     ok = F.col("status") == "success"
+    means = [F.avg(F.when(ok, F.col(c))).alias(f"avg_{c}") for c in PHASES if c in attempts.columns]
     per = attempts.groupBy("run_id").agg(
         F.coalesce(F.sum(F.when(ok, F.col("llm_prompt_tokens"))), F.lit(0)).alias("prompt_tokens"),
         F.coalesce(F.sum(F.when(ok, F.col("llm_completion_tokens"))), F.lit(0)).alias("completion_tokens"),
         F.count_if(ok).alias("successes"),
+        *means,
     )
     t = runs.join(per, "run_id", "left").fillna(0, ["prompt_tokens", "completion_tokens", "successes"])
-    size = max(1, min(size, 200))
+    size = max(1, min(size, 500))
     return t.orderBy(F.desc("started_at"), F.desc("run_id")).offset((max(1, page) - 1) * size).limit(size)
 
 
@@ -109,10 +118,6 @@ def semantic_types_of(codes: DataFrame, types: DataFrame) -> DataFrame:
     return codes.select("concept_code").distinct().join(per, "concept_code", "left").withColumn("assignments", F.coalesce("assignments", none))
 
 
-def _unit(c: Column) -> Column:
-    return F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-
 def similar_to_vectors(emb: DataFrame, queries: DataFrame, with_criteria: DataFrame | None = None, k: int = 10, match: list[str] | None = None, skip_self: bool = False, block: int = 256, rows_block: int = 1024) -> DataFrame:
     """query_id, nct_id, similarity (cosine, 4 places) and rank: the k most similar rows of each query, ties by nct_id.
 

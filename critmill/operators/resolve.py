@@ -164,14 +164,18 @@ def ensure_conditions(mentions: DataFrame, dictionary: DataFrame, atoms: DataFra
     return store_conditions(dictionary, resolve_conditions(unseen_conditions(mentions, dictionary), atoms, concepts, closure), now)
 
 
-def retry_unresolved(criteria: DataFrame, trials: DataFrame, atoms: DataFrame, concepts: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Criteria after another try for the unresolved rows of some trials, and the ledger (nct_id, rows_attempted, rows_resolved)."""
+def retry_unresolved(criteria: DataFrame, trials: DataFrame, atoms: DataFrame, concepts: DataFrame, types: DataFrame, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Criteria after another try for the unresolved rows of some trials, and the ledger (nct_id, rows_attempted, rows_resolved).
+
+    A dry run tells the ledger and leaves criteria as they are. To force trials that were retried before, take them from
+    trials_to_retry(include_retried=True).
+    """
     mine = criteria.join(trials.select("nct_id").distinct().withColumn("__m", F.lit(True)), "nct_id", "left")
     todo = F.col("__m").isNotNull() & unresolved(F.col("concept_code")) & (trimmed(F.coalesce("concept", F.lit(""))) != "")
     mine = mine.withColumn("__todo", todo)
     found = materialized(resolve_concepts(mine.filter("__todo").drop("__m", "__todo"), atoms, concepts, types).select(*criteria.columns))
     ledger = found.groupBy("nct_id").agg(F.count(F.lit(1)).alias("rows_attempted"), F.count_if(F.col("concept_code").isNotNull()).alias("rows_resolved"))
-    return mine.filter("NOT __todo").select(*criteria.columns).unionByName(found), ledger
+    return (criteria if dry_run else mine.filter("NOT __todo").select(*criteria.columns).unionByName(found)), ledger
 
 
 def apply_normalized_terms(criteria: DataFrame, term_map: DataFrame, atoms: DataFrame, concepts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

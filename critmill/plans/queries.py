@@ -169,13 +169,40 @@ def a11_cluster_records(t):
     return co.cluster_records(t.b_eligibility, t.b_study_detail, "Inclusion", key="C0000011").select("id", "nct_id", "concept", "original_text")
 
 
-@query("""WITH f AS (SELECT norm, raw, count(DISTINCT nct_id) AS n FROM mentions WHERE norm <> '' GROUP BY ALL),
-    b AS (SELECT norm, raw, row_number() OVER (PARTITION BY norm ORDER BY n DESC, raw) AS i FROM f)
-    SELECT norm AS condition_norm, raw AS raw_form, (SELECT count(DISTINCT nct_id) FROM mentions m WHERE m.norm = b.norm) AS study_count FROM b WHERE i = 1""")
+SEED = """WITH f AS (SELECT norm, raw, count(DISTINCT nct_id) AS n FROM mentions WHERE norm <> '' GROUP BY ALL),
+    b AS (SELECT norm, raw, row_number() OVER (PARTITION BY norm ORDER BY n DESC, raw) AS i FROM f),
+    seed AS (SELECT norm AS condition_norm, raw AS raw_form, (SELECT count(DISTINCT nct_id) FROM mentions m WHERE m.norm = b.norm) AS study_count FROM b WHERE i = 1)"""
+
+
+@query(f"{SEED} SELECT * FROM seed")
 def a12_seed_conditions(t):
     return co.seed_conditions(t.b_condition_mention)
 
 
+#: A dictionary from before: two thirds of the keys, half of these with another raw form, and a key that no trial mentions.
+STORED = """stored AS (SELECT condition_norm, CASE WHEN length(condition_norm) % 3 = 0 THEN raw_form ELSE raw_form || ' old' END AS raw_form, CAST(1 AS BIGINT) AS study_count, 'C1' AS code, '2024-01-01' AS resolved FROM seed WHERE length(condition_norm) % 3 < 2
+    UNION ALL SELECT 'gone', 'Gone', 4, 'C2', '2024-01-01')"""
+
+
+def stored_dictionary(t: Tables) -> DataFrame:
+    s, n = co.seed_conditions(t.b_condition_mention), F.length("condition_norm") % 3
+    s = s.filter(n < 2).select("condition_norm", F.when(n == 0, F.col("raw_form")).otherwise(F.concat("raw_form", F.lit(" old"))).alias("raw_form"), F.lit(1).cast("long").alias("study_count"), F.lit("C1").alias("code"))
+    gone = t.spark.createDataFrame([("gone", "Gone", 4, "C2")], s.schema)
+    return s.union(gone).withColumn("resolved_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+
+
+@query(f"""{SEED}, {STORED} SELECT coalesce(s.condition_norm, d.condition_norm) AS condition_norm, coalesce(s.raw_form, d.raw_form) AS raw_form, coalesce(s.study_count, d.study_count) AS study_count, d.code,
+    CASE WHEN s.raw_form IS NULL OR s.raw_form = d.raw_form THEN d.resolved END AS resolved FROM stored d FULL JOIN seed s ON s.condition_norm = d.condition_norm""")
+def a12_seed_dictionary(t):
+    out = co.seed_condition_dictionary(t.b_condition_mention, stored_dictionary(t))[0]
+    return out.withColumn("resolved", F.date_format("resolved_at", "yyyy-MM-dd")).drop("resolved_at")
+
+
+@query(f"{SEED}, {STORED} SELECT count(*) AS inserted FROM seed WHERE condition_norm NOT IN (SELECT condition_norm FROM stored)")
+def a12_inserted(t):
+    return co.seed_condition_dictionary(t.b_condition_mention, stored_dictionary(t))[1]
+
+
 @query("""SELECT trim(lower(concept)) AS concept_norm, min(concept) AS sample, count(*) AS frequency FROM b_eligibility WHERE concept_code IS NULL GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 100000""")
 def a13_concepts_to_normalize(t):
     return co.concepts_to_normalize(t.b_eligibility, t.b_atom.limit(0).select(F.col("cui").alias("concept_norm")))
@@ -434,6 +461,14 @@ def j11_runs_with_totals(t):
     return jo.runs_with_totals(runs, t.b_study_attempt, size=200).drop("started_at")
 
 
+@query("""SELECT run_id, avg(llm_prompt_tokens * 3) FILTER (status = 'success') AS avg_llm_ms, avg(llm_completion_tokens + 7) FILTER (status = 'success') AS avg_umls_ms, avg(attempt_id % 11) FILTER (status = 'success' AND attempt_id % 11 > 0) AS avg_persist_ms
+    FROM b_study_attempt GROUP BY 1 ORDER BY min(started_at) DESC, 1 DESC LIMIT 500""")
+def j11_run_phase_means(t):
+    a = t.b_study_attempt.withColumn("llm_ms", F.col("llm_prompt_tokens") * 3).withColumn("umls_ms", F.col("llm_completion_tokens") + 7).withColumn("persist_ms", F.nullif(F.col("attempt_id") % 11, F.lit(0)))
+    runs = a.groupBy("run_id").agg(F.min("started_at").alias("started_at"))
+    return jo.runs_with_totals(runs, a, size=500).select("run_id", "avg_llm_ms", "avg_umls_ms", "avg_persist_ms")
+
+
 COSINE = """WITH q AS (SELECT * FROM b_embedding WHERE {where}), s AS (SELECT q.nct_id AS query_id, e.nct_id, round(list_cosine_similarity(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))), 4) AS similarity
     FROM q JOIN b_embedding e ON {on}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, nct_id) AS rank FROM s)
     SELECT query_id, nct_id, similarity, CAST(rank AS INTEGER) AS rank{more} FROM r WHERE rank <= 10"""

@@ -15,7 +15,7 @@ from ..sources import tables as ta
 from ..sources import terminology as te
 from ..streaming import batches as st
 from . import batch as ba
-from .bindings import Tables
+from .bindings import VIEWS, Tables
 from .queries import LEXER, TOKENS, WORDS, dictionary, query
 
 #: A pair of related texts per atom: its text and its concept's preferred name.
@@ -109,11 +109,21 @@ def e19_generated_text(t):
 
 
 @query("""SELECT attempt_id, CAST(llm_prompt_tokens AS DOUBLE) / 60 AS rate, (llm_prompt_tokens * 5 + llm_completion_tokens * 25) / 1000000.0 AS cost, least(1.0, attempt_id / 100.0) AS part,
-    CASE WHEN attempt_id > 0 THEN date_trunc('second', started_at + to_seconds(6000.0 / attempt_id) + INTERVAL 1 MILLISECOND) END AS eta FROM b_study_attempt WHERE attempt_id % 16 IN (0, 1, 2, 4, 8)""")
+    CASE WHEN attempt_id > 0 THEN CAST(trunc((epoch(started_at) + (epoch(started_at) + 60 - epoch(started_at)) / attempt_id * 100) * 1000000) AS BIGINT) END AS eta_micros FROM b_study_attempt""")
 def e22_throughput(t):
-    a = t.b_study_attempt.filter("attempt_id % 16 IN (0, 1, 2, 4, 8)").withColumn("finished_at", F.col("started_at") + F.expr("INTERVAL 60 SECONDS"))
+    a = t.b_study_attempt.withColumn("finished_at", F.col("started_at") + F.expr("INTERVAL 60 SECONDS"))
+    end = tx.eta(F.col("started_at"), F.col("finished_at"), F.col("attempt_id"), F.lit(100))
     return a.select("attempt_id", tx.tokens_per_second(F.col("llm_prompt_tokens"), F.col("started_at"), F.col("finished_at")).alias("rate"), tx.token_cost(F.col("llm_prompt_tokens"), F.col("llm_completion_tokens")).cast("double").alias("cost"),
-        tx.run_fraction(F.col("attempt_id"), F.lit(100)).alias("part"), tx.eta(F.col("started_at"), F.col("finished_at"), F.col("attempt_id"), F.lit(100)).alias("eta0")).withColumn("eta", F.date_trunc("second", F.col("eta0") + F.expr("INTERVAL 1 MILLISECOND")).cast("timestamp_ntz")).drop("eta0")
+        tx.run_fraction(F.col("attempt_id"), F.lit(100)).alias("part"), F.unix_micros(end).alias("eta_micros"))
+
+
+@query("""SELECT run_id, CASE WHEN n > 0 THEN round(tokens / n, 4) ELSE 0 END AS criteria, CASE WHEN n > 0 AND min_id % 2 = 0 THEN round((epoch(ended) - epoch(began)) / n, 4) ELSE 0 END AS seconds
+    FROM (SELECT run_id, count(*) FILTER (status = 'success') AS n, CAST(sum(llm_completion_tokens) AS DOUBLE) AS tokens, min(started_at) AS began, max(started_at) AS ended, min(attempt_id) AS min_id FROM b_study_attempt GROUP BY 1)""")
+def e22_averages(t):
+    """Averages a study by run; runs whose first attempt has an odd number are open."""
+    r = t.b_study_attempt.groupBy("run_id").agg(F.count_if(F.col("status") == "success").alias("n"), F.sum("llm_completion_tokens").alias("tokens"), F.min("started_at").alias("began"), F.max("started_at").alias("ended"), F.min("attempt_id").alias("id"))
+    took = tx.duration_seconds(F.col("began"), F.when(F.col("id") % 2 == 0, F.col("ended")))
+    return r.select("run_id", F.round(tx.average_per_study(F.col("tokens"), F.col("n")), 4).alias("criteria"), F.round(tx.average_per_study(took, F.col("n")), 4).alias("seconds"))
 
 
 # Terminology files.
@@ -341,6 +351,14 @@ def r8_apply_embeddings(t):
     return re_.apply_embeddings(texts, t.b_embedding.select("nct_id", "embedding"), none, "m")[0].select("nct_id", "model", "source_text")
 
 
+@query("SELECT count(*) FILTER (NOT (nct_id IN (SELECT nct_id FROM b_embedding) AND nct_id NOT IN (SELECT nct_id FROM b_attempted))) AS failed, count(*) FILTER (nct_id IN (SELECT nct_id FROM b_embedding) AND nct_id NOT IN (SELECT nct_id FROM b_attempted)) AS embedded FROM b_study_detail")
+def r8_counters(t):
+    """Vectors of attempted trials are missing: their texts fail, as do those without a vector."""
+    texts = t.b_study_detail.select("nct_id", F.col("brief_title").alias("source_text"))
+    none = t.b_embedding.limit(0).select("nct_id", "embedding", F.lit("").alias("model"), F.lit("").alias("source_text"))
+    return re_.apply_embeddings(texts, t.b_embedding.select("nct_id", "embedding").join(t.b_attempted, "nct_id", "left_anti"), none, "m")[1]
+
+
 @query(f"{SCORES} SELECT q AS query, c AS name FROM s WHERE len({TOKENS.format(x='q')}) < 2 OR cover >= 0.6")
 def f9_coverage_guard(t):
     return se.coverage_guard(pairs(t).select(F.col("q").alias("query"), F.col("c").alias("name")))
@@ -507,3 +525,20 @@ def p2_stream_batches(t):
     FROM b_study_attempt a LEFT JOIN e USING (nct_id) GROUP BY 1""")
 def p3_run_progress(t):
     return st.run_progress(st.progress_rows(t.b_eligibility, t.b_study_attempt))
+
+
+@query("""WITH e AS (SELECT nct_id, count(*) AS n, count(concept_code) AS k FROM b_eligibility GROUP BY 1),
+    p AS (SELECT run_id, count(*) AS done, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows, CAST(coalesce(sum(k), 0) AS BIGINT) AS resolved, min(started_at) AS began FROM b_study_attempt LEFT JOIN e USING (nct_id) GROUP BY 1)
+    SELECT run_id, done, rows, resolved, CASE WHEN rows > 0 THEN round(resolved / rows, 3) ELSE 0 END AS resolution_rate, least(1.0, done / 100.0) AS fraction,
+    CAST(trunc((epoch(began) + (epoch(TIMESTAMP '2030-01-01') - epoch(began)) / done * 100) * 1000000) AS BIGINT) AS eta_micros FROM p""")
+def p3_stream_progress(t):
+    """The events' file as a stream of attempts; the last state of each run's progress."""
+    spark, out = t.spark, ta.scratch(t.spark)
+    events = spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/events.parquet*")
+    attempts = spark.sql(VIEWS["b_study_attempt"].replace("FROM events", "FROM {events}"), events=events)
+    progress = st.run_progress(st.progress_rows(t.b_eligibility, attempts), requested=100, now="2030-01-01 00:00:00")
+    keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/progress/{number}")
+    stream = progress.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    last = spark.read.parquet(f"{out}/progress/{stream.lastProgress['batchId']}")
+    return last.withColumn("eta_micros", F.unix_micros("eta")).drop("eta", "started_at")

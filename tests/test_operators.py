@@ -101,6 +101,38 @@ def test_csv(spark):
     assert ta.csv_header(df, ["A", 'B"', "C"]).first()[0] == 'A,"B""",C'
 
 
+def test_csv_file(spark, tmp_path):
+    df = spark.createDataFrame([("a\nb", 1), (None, 2)], "a string, b int")
+    ta.export_csv(df.coalesce(1), f"{tmp_path}/out", ["A,", "B"])
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert b"".join(f.read_bytes() for f in files) == b'"A,",B\r\n"a\nb",1\r\n,2\r\n'
+
+
+def test_dry_run_of_retries_changes_nothing(spark):
+    c = spark.createDataFrame([("n1", "asthma", None)], "nct_id string, concept string, concept_code string")
+    for name, kind in (("umls_name", "string"), ("match_score", "double"), ("match_source", "string"), ("semantic_type", "string"), ("semantic_type_tuis", "array<string>")):
+        c = c.withColumn(name, F.lit(None).cast(kind))
+    atoms = spark.createDataFrame([("C1", "asthma", "asthma")], "cui string, str string, str_norm string")
+    concepts = spark.createDataFrame([("C1", "asthma", "MSH")], "cui string, pref_name string, root_source string")
+    types = spark.createDataFrame([("C1", "T1", "Disease")], "cui string, tui string, sty string")
+    for dry, code in ((True, None), (False, "C1")):
+        out, ledger = re_.retry_unresolved(c, c.select("nct_id"), atoms, concepts, types, dry_run=dry)
+        assert [r.concept_code for r in out.collect()] == [code]
+        assert [tuple(r) for r in ledger.collect()] == [("n1", 1, 1)]
+
+
+def test_conditions_meet_a_stored_dictionary(spark):
+    stored = spark.createDataFrame([("asthma", "Asthma", 3, "C1", None, None, None)], "condition_norm string, raw_form string, study_count long, code string, match_tier string, match_score double, resolved_at timestamp")
+    atoms = spark.createDataFrame([("C1", "asthma", "asthma"), ("C2", "gout", "gout")], "cui string, str string, str_norm string")
+    concepts = spark.createDataFrame([("C1", "asthma", "MSH"), ("C2", "gout", "MSH")], "cui string, pref_name string, root_source string")
+    closure = spark.createDataFrame([], "descendant string, ancestor string, min_distance int")
+    mentions = spark.createDataFrame([("n1", " ASTHMA"), ("n1", "gout")], "nct_id string, cond string")
+    out = re_.ensure_conditions(mentions, stored, atoms, concepts, closure, "2024-01-01 00:00:00")
+    assert sorted((r.condition_norm, r.study_count, r.code, r.match_tier, r.resolved_at is None) for r in out.collect()) == [("asthma", 3, "C1", None, True), ("gout", 0, "C2", "exact", False)]
+    assert [r.condition_norm for r in re_.pending_conditions(out).collect()] == ["asthma"]
+    assert [r.condition_norm for r in re_.pending_conditions(out, force=True).collect()] == ["asthma", "gout"]
+
+
 def test_empty_filters(spark):
     d = spark.createDataFrame([("N1", "t")], "nct_id string, brief_title string")
     assert se.search_studies(d, {"brief_title": " "}).count() == 0
