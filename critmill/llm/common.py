@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tables of at most so many narrow rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch: a task holds several copies of one, in the JVM and in its Python worker.
+BATCH_BYTES = 8 << 20
 U64 = np.uint64
 MASK = (1 << 64) - 1
 
@@ -51,6 +53,13 @@ def drop_saved(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_BYTES, unless the user has set a bound: 10,000 whole texts may be far more."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -86,9 +95,11 @@ def worker_state() -> types.ModuleType:
     return sys.modules.setdefault("_critmill_worker_state", types.ModuleType("_critmill_worker_state"))
 
 
-def text_chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole texts of about `most` bytes: first row, end row, UTF-8 bytes, offsets (n + 1)."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -119,7 +130,7 @@ class Powers:
 
     def upto(self, n: int) -> None:
         if n >= len(self.up):
-            size = max(n + 1, 1 << 20)
+            size = max(n + 1, 1 << 18)
             for name, b in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
                 x = np.full(size, b, U64)
                 x[0] = 1

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Powers, U64, drop_saved, lower_ascii, save, shingle_hashes, text_chunks, word_hashes
+from .common import BROADCAST_ROWS, Powers, U64, drop_saved, lower_ascii, save, shingle_hashes, small_batches, text_chunks, word_hashes
 from .graph import components
 
 #: Minwise values of a document; the first TREES * BRANCHES choose its root branches, the others those of large nodes.
@@ -311,6 +311,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, small: in
     and give no component_id unless all are null. Repeated rows are one document; of rows that share a doc_id but not a
     text, either may be confirmed. Columns other than doc_id and text are not read. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     p = percent / 100
     least = int(BYTES * (p - 4.8 * (p * (1 - p) / BYTES) ** 0.5))
     signed = save(signatures(docs, size))

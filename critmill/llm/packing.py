@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ranked, save
+from .common import ranked, save, small_batches
 from .tokens import WordEncoder
 
 
@@ -32,6 +32,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 204
 
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(fields + ([("ids", pa.binary())] if with_ids else []))
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 

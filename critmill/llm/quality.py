@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_saved, save
+from .common import drop_saved, save, small_batches
 
 
 @dataclass
@@ -36,22 +37,22 @@ def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=d, level=level, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def difference(texts: list[bytes], model: Model) -> np.ndarray:
+def difference(texts: Iterable[bytes], model: Model) -> np.ndarray:
     """Difference of compressed sizes over the text's bytes, higher where the good dictionary fits better.
 
     A text is compressed in pieces, so that its own beginning doesn't take the dictionary's
     place; every piece of the whole text counts.
     """
     good, bad = _compressor(model.good, model.level), _compressor(model.bad, model.level)
-    out = np.zeros(len(texts))
-    for i, t in enumerate(texts):
+    out = []
+    for t in texts:
         g = b = 0
         for at in range(0, len(t), model.piece):
             part = t[at : at + model.piece]
             g += len(good.compress(part))
             b += len(bad.compress(part))
-        out[i] = (b - g) / len(t) if t else 0.0
-    return out
+        out.append((b - g) / len(t) if t else 0.0)
+    return np.array(out)
 
 
 def _dictionary(parts: list[bytes], size: int) -> bytes:
@@ -84,6 +85,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, pieces: int = 8, s
     text are all that reaches the driver. With no label of one class, the score is the smoothed share of good labels. Null labels
     and texts teach nothing, nor does a doc_id with both labels; of rows that share a doc_id, the text of the least hash counts.
     """
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"), F.max("quality").cast("int").alias("__z")).filter("y = __z").drop("__z")
     picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
@@ -106,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 3000, pieces: int = 8, s
 
     @F.pandas_udf("double")
     def differ(text: pd.Series) -> pd.Series:
-        return pd.Series(difference([t.encode() for t in text], model))
+        return pd.Series(difference((t.encode() for t in text), model))
 
     got = sample.filter("__at % 2 = 0").select("y", "__at", differ("text").alias("x")).collect()
     got = sorted((r["y"], r["__at"], r["x"]) for r in got)
@@ -124,8 +126,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
     @F.pandas_udf("double")
     def rate(text: pd.Series) -> pd.Series:
-        x = difference([(t or "").encode() for t in text], model)
+        x = difference(((t or "").encode() for t in text), model)
         return pd.Series(1 / (1 + np.exp(-np.clip(model.intercept + model.slope * x, -500, 500))))
 
+    small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     return docs.withColumn("score", rate("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -11,19 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import files
-from .common import Powers, U64, mix64, partitions, save, scratch, text_chunks
+from .common import Powers, U64, mix64, partitions, save, scratch, small_batches, text_chunks
 
 #: Bytes of the anchors that route windows.
 ANCHOR = 16
 #: Bytes that a suffix array takes at once; what is larger is cut into several, merged by binary search.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 512 << 10
 LAST = (1 << 63) - 1
 #: Bytes of text in a shard of documents, at least and at most, and of runs in a bucket.
 SHARD_TEXT, BUCKET, MOST = 8 << 20, 4 << 20, 64 << 20
 #: Bytes that a shard sends to a bucket, about: both grow with the root of the data until then.
 BLOB_BYTES = 4096
 #: Bytes of different runs from which an anchor's windows are dealt out one by one.
-HOT_BYTES = 32 << 20
+HOT_BYTES = 8 << 20
 ID = "__doc"
 
 
@@ -96,48 +96,89 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, most:
     return out
 
 
-def window_owners(data: np.ndarray, first: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
-    """For each byte position: the least owner of any string that holds the window of `length` bytes starting there; LAST where no window fits its string.
+def window_groups(data: np.ndarray, first: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows of `length` bytes in their order: for each byte position its window's number (-1 where no window fits its string), and
+    for each number a position of the window and the least owner of any string that holds it.
 
     `data` holds strings one after another, `first` their starts (n + 1), `owner` a number for each.
     """
     n = len(data)
+    if not n:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
     order, rank = suffix_array(data)
-    lcp = common_prefixes(data, order, rank, length)
+    start = np.flatnonzero(common_prefixes(data, order, rank, length) < length)
+    del rank
     size = np.diff(first)
-    end = np.repeat(first[1:], size)
-    fits = np.arange(n) + length <= end
-    value = np.where(fits, np.repeat(owner, size), LAST)
-    start = np.flatnonzero(lcp < length)
-    least = np.minimum.reduceat(value[order], start) if n else value
-    out = np.empty(n, np.int64)
-    out[order] = np.repeat(least, np.diff(np.concatenate((start, [n]))))
-    return np.where(fits, out, LAST)
+    fits = np.arange(n) + length <= np.repeat(first[1:], size)
+    least = np.minimum.reduceat(np.where(fits, np.repeat(owner, size), LAST)[order], start)
+    head = np.maximum.reduceat(np.where(fits[order], order, -1), start)
+    some = head >= 0
+    number = np.where(some, np.cumsum(some) - 1, -1).astype(np.int32)
+    group = np.empty(n, np.int32)
+    group[order] = np.repeat(number, np.diff(np.concatenate((start, [n]))))
+    return np.where(fits, group, np.int32(-1)), head[some], least[some]
+
+
+def window_owners(data: np.ndarray, first: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """For each byte position: the least owner of any string that holds the window starting there; LAST where no window fits its string."""
+    group, _, least = window_groups(data, first, owner, length)
+    return np.append(least, LAST)[group]
+
+
+def _places(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search of b's windows in a's, both (bytes, positions in the windows' order): the first of a's that isn't smaller, and whether it is equal."""
+    (x, at), (y, want) = ((np.ndarray((len(d),), ">u8", d.tobytes() + bytes(8), 0, (1,)), p) for d, p in (a, b))
+    # The last eight bytes overlap those before.
+    steps = [*range(0, length - 8, 8), length - 8]
+    lo, hi = np.zeros(len(want), np.int64), np.full(len(want), len(at))
+    equal = np.zeros(len(want), bool)
+    todo = np.flatnonzero(lo < hi)
+    while len(todo):
+        mid = (lo[todo] + hi[todo]) >> 1
+        p, q = at[mid], want[todo]
+        smaller, open_ = np.zeros(len(todo), bool), np.arange(len(todo))
+        for k in steps:
+            u, v = x[p[open_] + k], y[q[open_] + k]
+            smaller[open_] = u < v
+            open_ = open_[u == v]
+            if not len(open_):
+                break
+        equal[todo[open_]] = True
+        lo[todo] = np.where(smaller, mid + 1, lo[todo])
+        hi[todo] = np.where(smaller, hi[todo], mid)
+        todo = todo[lo[todo] < hi[todo]]
+    return lo, equal
 
 
 def merge_owners(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], length: int) -> list[np.ndarray]:
-    """Owners of several shards' windows, each lowered to the least one of equal windows in the others.
+    """Least owners of several shards' distinct windows over all shards.
 
-    A shard is (bytes, positions of its windows, their owners). Sorted distinct windows of every other shard are looked
-    up by binary search.
+    A shard is (bytes, a position of each distinct window in the windows' order, their least owners). Shards merge two by two: binary search
+    finds the place of one's windows among the other's, so that only numbers are held besides the bytes.
     """
-    keys, out = [], []
-    for data, at, owner in parts:
-        view = np.lib.stride_tricks.sliding_window_view(data, length)[at] if len(at) else np.zeros((0, length), np.uint8)
-        keys.append(np.ascontiguousarray(view).view(f"S{length}").reshape(-1))
-    tables = []
-    for k, (_, _, owner) in zip(keys, parts):
-        by = np.lexsort((owner, k))
-        distinct = np.concatenate(([True], k[by][1:] != k[by][:-1])) if len(by) else np.zeros(0, bool)
-        tables.append((k[by][distinct], owner[by][distinct]))
-    for i, (_, _, owner) in enumerate(parts):
-        owner = owner.copy()
-        for j, (k, o) in enumerate(tables):
-            if i != j and len(k) and len(owner):
-                found = np.minimum(np.searchsorted(k, keys[i]), len(k) - 1)
-                owner = np.where(k[found] == keys[i], np.minimum(owner, o[found]), owner)
-        out.append(owner)
-    return out
+    nodes = [(*p, [np.arange(len(p[1]))]) for p in parts]
+    while len(nodes) > 1:
+        merged = [_merge(a, b, length) for a, b in zip(nodes[::2], nodes[1::2])]
+        nodes = merged + nodes[2 * len(merged) :]
+    _, _, least, where = nodes[0]
+    return [least[w] for w in where]
+
+
+def _merge(a: tuple, b: tuple, length: int) -> tuple:
+    """Two shards as one; the last of each tuple tells where the windows of the shards that it was made of stand in it."""
+    (x, at, own, where), (y, want, other, elsewhere) = a, b
+    place, equal = _places((x, at), (y, want), length)
+    own = own.copy()
+    own[place[equal]] = np.minimum(own[place[equal]], other[equal])
+    fresh = place[~equal]
+    mine = np.arange(len(at)) + np.searchsorted(fresh, np.arange(len(at)), "right")
+    theirs = np.empty(len(want), np.int64)
+    theirs[~equal] = fresh + np.arange(len(fresh))
+    theirs[equal] = mine[place[equal]]
+    head, least = np.empty(len(at) + len(fresh), np.int64), np.empty(len(at) + len(fresh), np.int64)
+    head[theirs], least[theirs] = want + len(x), other
+    head[mine], least[mine] = at, own
+    return np.concatenate((x, y)), head, least, [mine[w] for w in where] + [theirs[w] for w in elsewhere]
 
 
 def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -214,13 +255,26 @@ def pack_shards(docs: DataFrame, most: int = SHARD_TEXT) -> DataFrame:
 
     def pack(batches):
         number = TaskContext.get().partitionId() << 24
+
+        def row(parts):
+            nonlocal number
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for p in parts:
+                    out.write_batch(p)
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array([number - 1], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["shard", "blob"])
+
+        held, size = [], 0
         for batch in batches:
-            for lo, hi, _, _ in text_chunks(batch.column("text"), most):
-                sink, part = pa.BufferOutputStream(), batch.slice(lo, hi - lo)
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(part)
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["shard", "blob"])
-                number += 1
+            for lo, hi, data, _ in text_chunks(batch.column("text"), min(most, 1 << 18)):
+                if held and size + len(data) > most:
+                    yield row(held)
+                    held, size = [], 0
+                held.append(batch.slice(lo, hi - lo))
+                size += len(data)
+        if held:
+            yield row(held)
 
     return save(docs.mapInArrow(pack, "shard long, blob binary"))
 
@@ -390,16 +444,15 @@ def _spans(doc: np.ndarray, start: np.ndarray, size: np.ndarray, anchor: np.ndar
         r = open_[lo:hi]
         text = _pieces(data, first[r], size[r])
         begin = np.concatenate(([0], np.cumsum(size[r])))
-        owners = window_owners(text, begin, least[r], length)
-        windows = np.flatnonzero(np.arange(len(text)) + length <= np.repeat(begin[1:], size[r]))
-        found.append((text, windows, owners[windows], begin, r))
-    owners = merge_owners([f[:3] for f in found], length) if len(found) > 1 else [f[2] for f in found]
+        found.append((text, *window_groups(text, begin, least[r], length), begin, r))
+    owners = merge_owners([(f[0], f[2], f[3]) for f in found], length) if len(found) > 1 else [f[3] for f in found]
     mine = np.flatnonzero(~whole)
     mine = mine[np.argsort(head[mine], kind="stable")]
-    for (_, windows, _, begin, r), own in zip(found, owners):
+    for (_, group, _, _, begin, r), own in zip(found, owners):
         # Windows of a run that a smaller document holds, for every entry of the run's least document.
+        windows = np.flatnonzero(group >= 0)
         run = np.searchsorted(begin, windows, "right") - 1
-        hit = own < least[r][run]
+        hit = own[group[windows]] < least[r][run]
         run, offset = run[hit], (windows - begin[run])[hit]
         if not len(run):
             continue
@@ -467,6 +520,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, piece: int = SHARD_BYTES,
     if not ANCHOR < length <= 1 << 16:
         raise ValueError("length must be 17 to 65536 bytes")
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     root = min(MOST, int((total * BLOB_BYTES) ** 0.5))

@@ -14,6 +14,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from critmill.llm import licenses, quality, queries, simhash, suffix
+from critmill.llm.common import BATCH_BYTES, small_batches
 
 
 def brute_words(text):
@@ -295,3 +296,50 @@ def test_suffix_array():
             x, y = b[order[i - 1] :], b[order[i] :]
             same = next((j for j, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
             assert lcp[i] == min(same, 20)
+
+
+def test_merge_of_shards():
+    """Owners over all shards are those of one array of all strings, ties at the last bytes and windows of one shard only included."""
+    rnd, length = np.random.default_rng(11), 21
+    for shards in (2, 3, 5):
+        texts = [rnd.integers(97, 99, rnd.integers(1, 60), dtype=np.uint8) for _ in range(40)] + [np.full(50, 97, np.uint8)] * 3
+        common = rnd.integers(0, 256, 70, dtype=np.uint8)
+        texts += [np.concatenate((common[k:], rnd.integers(0, 256, 9, dtype=np.uint8))) for k in range(30)]
+        texts = [texts[i] for i in rnd.permutation(len(texts))]
+        owner = rnd.permutation(len(texts))
+        whole = {}
+        for t, o in zip(texts, owner):
+            for k in range(len(t) - length + 1):
+                w = t[k : k + length].tobytes()
+                whole[w] = min(whole.get(w, o), o)
+        parts = []
+        for k in range(shards):
+            data, first = np.concatenate(texts[k::shards]), np.concatenate(([0], np.cumsum([len(t) for t in texts[k::shards]])))
+            group, head, least = suffix.window_groups(data, first, owner[k::shards], length)
+            windows = [data[p : p + length].tobytes() for p in head]
+            assert windows == sorted(set(windows))
+            parts.append((data, head, least))
+        for (data, head, _), got in zip(parts, suffix.merge_owners(parts, length)):
+            assert [whole[data[p : p + length].tobytes()] for p in head] == got.tolist()
+
+
+def test_batches_are_bounded_unless_set(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    mine = spark.newSession()
+    mine.conf.unset(name)
+    small_batches(mine)
+    assert mine.conf.get(name) == str(BATCH_BYTES)
+    mine.conf.set(name, "1m")
+    small_batches(mine)
+    assert mine.conf.get(name) == "1m"
+
+
+def test_shards_of_several_batches(spark):
+    """A shard takes whole texts of more than one Arrow batch; one text above the size is a shard of its own."""
+    mine = spark.newSession()
+    mine.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2000")
+    texts = ["a" * 700, None, "", "b" * 9000, *("c" * 400 for _ in range(20))]
+    docs = mine.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    blobs = [suffix._open(r.blob) for r in suffix.pack_shards(docs, most=4000).orderBy("shard").collect()]
+    assert [x for b in blobs for x in b.column("text").to_pylist()] == texts
+    assert [b.num_rows for b in blobs] == [3, 1, 10, 10]
