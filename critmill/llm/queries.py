@@ -122,7 +122,7 @@ def _cluster_sql(k: int = 16, rounds: int = 3) -> str:
 
 def _rules_sql(window: int = 8, least: int = 200, reach: int = 3) -> str:
     space = r"[\x20\x09-\x0D]+"
-    unit = {"symbols": "n_symbols * 10000 // nullif(n_words, 0)", "length": "word_chars * 100 // nullif(n_words, 0)", "capitals": "n_capitals * 10000 // nullif(word_chars, 0)", "marks": "n_marks * 10000 // nullif(word_chars, 0)", "dup_lines": "n_dup_lines * 10000 // nullif(n_lines, 0)", "repeats": "n_repeat_words * 10000 // nullif(n_words, 0)"}
+    unit = {"symbols": "n_symbols * 10000 // nullif(n_words, 0)", "length": "word_chars * 100 // nullif(n_words, 0)", "capitals": "n_capitals * 10000 // nullif(word_chars, 0)", "marks": "n_marks * 10000 // nullif(word_chars, 0)", "dup_lines": "n_dup_lines * 10000 // nullif(n_lines, 0)", "repeats": "n_repeat_words * 10000 // nullif(n_words, 0)", "stutter": "n_again * 10000 // nullif(n_words, 0)"}
     spread = "greatest(q3 - q1, CASE measure " + " ".join(f"WHEN '{m}' THEN {x}" for m, (x, _) in rules.MEASURES.items()) + f" END) * {reach}"
     low = "CASE WHEN measure IN (" + ", ".join(f"'{m}'" for m, (_, both) in rules.MEASURES.items() if both) + f") THEN q1 - {spread} ELSE 0 END"
 
@@ -143,7 +143,7 @@ def _rules_sql(window: int = 8, least: int = 200, reach: int = 3) -> str:
         r AS (SELECT row_id, i FROM p WHERE (row_id, x) IN (SELECT row_id, x FROM p GROUP BY row_id, x HAVING count(*) > 1)),
         n AS (SELECT row_id, count(DISTINCT j) AS n FROM (SELECT row_id, unnest(range(i, i + {window})) AS j FROM r) GROUP BY row_id),
         b AS (SELECT row_id, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(bare) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
-            len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+            len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_again,
             length(text) - length(regexp_replace(text, '\\p{{Lu}}', '', 'g')) AS n_capitals, length(text) - length(regexp_replace(text, '[\\p{{P}}\\p{{S}}]', '', 'g')) AS n_marks FROM d LEFT JOIN n USING (row_id)),
         g AS (SELECT *, {", ".join(f"{x} AS {m}" for m, x in unit.items())}, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
         m AS ({each}),

@@ -20,6 +20,7 @@ MEASURES = {
     "marks": (250, False),
     "dup_lines": (1500, False),
     "repeats": (1000, False),
+    "stutter": (300, False),
 }
 
 
@@ -69,14 +70,14 @@ def measured(docs: DataFrame) -> DataFrame:
     t = t.withColumn("__words", F.filter(F.split(F.trim("__text", F.lit(SPACE)), r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     lines = F.filter(F.split("__text", "\n"), lambda x: F.trim(x, F.lit(SPACE)) != "")
     without = lambda pattern: (F.length("__text") - F.length(F.regexp_replace("__text", pattern, ""))).cast("long")
-    per_text = lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).alias("repeated"))
+    per_text = lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("chars"), repeated_words(w).alias("repeated"), F.size(F.filter(w, lambda x, i: (i > 0) & (x == w[F.greatest(i - 1, F.lit(0))]))).cast("long").alias("again"))
     t = t.select(
         "doc_id", "lang", "source", let(F.col("__words"), per_text).alias("__w"), without(SYMBOLS).alias("n_symbols"), without(r"\p{Lu}").alias("__capitals"), without(r"[\p{P}\p{S}]").alias("__marks"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("__lines"),
     )
-    t = t.select("doc_id", "lang", "source", F.col("__w.n").alias("n_words"), F.col("__w.chars").alias("word_chars"), "n_symbols", F.col("__w.repeated").alias("n_repeat_words"), "__lines", "__capitals", "__marks")
+    t = t.select("doc_id", "lang", "source", F.col("__w.n").alias("n_words"), F.col("__w.chars").alias("word_chars"), "n_symbols", F.col("__w.repeated").alias("n_repeat_words"), F.col("__w.again").alias("__again"), "__lines", "__capitals", "__marks")
     parts = {"symbols": "n_symbols * 10000L div nullif(n_words, 0)", "length": "word_chars * 100L div nullif(n_words, 0)", "capitals": "__capitals * 10000L div nullif(word_chars, 0)"}
-    parts |= {"marks": "__marks * 10000L div nullif(word_chars, 0)", "dup_lines": "__lines.dup * 10000L div nullif(__lines.n, 0)", "repeats": "n_repeat_words * 10000L div nullif(n_words, 0)"}
+    parts |= {"marks": "__marks * 10000L div nullif(word_chars, 0)", "dup_lines": "__lines.dup * 10000L div nullif(__lines.n, 0)", "repeats": "n_repeat_words * 10000L div nullif(n_words, 0)", "stutter": "__again * 10000L div nullif(n_words, 0)"}
     return t.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", F.col("__lines.dup").alias("n_dup_lines"), "n_repeat_words", *(F.expr(parts[m]).alias(m) for m in MEASURES))
 
 
