@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_none_term, lexemes, match_score, normalize_key, trigrams, trimmed, unresolved
+from ..functions.text import is_none_term, jaccard, lexemes, match_score, normalize_key, trigrams, trimmed, unresolved
 from ..sources.tables import materialized, upsert
 from .cohorts import canonical_types
+from .index import FuzzyIndex, build_index, gram_candidates, token_candidates
 from .joins import exact_candidates, unseen_conditions
 from .search import code_guard, coverage_guard
 
@@ -36,45 +37,46 @@ def exact_arm(queries: DataFrame, atoms: DataFrame) -> DataFrame:
     return q.join(atoms.select("str_norm", "cui").distinct(), "str_norm").select("query", "cui", F.lit(2.0).alias("rank"))
 
 
-def _fit(atoms: DataFrame, max_len: int) -> DataFrame:
-    """Atoms that the fuzzy arms look at: no overlong ones, no panels of several names."""
-    return atoms.filter((F.length("str") <= max_len) & ~F.contains(F.col("str"), F.lit(" | ")))
-
-
-def token_arm(queries: DataFrame, atoms: DataFrame, limit: int = 15, max_len: int = 80) -> DataFrame:
+def token_arm(queries: DataFrame, atoms: DataFrame, limit: int = 15, max_len: int = 80, index: FuzzyIndex | None = None) -> DataFrame:
     """Atoms that share a lexeme: 1 + min(0.999, matched / query lexemes / (1 + ln(atom lexemes))).
 
-    Both sides become inverted indexes of distinct texts and meet in an equi-join on the lexeme; counts of shared lexemes
-    are summed before the join with concepts. The best max(limit, 40) atoms of a query stay.
+    Candidates come from the index's bounded lists, which hold the best max(limit, 40) texts of any query; they are counted exactly. Those
+    texts of a query stay.
     """
-    q = _distinct(queries).withColumn("w", lexemes(F.col("query"))).select("query", F.size("w").alias("nq"), F.explode("w").alias("lexeme"))
-    fit = _fit(atoms, max_len)
-    texts = fit.select("str").distinct().withColumn("w", lexemes(F.col("str"))).select("str", F.size("w").alias("na"), F.explode("w").alias("lexeme"))
-    shared = q.join(texts, "lexeme").groupBy("query", "str", "nq", "na").agg(F.count(F.lit(1)).alias("n"))
-    rank = 1 + F.least(F.lit(0.999), F.col("n") / F.col("nq") / (1 + F.log("na")))
-    ranked = shared.withColumn("rank", rank)
+    k = max(limit, 40)
+    if index is None or index.best < k:
+        index = build_index(atoms, max_len, best=k)
+    q = materialized(_distinct(queries).withColumn("lex", lexemes(F.col("query"))))
+    found = token_candidates(q, index)
+    t = found.join(q.withColumnRenamed("lex", "ql").hint("merge"), "query").join(index.texts.select("tid", "str", "na", "lex"), "tid")
+    shared = F.size(F.array_intersect("ql", "lex"))
+    t = t.withColumn("rank", 1 + F.least(F.lit(0.999), shared / F.size("ql") / (1 + F.log("na")))).select("query", "str", "rank")
     at = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rank"), "str"))
-    ranked = ranked.withColumn("i", at).filter(F.col("i") <= max(limit, 40))
-    return ranked.join(fit.select("str", "cui").distinct(), "str").select("query", "cui", "rank")
+    return t.withColumn("i", at).filter(F.col("i") <= k).join(index.names, "str").select("query", "cui", "rank")
 
 
-def trigram_arm(queries: DataFrame, atoms: DataFrame, least: float = 0.3, max_len: int = 80) -> DataFrame:
-    """Atoms whose trigrams are alike enough, by an equi-join on the trigram; sizes bound the pairs before they are counted."""
-    atoms = _fit(atoms, max_len)
-    q = _distinct(queries).withColumn("g", trigrams(F.col("query"))).select("query", F.size("g").alias("nq"), F.explode("g").alias("gram"))
-    a = atoms.select("str").distinct().withColumn("g", trigrams(F.col("str"))).select("str", F.size("g").alias("na"), F.explode("g").alias("gram"))
-    near = (F.col("nq") * least <= F.col("na")) & (F.col("na") * least <= F.col("nq"))
-    shared = q.join(a, "gram").filter(near).groupBy("query", "str", "nq", "na").agg(F.count(F.lit(1)).alias("n"))
-    hits = shared.withColumn("rank", F.col("n") / (F.col("nq") + F.col("na") - F.col("n"))).filter(F.col("rank") >= least)
-    return hits.join(atoms.select("str", "cui").distinct(), "str").select("query", "cui", "rank")
+def trigram_arm(queries: DataFrame, atoms: DataFrame, least: float = 0.3, max_len: int = 80, index: FuzzyIndex | None = None) -> DataFrame:
+    """Atoms whose trigrams are alike enough (Jaccard): candidates by rare grams, sizes and places, each compared once, whole."""
+    index = index or build_index(atoms, max_len)
+    q = _distinct(queries).withColumn("grams", trigrams(F.col("query")))
+    q = materialized(q.select("query", F.size("grams").alias("nq"), "grams"))
+    found = gram_candidates(q, index, least).distinct()
+    t = found.join(q.select("query", F.col("grams").alias("qg")).hint("merge"), "query").join(index.texts.select("tid", "str", F.col("grams").alias("tg")), "tid")
+    hits = t.select("query", "str", jaccard(F.col("qg"), F.col("tg")).alias("rank")).filter(F.col("rank") >= least)
+    return hits.join(index.names, "str").select("query", "cui", "rank")
 
 
-def candidate_search(queries: DataFrame, atoms: DataFrame, concepts: DataFrame, limit: int = 15, least: float = 0.3, max_len: int = 80, include_trigram: bool = True) -> DataFrame:
-    """query, cui, rank, position, name, root_source of the best candidates of each distinct query."""
-    arms = [exact_arm(queries, atoms), token_arm(queries, atoms, limit, max_len)]
+def candidate_search(queries: DataFrame, atoms: DataFrame, concepts: DataFrame, limit: int = 15, least: float = 0.3, max_len: int = 80, include_trigram: bool = True, index: FuzzyIndex | None = None) -> DataFrame:
+    """query, cui, rank, position, name, root_source of the best candidates of each distinct query. An index (build_index) serves many searches; without one it's made."""
+    index = index or build_index(atoms, max_len, best=max(limit, 40))
+    arms = [exact_arm(queries, atoms), token_arm(queries, atoms, limit, max_len, index)]
     if include_trigram:
-        arms.append(trigram_arm(queries, atoms, least, max_len))
-    return top_k_candidates(union_hits(*arms), limit).join(concepts.select("cui", F.col("pref_name").alias("name"), "root_source"), "cui")
+        arms.append(trigram_arm(queries, atoms, least, max_len, index))
+    return named_candidates(union_hits(*arms), concepts, limit)
+
+
+def named_candidates(hits: DataFrame, concepts: DataFrame, limit: int) -> DataFrame:
+    return top_k_candidates(hits, limit).join(concepts.select("cui", F.col("pref_name").alias("name"), "root_source"), "cui")
 
 
 def best_match(pairs: DataFrame, threshold: float = 0.45) -> DataFrame:
@@ -88,18 +90,21 @@ def guarded(pairs: DataFrame) -> DataFrame:
     return code_guard(coverage_guard(pairs))
 
 
-def search_with_fallback(queries: DataFrame, atoms: DataFrame, concepts: DataFrame, threshold: float = 0.45, limit: int = 15) -> DataFrame:
-    """Guarded candidates; the trigram arm runs only for queries that no exact or token candidate answers."""
+def search_with_fallback(queries: DataFrame, atoms: DataFrame, concepts: DataFrame, threshold: float = 0.45, limit: int = 15, least: float = 0.3, max_len: int = 80, index: FuzzyIndex | None = None) -> DataFrame:
+    """Guarded candidates; the trigram arm runs only for queries that no exact or token candidate answers, and joins their earlier hits."""
+    index = index or build_index(atoms, max_len, best=max(limit, 40))
     queries = materialized(_distinct(queries))
-    first = materialized(guarded(candidate_search(queries, atoms, concepts, limit, include_trigram=False)))
+    hits = materialized(union_hits(exact_arm(queries, atoms), token_arm(queries, atoms, limit, max_len, index)))
+    first = materialized(guarded(named_candidates(hits, concepts, limit)))
     done = materialized(best_match(first, threshold).select("query"))
-    rest = _distinct(queries).join(done, "query", "left_anti")
-    return first.join(done, "query", "left_semi").unionByName(guarded(candidate_search(rest, atoms, concepts, limit)))
+    rest = materialized(queries.join(done, "query", "left_anti"))
+    again = union_hits(hits.join(rest, "query", "left_semi"), trigram_arm(rest, atoms, least, max_len, index))
+    return first.join(done, "query", "left_semi").unionByName(guarded(named_candidates(again, concepts, limit)))
 
 
-def resolve_queries(queries: DataFrame, atoms: DataFrame, concepts: DataFrame, threshold: float = 0.45) -> DataFrame:
+def resolve_queries(queries: DataFrame, atoms: DataFrame, concepts: DataFrame, threshold: float = 0.45, index: FuzzyIndex | None = None) -> DataFrame:
     """query, cui, name, root_source, score of the queries that resolve."""
-    return materialized(best_match(search_with_fallback(queries, atoms, concepts, threshold), threshold))
+    return materialized(best_match(search_with_fallback(queries, atoms, concepts, threshold, index=index), threshold))
 
 
 def resolve_concepts(criteria: DataFrame, atoms: DataFrame, concepts: DataFrame, types: DataFrame, cache: DataFrame | None = None) -> DataFrame:

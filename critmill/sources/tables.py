@@ -27,6 +27,15 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of at most so many narrow rows are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def counted_join(big: DataFrame, written: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """Joins a written narrow table: broadcast where it has BROADCAST_ROWS rows at most, by shuffle beyond."""
+    return big.join(F.broadcast(written) if written.count() <= BROADCAST_ROWS else written.hint("merge"), on, how)
+
+
 def replace_by_key(target: DataFrame, batch: DataFrame, key: str, attempted: DataFrame | None = None) -> DataFrame:
     """Target without any row of an attempted key, then the batch; an attempted key without new rows loses its rows.
 
