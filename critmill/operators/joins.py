@@ -15,13 +15,13 @@ def attempted_ids(attempts: DataFrame) -> DataFrame:
     return attempts.select("nct_id").distinct()
 
 
-def select_next_trials(src: DataFrame, attempted: DataFrame, direction: str = "Forward", n: int = 100, most: int = 1000) -> DataFrame:
-    """The first n selectable trials that weren't attempted. Ids are chosen first; only theirs is the wide text joined back."""
-    n = max(1, min(n, most))
-    way = F.asc if direction == "Forward" else F.desc
-    ids = selectable_trials(src).select("nct_id").join(attempted.select("nct_id"), "nct_id", "left_anti").orderBy(way("nct_id")).limit(n)
-    # At most `most` rows.
-    return src.join(F.broadcast(ids), "nct_id", "left_semi").withColumn("criteria", unescape_markdown(F.col("criteria")))
+def select_next_trials(src: DataFrame, attempted: DataFrame, direction: str = "Forward", n: int | None = 100, most: int = 1000) -> DataFrame:
+    """The first n selectable trials that weren't attempted, or all where n is None. Ids are chosen first; only theirs is the wide text joined back."""
+    ids = selectable_trials(src).select("nct_id").join(attempted.select("nct_id"), "nct_id", "left_anti")
+    if n is not None:
+        way = F.asc if direction == "Forward" else F.desc
+        ids = F.broadcast(ids.orderBy(way("nct_id")).limit(max(1, min(n, most))))  # at most `most` rows
+    return src.join(ids, "nct_id", "left_semi").withColumn("criteria", unescape_markdown(F.col("criteria")))
 
 
 def source_trials(src: DataFrame, ids: DataFrame) -> DataFrame:

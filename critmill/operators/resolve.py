@@ -107,13 +107,13 @@ def resolve_queries(queries: DataFrame, atoms: DataFrame, concepts: DataFrame, t
     return materialized(best_match(search_with_fallback(queries, atoms, concepts, threshold, index=index), threshold))
 
 
-def resolve_concepts(criteria: DataFrame, atoms: DataFrame, concepts: DataFrame, types: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+def resolve_concepts(criteria: DataFrame, atoms: DataFrame, concepts: DataFrame, types: DataFrame, cache: DataFrame | None = None, index: FuzzyIndex | None = None) -> DataFrame:
     """Criteria with code, name, score, source and semantic types of their concept; distinct concepts are resolved once and joined back.
 
     What the terminology doesn't answer may come from the normalization cache. Unresolved rows have null code and types.
     """
     queries = criteria.select(F.col("concept").alias("query")).distinct()
-    found = resolve_queries(queries, atoms, concepts).select(F.col("query").alias("concept"), "cui", "name", "score", F.col("root_source").alias("source"))
+    found = resolve_queries(queries, atoms, concepts, index=index).select(F.col("query").alias("concept"), "cui", "name", "score", F.col("root_source").alias("source"))
     if cache is not None:
         from .joins import cached_resolutions
 
@@ -133,7 +133,7 @@ def pick_ambiguous(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("i", F.row_number().over(Window.partitionBy("norm").orderBy(*order))).filter("i = 1").drop("i")
 
 
-def resolve_conditions(conditions: DataFrame, atoms: DataFrame, concepts: DataFrame, closure: DataFrame, threshold: float = 0.6) -> DataFrame:
+def resolve_conditions(conditions: DataFrame, atoms: DataFrame, concepts: DataFrame, closure: DataFrame, threshold: float = 0.6, index: FuzzyIndex | None = None) -> DataFrame:
     """condition_norm, raw_form, code, match_tier, match_score: exact, exact_ambiguous, fuzzy or unresolved.
 
     Exact tiers score 1 without the scorer; the fuzzy one asks the terminology for the raw form.
@@ -146,7 +146,7 @@ def resolve_conditions(conditions: DataFrame, atoms: DataFrame, concepts: DataFr
     tier = F.when(F.col("n") == 1, "exact").otherwise("exact_ambiguous")
     sure = picked.select(F.col("norm").alias("condition_norm"), "raw_form", F.col("cui").alias("code"), tier.alias("match_tier"), F.lit(1.0).alias("match_score"))
     rest = c.join(many.select(F.col("norm").alias("condition_norm")), "condition_norm", "left_anti")
-    fuzzy = resolve_queries(rest.select(F.col("raw_form").alias("query")), atoms, concepts, threshold).select(F.col("query").alias("raw_form"), F.col("cui").alias("code"), "score")
+    fuzzy = resolve_queries(rest.select(F.col("raw_form").alias("query")), atoms, concepts, threshold, index).select(F.col("query").alias("raw_form"), F.col("cui").alias("code"), "score")
     rest = rest.join(fuzzy, "raw_form", "left")
     rest = rest.select("condition_norm", "raw_form", "code", F.when(F.col("code").isNull(), "unresolved").otherwise("fuzzy").alias("match_tier"), F.col("score").alias("match_score"))
     return sure.unionByName(rest)

@@ -503,7 +503,7 @@ def p1_batch_criteria(t):
     return run(t).criteria.groupBy("nct_id").agg((F.count_if(F.col("concept") == "old") > 0).alias("kept_old"))
 
 
-@query("SELECT nct_id, 1 AS attempt_count FROM (SELECT DISTINCT nct_id FROM b_eligibility) WHERE CAST(substr(nct_id, 4, 8) AS INTEGER) % 50 IN (10, 30)")
+@query("SELECT nct_id, 1 AS attempt_count FROM (SELECT DISTINCT nct_id FROM b_eligibility) WHERE CAST(substr(nct_id, 4, 8) AS INTEGER) % 50 = 10")
 def p1_batch_failures(t):
     return run(t).failures.select("nct_id", "attempt_count")
 
