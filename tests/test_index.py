@@ -19,6 +19,13 @@ def grams_of(text):
     return {f"  {w} "[i : i + 3] for w in words_of(text) for i in range(len(w) + 1)}
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_tasks(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 @pytest.fixture(scope="module")
 def terms():
     """Texts of words whose frequencies fall off steeply: the first few stand in a third of all texts."""
