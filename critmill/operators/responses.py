@@ -45,7 +45,7 @@ def payload(raw: Column) -> Column:
     filled = lambda v: lambda n: let(_text_field(v, n), lambda t: F.when(trimmed(t) != "", t))
     body = lambda v: F.when(v.isNull(), raw).when(_kind(v) == "OBJECT", F.coalesce(*map(filled(v), TEXT_FIELDS))).when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(raw)
     text = let(parse_strict(raw), body)
-    text = F.regexp_replace(F.regexp_replace(text, r"(?i)^\s*```(?:json)?\s*\r?\n?", ""), r"\r?\n?\s*```\s*$", "")
+    text = F.rtrim(text, F.lit("` \t\r\n"))  # a fence at the end; one at the begin goes with all that stands before the bracket
     return F.nullif(F.regexp_extract(text, r"^[^\[{]*([\[{][\s\S]*)$", 1), F.lit(""))
 
 
