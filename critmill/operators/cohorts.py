@@ -11,7 +11,7 @@ from .search import latest_attempt, resolved, selectable
 
 
 def pairs(criteria: DataFrame) -> DataFrame:
-    """Distinct (nct_id, concept_code) of resolved rows: the table that cohort work is best kept in; made once, it stands for criteria in the functions below."""
+    """Distinct (nct_id, concept_code) of resolved rows: the table that cohort work is best kept in; made once, it stands for criteria in the functions below. `pairs.PairTable` keeps it from run to run."""
     return resolved(criteria).select("nct_id", "concept_code").distinct()
 
 
@@ -52,6 +52,7 @@ def cohort_members(kind: str, value: str, *, criteria: DataFrame, detail: DataFr
 def cohort_profile(members: DataFrame, criteria: DataFrame) -> DataFrame:
     """concept_code, trials and the cohort's size on every row; one row without a code if the profile is empty."""
     per = pairs(criteria).join(members, "nct_id", "left_semi").groupBy("concept_code").agg(F.count(F.lit(1)).alias("trials"))
+    per = materialized(per)  # made once: whether it's empty is asked as well
     size = F.broadcast(members.agg(F.count(F.lit(1)).alias("size")))  # one row
     # The row without a code goes where there are others: it is one of few rows, the profile never moves to it.
     none = per.agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(F.lit(None).cast("string").alias("concept_code"), F.lit(None).cast("long").alias("trials"))

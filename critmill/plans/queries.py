@@ -63,7 +63,8 @@ def a5_lift_concept(t):
 @query(f"""WITH defining AS (SELECT 'C0001007' AS code UNION SELECT descendant FROM closure WHERE ancestor = 'C0001007'),
     members AS (SELECT DISTINCT nct_id FROM pairs WHERE concept_code IN (SELECT code FROM defining)) {LIFT}""")
 def a5_lift_descendants(t):
-    return lift(t, lambda p: co.cohort_members("Concept", "C0001007", criteria=p, closure=t.closure), co.defining_codes("Concept", "C0001007", t.closure, t.spark))
+    closure = ta.materialized(t.closure)
+    return lift(t, lambda p: co.cohort_members("Concept", "C0001007", criteria=p, closure=closure), co.defining_codes("Concept", "C0001007", closure, t.spark))
 
 
 @query("SELECT DISTINCT nct_id FROM b_study_detail WHERE phase = '1-URGENT' AND nct_id IN (SELECT nct_id FROM pairs)")

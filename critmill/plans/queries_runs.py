@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import cohorts as co
+from ..operators.pairs import PairTable
 from ..sources import tables as ta
 from ..sources.store import Store
 from ..streaming import batches as st
 from . import batch as ba
 from .bindings import VIEWS, Tables
-from .queries import query
+from .queries import CODE, LIFT, query
 from .queries_text import CONDITIONS, CRITERIA, damaged
 
 NOW = "2024-01-01 00:00:00"
@@ -135,3 +137,14 @@ def p3_keyed_progress(t):
     store = Store(t.spark, f"{root}/store", st.PROGRESS, 4)
     st.stream_progress(rows, store, f"{root}/checkpoint", horizon="36500 days").awaitTermination()
     return store.read("progress").select("run_id", "done", "rows", "resolved")
+
+
+@query(f"WITH members AS (SELECT DISTINCT nct_id FROM pairs WHERE concept_code = '{CODE}'), defining AS (SELECT '{CODE}' AS code) {LIFT}")
+def a5_lift_kept_pairs(t):
+    """The lift of a concept over kept pairs: all trials first with rows of other concepts for a third, which then are replaced."""
+    e, third = t.b_eligibility, F.expr(NUMBER) % 3 == 0
+    kept = PairTable(t.spark, ta.scratch(t.spark), 8)
+    wrong = F.when(third, F.concat(F.lit("X"), "concept_code")).otherwise(F.col("concept_code"))
+    kept.replace(1, e, e.select("nct_id", wrong.alias("concept_code")))
+    kept.replace(2, e.filter(third), e)
+    return co.lift_table(kept.profile(kept.members(CODE)), kept.counts(), kept.size(), t.concepts, co.defining_codes("Concept", CODE, None, t.spark))

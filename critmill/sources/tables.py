@@ -13,7 +13,7 @@ def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder that spark.checkpoint.dir names; in a temporary one where none is set and all runs on this machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
