@@ -17,9 +17,10 @@ def usable(vector: Column) -> Column:
 
 
 def quantised(vectors: DataFrame, column: str = "embedding", scale: int = 64) -> DataFrame:
-    """vec_id and v: floor(scale * x) of each component, as double. Rows without a vec_id take no part."""
+    """vec_id and v: floor(scale * x) of each component, as double. Rows without a vec_id take no part, nor do those with a component that gives no 64-bit integer."""
     v = F.col(column).cast("array<double>")
-    return vectors.filter(F.col("vec_id").isNotNull() & usable(v)).select("vec_id", F.transform(v, lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    small = ~F.exists(v, lambda x: F.abs(x * scale) >= float(1 << 62))
+    return vectors.filter(F.col("vec_id").isNotNull() & usable(v) & small).select("vec_id", F.transform(v, lambda x: F.floor(x * scale).cast("double")).alias("v"))
 
 
 def _blocks(t: DataFrame, rows: int) -> DataFrame:
@@ -47,6 +48,8 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([[int(x) for x in r] for r in a], object) @ np.array([[int(x) for x in r] for r in b], object).T
 
 
+#: Stands for no score.
+NONE = -(1 << 63) + 1
 #: Bytes of a block of queries or a shard of vectors, and query rows of a tile.
 BLOCK_BYTES, TILE = 16 << 20, 512
 
@@ -64,7 +67,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, query_rows: int |
     pair of them is one cell (equi-join on a cell number), matrix products of tiles that keep k rows a query. Blocks are as
     large as a task can hold, since vectors move once for each block of queries. Partial lists
     are merged in a tree, `fan_in` shards at a time. Rows without vec_id take no part. Empty inputs give an empty result; vectors of
-    a length other than the query's take no part; a repeated vec_id is a row of its own, and a query skips every row of its own id.
+    a length other than the query's take no part, nor do scores beyond 64 bits; a repeated vec_id is a row of its own, and a query skips every row of its own id.
     """
     spark = vectors.sparkSession
     queries, vectors = queries.filter("vec_id IS NOT NULL"), vectors.filter("vec_id IS NOT NULL")
@@ -94,8 +97,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, query_rows: int |
                         part = qa[lo : lo + TILE]
                         score = products(matrix(qv, part), m)
                         own = qi[part][:, None] == si[sa][None, :]
-                        score[own] = np.iinfo(np.int64).min + 1
-                        score = score.astype(np.int64)  # raises where a score is no 64-bit integer
+                        if score.dtype == object:
+                            own |= ((score >= 1 << 63) | (score <= NONE)).astype(bool)
+                        score[own] = NONE
+                        score = score.astype(np.int64)
                         at = tile_top(score, k)
                         row = np.repeat(np.arange(len(part)), at.shape[1])
                         flat = at.reshape(-1)

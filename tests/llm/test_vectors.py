@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from critmill.llm import centroids, negatives, queries
+from critmill.llm import centroids, negatives, queries, topk
 from critmill.llm.vectors import integer_rows
 
 SCHEMA = "vec_id long, embedding array<double>, label int, cluster string, distance double, a int, rank int"
@@ -158,3 +158,20 @@ def test_registered_negatives(spark, sf):
     t = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     want = brute_negatives(t.collect(), t.filter("vec_id % 100 = 0").collect())
     assert sorted(tuple(r) for r in queries.op13_hard_negatives(spark, sf).collect()) == want
+
+
+def test_top_k_of_extreme_vectors(spark):
+    """Scores beyond 64 bits and components beyond 62 take no part; all others come, exact."""
+    rows = [(0, [1e17] * 4), (1, [1e17] * 4), (2, [1e9] * 4), (3, [0.5] * 4), (4, [1e300, 0.0, 0.0, 0.0]), (5, [-1e16, 1.0, 0.0, 0.0])]
+    t = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    whole = {r.vec_id: [int(x) for x in r.v] for r in t.collect()}
+    assert set(whole) == {2, 3, 5}
+    big = spark.createDataFrame([(0, [2.0**61] * 4), (1, [2.0**61] * 4), (2, [3.0, 1.0, 0.0, 0.0])], "vec_id long, v array<double>")
+    want = {(0, 1, 2, 4 << 61), (1, 1, 2, 4 << 61), (2, 1, 0, 4 << 61), (2, 2, 1, 4 << 61)}
+    got = {tuple(r) for r in topk.top_k(big, big, 5).collect()}
+    assert got == {x for x in want if x[3] < 1 << 63} == set()
+    mixed = spark.createDataFrame([(0, [2.0**61, 0.0]), (1, [2.0**61, 1.0]), (2, [3.0, 1.0]), (3, [1.0, 5.0])], "vec_id long, v array<double>")
+    v = {0: (1 << 61, 0), 1: (1 << 61, 1), 2: (3, 1), 3: (1, 5)}
+    score = lambda a, b: sum(x * y for x, y in zip(v[a], v[b]))
+    want = {(a, n + 1, b, score(a, b)) for a in v for n, b in enumerate(sorted((b for b in v if b != a and score(a, b) < 1 << 63), key=lambda b: (-score(a, b), b)))}
+    assert {tuple(r) for r in topk.top_k(mixed, mixed, 5).collect()} == want
