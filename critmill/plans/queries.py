@@ -341,6 +341,15 @@ def f6_search_audit(t):
     return se.search_audit(log, action="click", limit=500).select("audit_id", "user_name")
 
 
+@query(f"""WITH a AS ({AUDIT}), m AS (SELECT min(occurred_at) AS lo, max(occurred_at) AS hi FROM a) SELECT audit_id, user_name, action FROM a, m
+    WHERE occurred_at >= lo + INTERVAL 36 HOUR AND occurred_at <= hi - INTERVAL 36 HOUR ORDER BY occurred_at DESC, audit_id DESC LIMIT 500 OFFSET 500""")
+def f6_audit_range(t):
+    """The second page of a time range that leaves out a day and a half at either end."""
+    log = t.events.select(F.col("event_id").alias("audit_id"), F.col("user_id").cast("string").alias("user_name"), F.col("event_type").alias("action"), F.col("ts").alias("occurred_at"))
+    ends = log.agg((F.min("occurred_at") + F.expr("INTERVAL 36 HOURS")).alias("lo"), (F.max("occurred_at") - F.expr("INTERVAL 36 HOURS")).alias("hi")).first()
+    return se.search_audit(log, since=ends.lo, until=ends.hi, limit=500, page=2).select("audit_id", "user_name", "action")
+
+
 @query("""SELECT DISTINCT 'criterion' AS column_name, criterion AS value FROM b_eligibility UNION SELECT DISTINCT 'domain', domain FROM b_eligibility
     UNION SELECT 'semantic_type', semantic_type FROM b_eligibility WHERE semantic_type IS NOT NULL""")
 def f7_filter_options(t):
@@ -384,6 +393,17 @@ def f14_resolve_run(t):
     return se.resolve_run(runs, a, first, "failed")[1].select("attempt_id", "status")
 
 
+@query(f"""WITH r AS (SELECT min(run_id) AS run FROM b_study_attempt) SELECT run_id, CASE WHEN run_id = run THEN 'failed' ELSE 'running' END AS status, CASE WHEN run_id = run THEN 'by hand' END AS reason, true AS changed,
+    (SELECT count(*) FROM ({RUNNING}) WHERE s = 'running' AND run_id = (SELECT run FROM r)) AS attempts_interrupted FROM (SELECT DISTINCT run_id FROM b_study_attempt), r""")
+def f14_resolved_runs(t):
+    """The runs after one is ended by hand, with what that changed."""
+    a = running(t)
+    first = a.agg(F.min("run_id")).first()[0]
+    runs = a.select("run_id").distinct().withColumn("status", F.lit("running")).withColumn("reason", F.lit(None).cast("string"))
+    new, _, told = se.resolve_run(runs, a, first, "failed", "by hand")
+    return new.crossJoin(F.broadcast(told))  # one row
+
+
 @query("SELECT attempt_id FROM b_study_attempt WHERE NOT (run_id = (SELECT min(run_id) FROM b_study_attempt) AND nct_id = (SELECT min(nct_id) FROM b_study_attempt))")
 def f15_delete_attempt(t):
     a = t.b_study_attempt
@@ -405,10 +425,11 @@ def j2_attempted_ids(t):
     return jo.attempted_ids(t.b_study_attempt)
 
 
-@query("SELECT nct_id, length(criteria) AS n FROM b_source_trial WHERE nct_id IN (SELECT nct_id FROM b_attempted)")
+@query(r"""SELECT nct_id, regexp_replace(regexp_replace(criteria, '([*\[\]#>_.!-])', '\\\1', 'g'), '\\([][\\`*_{}()#+.!<>|~-])', '\1', 'g') AS criteria FROM b_source_trial WHERE nct_id IN (SELECT nct_id FROM b_attempted)""")
 def j3_source_trials(t):
     ids = t.b_attempted.select(F.concat(F.lit(" "), "nct_id", F.lit("\t")).alias("nct_id")).union(t.b_attempted.select(F.lit(" ")))
-    return jo.source_trials(t.b_source_trial.withColumn("n0", F.length("criteria")), ids).select("nct_id", F.col("n0").alias("n"))
+    escaped = t.b_source_trial.withColumn("criteria", F.regexp_replace("criteria", r"([*\[\]#>_.!-])", r"\\$1"))
+    return jo.source_trials(escaped, ids).select("nct_id", "criteria")
 
 
 @query("""SELECT coalesce(d.nct_id, e.nct_id) AS nct_id, brief_title, coalesce(c.x, '') AS conditions, coalesce(v.x, '') AS interventions FROM b_study_detail d

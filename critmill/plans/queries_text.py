@@ -430,13 +430,18 @@ def x4_prefer_escalated(t):
     return rs.prefer_escalated(rs.parse_responses(first), rs.parse_responses(d)).select("nct_id", "outcome", "escalated")
 
 
-@query("""SELECT p.p_partkey AS criterion_id, p_type AS study_id, CASE WHEN l.nct IS NOT NULL OR p.p_partkey % 5 = 0 THEN 'Normalised' ELSE 'Manually entered' END AS origin, l.nct AS nct_id
+#: The key of an audit row: a name-based identifier of the row's parts under a fixed namespace.
+AUDIT_KEY = """list_transform([sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode({x}))], lambda h: substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'
+    || substr('89ab', CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12))[1]"""
+
+
+@query(f"""SELECT {AUDIT_KEY.format(x="CAST(p.p_partkey AS VARCHAR) || '|' || coalesce(l.nct || '|C1|t', '||')")} AS row_id, p.p_partkey AS criterion_id, p_type AS study_id, CASE WHEN l.nct IS NOT NULL OR p.p_partkey % 5 = 0 THEN 'Normalised' ELSE 'Manually entered' END AS origin, l.nct AS nct_id
     FROM part p LEFT JOIN (SELECT DISTINCT l_partkey, CAST(l_suppkey AS VARCHAR) AS nct FROM lineitem WHERE l_partkey % 2 = 0) l ON l.l_partkey = p.p_partkey""")
 def x5_criteria_audit(t):
     studies = t.part.select(F.col("p_type").alias("study_id"), F.col("p_type").alias("title")).distinct()
     criteria = t.part.select(F.col("p_partkey").alias("criterion_id"), F.col("p_type").alias("study_id"), F.lit("Inclusion").alias("criterion"), F.col("p_name").alias("concept"), F.when(F.col("p_partkey") % 5 == 0, "note").alias("note"))
     sources = t.lineitem.filter("l_partkey % 2 = 0").select(F.col("l_partkey").alias("criterion_id"), F.col("l_suppkey").cast("string").alias("nct_id"), F.lit("C1").alias("code"), F.lit("t").alias("text")).distinct()
-    return rs.criteria_audit(studies, criteria, sources).select("criterion_id", "study_id", "origin", "nct_id")
+    return rs.criteria_audit(studies, criteria, sources).select("row_id", "criterion_id", "study_id", "origin", "nct_id")
 
 
 @query("""WITH n AS (SELECT id, nct_id FROM b_eligibility WHERE nct_id IN (SELECT nct_id FROM b_attempted) AND criterion = 'Inclusion')
@@ -463,6 +468,13 @@ def x9_embedding_vectors(t):
     return rs.embedding_vectors(t.embeddings.select("vec_id", raw.alias("raw"))).select("vec_id", "error", F.when(F.col("error").isNull(), F.size("embedding")).alias("n"))
 
 
+@query("SELECT DISTINCT nct_id, coalesce(text, '') AS raw FROM (SELECT concat('NCT', lpad(CAST(doc_id AS VARCHAR), 8, '0')) AS nct_id, text FROM documents WHERE text = 'no such text') UNION ALL SELECT '', '' ")
+def x7_empty_batch(t):
+    """A batch in which no document is left becomes one empty row."""
+    none = t.documents.filter("text = 'no such text'").select(F.concat(F.lit("NCT"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("nct_id"), F.col("text").alias("raw"))
+    return rs.empty_batch_placeholder(none)
+
+
 @query("SELECT p_partkey, 'C' || CAST(p_partkey AS VARCHAR) AS ui, p_name AS name, p_type AS root_source FROM part WHERE p_partkey % 3 = 0")
 def x10_search_results(t):
     ui = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("C"), F.col("p_partkey").cast("string"))).when(F.col("p_partkey") % 3 == 1, "NONE").otherwise("")

@@ -237,3 +237,10 @@ def test_stream_of_runs_equals_one_run_and_replays(spark, tmp_path):
     once = run(spark.createDataFrame([(i,) for i in ids], "nct_id string"), start, 0)
     assert streamed == rows(once) == rows(run(spark.createDataFrame([(i,) for i in ids], "nct_id string"), once, 0))
     assert [len(streamed[n]) for n in start] == [2, 6, 3]
+
+
+def test_distinct_estimates_are_close(spark):
+    """Within 15 %, three times the sketch's default standard error of 5 %, from few values to many; nulls don't count."""
+    t = spark.range(60_000).select(F.col("id").alias("each"), (F.col("id") % 5_000).alias("some"), (F.col("id") % 7).alias("few"), F.lit(None).cast("string").alias("none"))
+    got = {r.column_name: r.estimate for r in se.distinct_estimates(t, t.columns).collect()}
+    assert all(abs(got[c] - n) <= 0.15 * n for c, n in {"each": 60_000, "some": 5_000, "few": 7, "none": 0}.items())
