@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_key, trimmed, unresolved
 from ..sources.tables import materialized
+from .joins import unmappable_rows
 from .search import latest_attempt, resolved, selectable
 
 
@@ -256,6 +257,19 @@ def backfill_semantic_types(criteria: DataFrame, types: DataFrame) -> tuple[Data
     return out.select(*criteria.columns), t.agg(F.count_if("__c").alias("changed"))
 
 
+def backfill_job(criteria: DataFrame, concepts: DataFrame, types: DataFrame, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """As backfill_semantic_types, for a whole load; refuses a terminology in which concepts have no semantic type.
+
+    The second table is one row: changed, and unmappable (resolved rows whose code has no type). A dry run tells it and leaves criteria as they are.
+    """
+    missing = concepts.join(types.select("cui"), "cui", "left_anti").count()
+    if missing:
+        raise ValueError(f"the terminology is incomplete: {missing} concepts have no semantic type")
+    new, changed = backfill_semantic_types(criteria, types)
+    told = changed.crossJoin(F.broadcast(unmappable_rows(criteria, types).agg(F.count(F.lit(1)).alias("unmappable"))))  # one row
+    return (criteria if dry_run else new), told
+
+
 def compare_resolvers(sample: DataFrame, a: DataFrame, b: DataFrame, examples: int = 15) -> DataFrame:
     """bucket, n and example queries of two resolvers' results. sample: query; a, b: query, cui.
 

@@ -120,7 +120,7 @@ def query_keys(queries: DataFrame, index: FuzzyIndex) -> DataFrame:
 
 def token_candidates(queries: DataFrame, index: FuzzyIndex) -> DataFrame:
     """query, tid: texts among which are the best of each query (lex). A query's key meets a list of bounded length."""
-    return query_keys(queries, index).join(index.postings, "key").select("query", "tid").distinct()
+    return query_keys(queries, index).join(index.postings.hint("merge"), "key").select("query", "tid").distinct()
 
 
 def needed(nq: Column, na: Column, least: float) -> Column:

@@ -169,5 +169,5 @@ def similar_to_trials(emb: DataFrame, keys: DataFrame, with_criteria: DataFrame
     queries = emb.join(wanted, "nct_id", "left_semi").withColumnRenamed("nct_id", "query_id")
     found = similar_to_vectors(emb, queries, with_criteria, k, match, skip_self=True)
     have = queries.select("query_id").withColumn("has_vector", F.lit(True))
-    t = wanted.withColumnRenamed("nct_id", "query_id").join(have, "query_id", "left").join(found, "query_id", "left")
+    t = wanted.withColumnRenamed("nct_id", "query_id").join(have, "query_id", "left").join(found.hint("merge"), "query_id", "left")
     return t.withColumn("has_vector", F.coalesce("has_vector", F.lit(False)))

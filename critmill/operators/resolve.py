@@ -201,9 +201,16 @@ def apply_normalized_terms(criteria: DataFrame, term_map: DataFrame, atoms: Data
     return out, cache.drop("__none"), told
 
 
-def apply_embeddings(texts: DataFrame, vectors: DataFrame, stored: DataFrame, model: str) -> tuple[DataFrame, DataFrame]:
-    """Stored embeddings after a batch, and counters. texts: nct_id, source_text (to embed); vectors: nct_id, embedding (null: failed)."""
+def apply_embeddings(texts: DataFrame, vectors: DataFrame, stored: DataFrame, model: str, backlog: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Stored embeddings after a batch, and counters. texts: nct_id, source_text (to embed); vectors: nct_id, embedding (null: failed).
+
+    backlog: nct_id of all studies that should have a vector of the model; with it the counters tell how many still have none.
+    """
     t = texts.filter(trimmed(F.coalesce("source_text", F.lit(""))) != "").join(vectors, "nct_id", "left")
     good = t.filter(F.col("embedding").isNotNull()).select("nct_id", "embedding", F.lit(model).alias("model"), "source_text")
     counts = t.agg(F.count_if(F.col("embedding").isNotNull()).alias("embedded"), F.count_if(F.col("embedding").isNull()).alias("failed"))
+    if backlog is not None:
+        have = stored.filter(F.col("model") == model).select("nct_id").unionByName(good.select("nct_id"))
+        left = backlog.select("nct_id").distinct().join(have, "nct_id", "left_anti").agg(F.count(F.lit(1)).alias("remaining"))
+        counts = counts.crossJoin(F.broadcast(left))  # one row
     return upsert(stored, good, ["nct_id"]), counts

@@ -101,7 +101,7 @@ def attempt_status(parsed: DataFrame, failed: Column | None = None) -> DataFrame
 def prefer_escalated(base: DataFrame, second: DataFrame) -> DataFrame:
     """Parsed rows, with the second response's where the first was an empty array and the second has records."""
     s = second.filter("outcome = 'success'").select("nct_id", *(F.col(c).alias(f"__{c}") for c in base.columns if c != "nct_id"))
-    t = base.join(s, "nct_id", "left")
+    t = base.join(s.hint("merge"), "nct_id", "left")  # both may come from a parser, whose size Spark can't tell
     use = (F.col("outcome") == "empty_array") & F.col("__outcome").isNotNull()
     return t.select("nct_id", *(F.when(use, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in base.columns if c != "nct_id"), use.alias("escalated"))
 

@@ -246,6 +246,24 @@ def a17_backfill_count(t):
     return co.backfill_semantic_types(e, t.b_type)[1]
 
 
+@query("""SELECT (SELECT count(*) FROM b_eligibility WHERE concept_code IN (SELECT cui FROM b_type)) AS changed, (SELECT count(*) FROM b_eligibility WHERE concept_code IS NOT NULL AND concept_code NOT IN (SELECT cui FROM b_type)) AS unmappable""")
+def a17_dry_run(t):
+    """What a backfill would do, with the concepts that have a type as its terminology."""
+    e = t.b_eligibility.withColumn("semantic_type_tuis", F.array().cast("array<string>"))
+    return co.backfill_job(e, t.concepts.join(t.b_type.select("cui"), "cui", "left_semi"), t.b_type, dry_run=True)[1]
+
+
+@query("""WITH RECURSIVE part_of AS (SELECT DISTINCT p_partkey AS c, p_partkey - 1 - CASE WHEN p_partkey % 8 > 1 THEN p_partkey % 2 ELSE 0 END AS p FROM part WHERE p_partkey % 8 > 0 UNION SELECT DISTINCT p_partkey, p_partkey + 2 FROM part WHERE p_partkey % 16 = 1),
+    up AS (SELECT c, p, 1 AS d FROM part_of WHERE c <> p UNION SELECT up.c, x.p, d + 1 FROM up JOIN part_of x ON x.c = up.p WHERE d < 12)
+    SELECT 'C' || CAST(c AS VARCHAR) AS descendant, 'C' || CAST(p AS VARCHAR) AS ancestor, min(d) AS min_distance FROM up WHERE c <> p GROUP BY c, p""")
+def g1_closure_to_the_end(t):
+    """Chains of up to eight parts with cycles, followed until no level finds anything new."""
+    k, cui = F.col("p_partkey"), lambda c: F.concat(F.lit("C"), c.cast("string"))
+    down = t.part.filter(k % 8 > 0).select(cui(k).alias("child_cui"), cui(k - 1 - F.when(k % 8 > 1, k % 2).otherwise(0)).alias("parent_cui"))
+    back = t.part.filter(k % 16 == 1).select(cui(k).alias("child_cui"), cui(k + 2).alias("parent_cui"))
+    return te.concept_closure(down.union(back), None)
+
+
 @query("SELECT count(*) AS rows, count(DISTINCT descendant) AS descendants, max(min_distance) AS max_depth FROM closure")
 def a18_hierarchy_stats(t):
     return te.hierarchy_stats(t.closure)

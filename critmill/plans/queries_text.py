@@ -359,6 +359,16 @@ def r8_counters(t):
     return re_.apply_embeddings(texts, t.b_embedding.select("nct_id", "embedding").join(t.b_attempted, "nct_id", "left_anti"), none, "m")[1]
 
 
+@query("""SELECT count(*) FILTER (nct_id IN (SELECT nct_id FROM b_embedding)) AS embedded, count(*) FILTER (nct_id NOT IN (SELECT nct_id FROM b_embedding)) AS failed,
+    (SELECT count(*) FROM b_study_detail WHERE nct_id NOT IN (SELECT nct_id FROM b_attempted) AND nct_id NOT IN (SELECT nct_id FROM b_embedding)) + (SELECT count(*) FROM b_study_detail WHERE nct_id IN (SELECT nct_id FROM b_attempted)) AS remaining
+    FROM b_study_detail WHERE nct_id NOT IN (SELECT nct_id FROM b_attempted)""")
+def r8_remaining(t):
+    """A batch over the trials that weren't attempted; what it leaves is those without a vector and all others."""
+    texts = t.b_study_detail.select("nct_id", F.col("brief_title").alias("source_text")).join(t.b_attempted, "nct_id", "left_anti")
+    none = t.b_embedding.limit(0).select("nct_id", "embedding", F.lit("").alias("model"), F.lit("").alias("source_text"))
+    return re_.apply_embeddings(texts, t.b_embedding.select("nct_id", "embedding"), none, "m", t.b_study_detail)[1]
+
+
 @query(f"{SCORES} SELECT q AS query, c AS name FROM s WHERE len({TOKENS.format(x='q')}) < 2 OR cover >= 0.6")
 def f9_coverage_guard(t):
     return se.coverage_guard(pairs(t).select(F.col("q").alias("query"), F.col("c").alias("name")))

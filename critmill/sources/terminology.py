@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_key
+from .tables import materialized
 
 #: Source vocabularies that are loaded by default, in order of preference.
 VOCABULARIES = ["SNOMEDCT_US", "MSH", "RXNORM", "LNC", "ICD10CM", "MDR"]
@@ -60,16 +63,28 @@ def build_concepts(atoms: DataFrame, priority: list[str] = VOCABULARIES) -> Data
     return atoms.groupBy("cui").agg(best.alias("b")).select("cui", F.col("b.str").alias("pref_name"), F.col("b.sab").alias("root_source"))
 
 
-def concept_closure(edges: DataFrame, depth: int = 2) -> DataFrame:
-    """descendant, ancestor, min_distance up to `depth` levels, without self pairs; one join a level."""
+def concept_closure(edges: DataFrame, depth: int | None = 2) -> DataFrame:
+    """descendant, ancestor, min_distance up to `depth` levels (to the end where it's None), without self pairs; cycles do no harm.
+
+    Semi-naive: each level extends the pairs that the level before found first, and keeps those not seen yet, so a pair's level is
+    its least distance. Beyond two levels every level is written, so that its plan doesn't hold those before it, and the loop ends with
+    a level that finds nothing.
+    """
     e = edges.filter("child_cui <> parent_cui").select(F.col("child_cui").alias("descendant"), F.col("parent_cui").alias("ancestor")).distinct()
-    seen = level = e.withColumn("min_distance", F.lit(1))
+    keep = (lambda t: t) if depth is not None and depth <= 2 else materialized
+    e = keep(e)
     step = e.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("next"))
-    for d in range(2, depth + 1):
+    level = e.withColumn("min_distance", F.lit(1))
+    levels, d = [level], 1
+    while depth is None or d < depth:
+        d += 1
+        seen = reduce(DataFrame.unionByName, levels).select("descendant", "ancestor")
         level = level.join(step, "ancestor").select("descendant", F.col("next").alias("ancestor")).filter("descendant <> ancestor").distinct()
-        level = level.join(seen, ["descendant", "ancestor"], "left_anti").withColumn("min_distance", F.lit(d))
-        seen = seen.unionByName(level)
-    return seen
+        level = keep(level.join(seen, ["descendant", "ancestor"], "left_anti").withColumn("min_distance", F.lit(d)))
+        if keep is materialized and level.isEmpty():
+            break
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def hierarchy_stats(closure: DataFrame) -> DataFrame:

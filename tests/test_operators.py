@@ -87,6 +87,38 @@ def test_closure_is_cycle_safe(spark):
     assert sorted(te.concept_closure(e).collect()) == [("a", "b", 1), ("a", "c", 2), ("b", "a", 1), ("b", "c", 1)]
 
 
+def test_closure_of_any_depth(spark):
+    """Six levels and more on random edges with cycles, against a search from every node."""
+    rnd = np.random.default_rng(8)
+    edges = {(int(a), int(a + b)) for a, b in zip(rnd.integers(0, 60, 70), rnd.integers(1, 8, 70))} | {(50, 20), (9, 9)}
+    e = spark.createDataFrame([(f"c{a}", f"c{b}") for a, b in edges], "child_cui string, parent_cui string").coalesce(2)
+
+    def brute(depth):
+        out = set()
+        for start in {a for a, _ in edges}:
+            far, front = {start: 0}, {start}
+            for d in range(1, depth + 1):
+                front = {b for a, b in edges if a in front} - set(far)
+                far |= dict.fromkeys(front, d)
+            out |= {(f"c{start}", f"c{x}", d) for x, d in far.items() if d}
+        return out
+
+    assert max(d for _, _, d in brute(100)) > 6
+    assert {tuple(r) for r in te.concept_closure(e, 6).collect()} == brute(6)
+    assert {tuple(r) for r in te.concept_closure(e, None).collect()} == brute(100)
+
+
+def test_backfill_refuses_an_incomplete_terminology(spark):
+    c = spark.createDataFrame([("C1", None, None), ("C9", None, None), (None, None, None)], "concept_code string, semantic_type string, semantic_type_tuis array<string>")
+    types = spark.createDataFrame([("C1", "T1", "Disease")], "cui string, tui string, sty string")
+    concepts = spark.createDataFrame([("C1",), ("C2",)], "cui string")
+    with pytest.raises(ValueError, match="1 concepts"):
+        co.backfill_job(c, concepts, types)
+    new, told = co.backfill_job(c, concepts.filter("cui = 'C1'"), types)
+    assert tuple(told.first()) == (1, 1) and new.filter("semantic_type = 'Disease'").count() == 1
+    assert co.backfill_job(c, concepts.filter("cui = 'C1'"), types, dry_run=True)[0].filter("semantic_type IS NOT NULL").count() == 0
+
+
 def test_lift_of_nothing(spark):
     e = spark.createDataFrame([], "nct_id string, concept_code string")
     none = co.defining_codes("Phase", "1", None, spark)
