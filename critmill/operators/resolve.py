@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_none_term, jaccard, lexemes, match_score, normalize_key, trigrams, trimmed, unresolved
-from ..sources.tables import materialized, upsert
+from ..sources.tables import counted_join, materialized, upsert
 from .cohorts import canonical_types
 from .index import FuzzyIndex, build_index, gram_candidates, token_candidates
 from .joins import exact_candidates, unseen_conditions
 from .search import code_guard, coverage_guard
 
 
+#: Tables of at most so many texts with their lexemes or grams (some 2 KB each) are broadcast.
+TEXTS = 20_000
+
+
 def union_hits(*arms: DataFrame) -> DataFrame:
     """query, cui, rank of several arms, one after another."""
     out = arms[0]
@@ -48,7 +52,8 @@ def token_arm(queries: DataFrame, atoms: DataFrame, limit: int = 15, max_len: in
         index = build_index(atoms, max_len, best=k)
     q = materialized(_distinct(queries).withColumn("lex", lexemes(F.col("query"))))
     found = token_candidates(q, index)
-    t = found.join(q.withColumnRenamed("lex", "ql").hint("merge"), "query").join(index.texts.select("tid", "str", "na", "lex"), "tid")
+    t = counted_join(found, q.withColumnRenamed("lex", "ql"), "query", most=TEXTS)
+    t = counted_join(t, index.texts.select("tid", "str", "na", "lex"), "tid", most=TEXTS)
     shared = F.size(F.array_intersect("ql", "lex"))
     t = t.withColumn("rank", 1 + F.least(F.lit(0.999), shared / F.size("ql") / (1 + F.log("na")))).select("query", "str", "rank")
     at = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rank"), "str"))
@@ -61,7 +66,8 @@ def trigram_arm(queries: DataFrame, atoms: DataFrame, least: float = 0.3, max_le
     q = _distinct(queries).withColumn("grams", trigrams(F.col("query")))
     q = materialized(q.select("query", F.size("grams").alias("nq"), "grams"))
     found = gram_candidates(q, index, least).distinct()
-    t = found.join(q.select("query", F.col("grams").alias("qg")).hint("merge"), "query").join(index.texts.select("tid", "str", F.col("grams").alias("tg")), "tid")
+    t = counted_join(found, q.select("query", F.col("grams").alias("qg")), "query", most=TEXTS)
+    t = counted_join(t, index.texts.select("tid", "str", F.col("grams").alias("tg")), "tid", most=TEXTS)
     hits = t.select("query", "str", jaccard(F.col("qg"), F.col("tg")).alias("rank")).filter(F.col("rank") >= least)
     return hits.join(index.names, "str").select("query", "cui", "rank")
 

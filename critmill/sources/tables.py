@@ -31,9 +31,9 @@ def materialized(df: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def counted_join(big: DataFrame, written: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
-    """Joins a written narrow table: broadcast where it has BROADCAST_ROWS rows at most, by shuffle beyond."""
-    return big.join(F.broadcast(written) if written.count() <= BROADCAST_ROWS else written.hint("merge"), on, how)
+def counted_join(big: DataFrame, written: DataFrame, on: list[str] | str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Joins a written table: broadcast where it has `most` rows at most (by default narrow ones), by shuffle beyond."""
+    return big.join(F.broadcast(written) if written.count() <= most else written.hint("merge"), on, how)
 
 
 def replace_by_key(target: DataFrame, batch: DataFrame, key: str, attempted: DataFrame | None = None) -> DataFrame:
