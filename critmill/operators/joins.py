@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_key, trimmed, unescape_markdown, unresolved
 from .search import selectable_trials
+from .vectors import VectorIndex, comparable, exact_search
 
 
 def attempted_ids(attempts: DataFrame) -> DataFrame:
@@ -118,56 +117,29 @@ def semantic_types_of(codes: DataFrame, types: DataFrame) -> DataFrame:
     return codes.select("concept_code").distinct().join(per, "concept_code", "left").withColumn("assignments", F.coalesce("assignments", none))
 
 
-def similar_to_vectors(emb: DataFrame, queries: DataFrame, with_criteria: DataFrame | None = None, k: int = 10, match: list[str] | None = None, skip_self: bool = False, block: int = 256, rows_block: int = 1024) -> DataFrame:
+def similar_to_vectors(emb: DataFrame, queries: DataFrame, with_criteria: DataFrame | None = None, k: int = 10, match: list[str] | None = None, skip_self: bool = False, block: int = 256, rows_block: int = 1024, index: VectorIndex | None = None) -> DataFrame:
     """query_id, nct_id, similarity (cosine, 4 places) and rank: the k most similar rows of each query, ties by nct_id.
 
     emb: nct_id, embedding and the `match` columns, which must be equal to the query's. queries: query_id, embedding and
     those columns. Queries and rows are dealt by hash to blocks of about `block` and `rows_block` rows, as many as the tables
     fill; each pair of blocks is one cell, a matrix product that keeps k rows a query. So cells grow in number, not in size.
+    Vectors that are null, zero or not finite take no part; those of another length aren't compared. With an index of the
+    same rows, queries look into their nearest cells only (see VectorIndex).
     """
+    if index is not None:
+        return index.search(queries, with_criteria, k, match, skip_self)
     match = match or []
     k = max(1, min(k, 500))
     if with_criteria is not None:
         emb = emb.join(with_criteria.select("nct_id").distinct(), "nct_id", "left_semi")
-    q = queries.select("query_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.array(*(F.col(c).cast("string") for c in match)).cast("array<string>").alias("m"))
-    rows = emb.select("nct_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"), F.array(*(F.col(c).cast("string") for c in match)).cast("array<string>").alias("m"))
-    # The vector is hashed too: rows of one id needn't share a block.
-    dealt = lambda key, n: F.pmod(F.xxhash64(key, "v"), F.lit(n)).cast("int")
-    n_q, n_r = max(1, -(-q.count() // block)), max(1, -(-rows.count() // rows_block))
-    q = q.groupBy(dealt("query_id", n_q).alias("qb")).agg(F.collect_list(F.struct("query_id", "v", "m")).alias("q")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))))
-    packed = rows.groupBy(dealt("nct_id", n_r).alias("rb")).agg(F.collect_list(F.struct("nct_id", "v", "m")).alias("rows")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-
-    def best(batches):
-        for b in batches:
-            out = []
-            for qs, rs in zip(b["q"], b["rows"]):
-                a, m = (np.array([list(x["v"]) for x in xs]) for xs in (qs, rs))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    a, m = a / np.linalg.norm(a, axis=1, keepdims=True), m / np.linalg.norm(m, axis=1, keepdims=True)
-                s = np.round(a @ m.T, 4)
-                ids = np.array([x["nct_id"] for x in rs])
-                by = np.argsort(ids, kind="stable")
-                for i, x in enumerate(qs):
-                    ok = np.isfinite(s[i][by])
-                    if match:
-                        ok &= np.array([list(rs[j]["m"]) == list(x["m"]) for j in by])
-                    if skip_self:
-                        ok &= ids[by] != x["query_id"]
-                    mine = by[ok]
-                    for j in mine[np.argsort(-s[i][mine], kind="stable")[:k]]:
-                        out.append((x["query_id"], ids[j], float(s[i][j])))
-            yield pd.DataFrame(out, columns=["query_id", "nct_id", "similarity"])
-
-    got = packed.join(q.hint("shuffle_hash"), ["qb", "rb"]).select("q", "rows").mapInPandas(best, "query_id string, nct_id string, similarity double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "nct_id"))
-    return got.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-def similar_to_trials(emb: DataFrame, keys: DataFrame, with_criteria: DataFrame | None = None, k: int = 10, match: list[str] | None = None) -> DataFrame:
+    return exact_search(comparable(queries, "query_id", match), comparable(emb, "nct_id", match), k, skip_self, block, rows_block)
+
+
+def similar_to_trials(emb: DataFrame, keys: DataFrame, with_criteria: DataFrame | None = None, k: int = 10, match: list[str] | None = None, index: VectorIndex | None = None) -> DataFrame:
     """As similar_to_vectors from stored vectors, without the trial itself; has_vector tells a trial without a vector (one row, no match) from one without matches."""
     wanted = keys.select("nct_id").distinct()
     queries = emb.join(wanted, "nct_id", "left_semi").withColumnRenamed("nct_id", "query_id")
-    found = similar_to_vectors(emb, queries, with_criteria, k, match, skip_self=True)
+    found = similar_to_vectors(emb, queries, with_criteria, k, match, skip_self=True, index=index)
     have = queries.select("query_id").withColumn("has_vector", F.lit(True))
     t = wanted.withColumnRenamed("nct_id", "query_id").join(have, "query_id", "left").join(found.hint("merge"), "query_id", "left")
     return t.withColumn("has_vector", F.coalesce("has_vector", F.lit(False)))

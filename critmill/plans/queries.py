@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import cohorts as co
 from ..operators import joins as jo
+from ..operators import vectors as ve
 from ..operators import resolve as re_
 from ..operators import responses as rs
 from ..operators import search as se
@@ -524,6 +525,25 @@ def j13_similar_to_trials(t):
     return jo.similar_to_trials(t.b_embedding, t.b_embedding.filter("CAST(substr(nct_id, 4) AS BIGINT) % 50 = 0").select("nct_id"), match=["phase"])
 
 
+@query(COSINE.format(where="CAST(substr(nct_id, 4) AS BIGINT) % 50 = 0", on="q.phase = e.phase", more=""))
+def j12_index_all_cells(t):
+    """An index that looks into every cell gives the rows of the exact search: each row lies in a cell."""
+    index = ve.VectorIndex.build(t.b_embedding, ta.scratch(t.spark), ["phase"], probing=20)
+    queries = t.b_embedding.filter("CAST(substr(nct_id, 4) AS BIGINT) % 50 = 0").withColumnRenamed("nct_id", "query_id")
+    return index.search(queries, match=["phase"], probes=len(index.centres))
+
+
+@query("SELECT count(*) AS queries, count(*) > 0 AS enough FROM b_embedding WHERE CAST(substr(nct_id, 4) AS BIGINT) % 50 = 0")
+def j13_index_recall(t):
+    """The index as built against the exact search: at least 0.9 of the ten nearest of every 50th trial."""
+    index = ve.VectorIndex.build(t.b_embedding, ta.scratch(t.spark))
+    keys = t.b_embedding.filter("CAST(substr(nct_id, 4) AS BIGINT) % 50 = 0").select("nct_id")
+    exact = jo.similar_to_trials(t.b_embedding, keys)
+    found = jo.similar_to_trials(t.b_embedding, keys, index=index).withColumn("hit", F.lit(1))
+    both = exact.join(found.select("query_id", "nct_id", "hit").hint("merge"), ["query_id", "nct_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
 @query("""SELECT c_custkey AS study_id, count(o_orderkey) AS criterion_count FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def j14_authored_listing(t):
     studies = t.customer.select(F.col("c_custkey").alias("study_id"), F.lit("2024-01-01").alias("updated_at"))
