@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import cohorts as co
 from ..operators import joins as jo
-from ..operators import vectors as ve
+from ..operators import options as op
 from ..operators import resolve as re_
 from ..operators import responses as rs
 from ..operators import search as se
+from ..operators import vectors as ve
 from ..sources import tables as ta
 from ..sources import terminology as te
 from .bindings import Tables, with_views
@@ -380,6 +381,30 @@ def f8_distinct_estimates(t):
     return se.distinct_estimates(t.b_eligibility, ["criterion", "domain", "concept", "nct_id"])
 
 
+def _kept_options(t) -> op.OptionTable:
+    """Options of all criteria, with the first half of the buckets made again from the same rows."""
+    kept = op.OptionTable(t.spark, ta.scratch(t.spark), ["criterion", "domain", "semantic_type", "original_text"], buckets=8, cap=50)
+    kept.replace(1, t.b_eligibility)
+    kept.replace(2, t.b_eligibility, [0, 1, 2, 3])
+    return kept
+
+
+@query("""SELECT DISTINCT 'criterion' AS column_name, criterion AS value FROM b_eligibility UNION SELECT DISTINCT 'domain', domain FROM b_eligibility
+    UNION SELECT 'semantic_type', semantic_type FROM b_eligibility WHERE semantic_type IS NOT NULL""")
+def f7_kept_options(t):
+    return _kept_options(t).options()
+
+
+@query("""SELECT column_name, n > 0 AS near FROM (SELECT 'criterion' AS column_name, count(DISTINCT criterion) AS n FROM b_eligibility UNION ALL SELECT 'domain', count(DISTINCT domain) FROM b_eligibility
+    UNION ALL SELECT 'semantic_type', count(DISTINCT semantic_type) FROM b_eligibility UNION ALL SELECT 'original_text', count(DISTINCT original_text) FROM b_eligibility)""")
+def f8_kept_estimates(t):
+    """Estimates from merged sketches lie within 5 % of the exact numbers (three times the standard error)."""
+    kept = _kept_options(t)
+    exact = t.b_eligibility.agg(*(F.count_distinct(c).alias(c) for c in kept.columns))
+    exact = exact.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in kept.columns))))
+    return kept.estimates().join(exact.hint("merge"), "column_name").select("column_name", ((F.abs(F.col("estimate") - F.col("n")) <= 0.05 * F.col("n")) & (F.col("n") > 0)).alias("near"))
+
+
 @query("""SELECT c.cui, pref_name, coalesce(p.trials, 0) AS trials FROM concepts c LEFT JOIN profile p ON p.concept_code = c.cui WHERE contains(lower(pref_name), 'e') ORDER BY 3 DESC, 2, 1 LIMIT 20""")
 def f11_search_concepts(t):
     return se.search_concepts(t.concepts, co.corpus_profile(t.b_eligibility), " E ")

@@ -13,6 +13,7 @@ from ..operators import responses as rs
 from ..operators import search as se
 from ..sources import tables as ta
 from ..sources import terminology as te
+from ..sources.csv_file import export_csv_file
 from ..streaming import batches as st
 from . import batch as ba
 from .bindings import VIEWS, Tables
@@ -209,6 +210,16 @@ def s9_csv_rows(t):
     return ta.csv_rows(t.b_eligibility.select("id", F.concat("concept", F.lit(', "'), "original_text", F.lit('"')).alias("t"), "semantic_type"))
 
 
+@query('''SELECT 'Number,"Text ""quoted""",semantic_type' AS line UNION ALL
+    SELECT CAST(id AS VARCHAR) || ',"' || concept || ', ""' || original_text || '"""' || ',' || coalesce(semantic_type, '') FROM b_eligibility''')
+def s9_csv_file(t):
+    """The lines of one file that many tasks wrote."""
+    path = f"{ta.scratch(t.spark)}.csv"
+    rows = t.b_eligibility.select("id", F.concat("concept", F.lit(', "'), "original_text", F.lit('"')).alias("t"), "semantic_type").orderBy("id")
+    export_csv_file(rows, path, ["Number", 'Text "quoted"', "semantic_type"])
+    return t.spark.read.option("lineSep", "\r\n").text(path).withColumnRenamed("value", "line")
+
+
 @query("SELECT count(*) AS n, (SELECT max(o_orderkey) + 1 FROM orders) AS next_id FROM b_study_detail")
 def s10_bundle(t):
     path = ta.scratch(t.spark)
