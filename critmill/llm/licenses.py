@@ -60,17 +60,54 @@ def full_texts() -> list[tuple[int, str, str]]:
     return [(len(TEMPLATES) + i, f.name.removesuffix(".txt"), f.read_text()) for i, f in enumerate(sorted(TEXTS.glob("*.txt")))]
 
 
-def _windows(grams: list[tuple[str, str]], t: set[tuple[str, str]], places: int, threshold: float) -> list[tuple[float, int, int]]:
+def _following(grams: list[tuple[str, str]]) -> np.ndarray:
+    """The next place of each bigram, or their number where it doesn't come again."""
+    out, seen = np.full(len(grams), len(grams)), {}
+    for i in range(len(grams) - 1, -1, -1):
+        out[i] = seen.get(grams[i], len(grams))
+        seen[grams[i]] = i
+    return out
+
+
+def _bounds(grams: list[tuple[str, str]], t: set[tuple[str, str]], most: int) -> np.ndarray:
+    """For each place, what the dice of no window that ends there exceeds; one pass, so its work follows the text.
+
+    Of t's m bigrams, d different ones stand in the `most` places up to there, so dice is at most 2 d / (d + m). It is 1 only if the shortest
+    window with all of them holds no others; else it is at most 2 m / (2 m + 1), the next ratio.
+    """
+    m, out = len(t), np.zeros(len(grams))
+    reach, short = {}, {}  # places of t's bigrams in reach, and in the window from `first` on
+    first, last_other = 0, -1
+    for i, g in enumerate(grams):
+        if i >= most and (old := grams[i - most]) in reach:
+            reach[old] -= 1
+            if not reach[old]:
+                del reach[old]
+        if g not in t:
+            last_other = i
+            continue
+        reach[g] = reach.get(g, 0) + 1
+        short[g] = short.get(g, 0) + 1
+        while (count := short.get(grams[first], 2)) > 1:  # another bigram, or one that comes again
+            if grams[first] in short:
+                short[grams[first]] = count - 1
+            first += 1
+        d = len(reach)
+        out[i] = 2 * d / (d + m)
+        if d == m and last_other >= first:
+            out[i] = 2 * m / (2 * m + 1)
+    return out
+
+
+def _windows(grams: list[tuple[str, str]], t: set[tuple[str, str]], places: int, threshold: float, following: np.ndarray | None = None) -> list[tuple[float, int, int]]:
     """(dice, first, last) of the windows of bigrams that are like t; of overlapping ones the best stands, and others are sought beside it.
 
     A window begins and ends with one of t's bigrams (any other at its ends lowers dice), and is at most (2 - threshold) / threshold times as long as the template, of so many `places` with its repeated bigrams.
+    Ends are tried in order of their bounds, so that those inside a window that stands, most of a licence's, aren't looked at.
     """
     m, most = len(t), int(places * (2 - threshold) / threshold + 1e-9)
     hit = np.array([g in t for g in grams])
-    following, seen = np.full(len(grams), len(grams)), {}
-    for i in range(len(grams) - 1, -1, -1):
-        following[i] = seen.get(grams[i], len(grams))
-        seen[grams[i]] = i
+    following = _following(grams) if following is None else following
 
     def best(end: int, floor: int) -> tuple[float, int]:
         lo = max(floor, end + 1 - most)
@@ -81,11 +118,9 @@ def _windows(grams: list[tuple[str, str]], t: set[tuple[str, str]], places: int,
         first = len(dice) - 1 - int(dice[::-1].argmax())
         return float(dice[first]), lo + first
 
-    total = np.concatenate(([0], np.cumsum(hit)))
-    ends = np.flatnonzero(hit)
-    # Only where enough of t's bigrams are in reach can a window that ends here pass.
-    ends = ends[total[ends + 1] - total[np.maximum(ends + 1 - most, 0)] >= threshold / (2 - threshold) * m - 1e-9]
-    heap = [(-d, first, int(end), 0) for end in ends for d, first in [best(end, 0)] if d >= threshold]
+    bounds = _bounds(grams, t, most)
+    # Bounds, marked by -1, come before windows of the same dice.
+    heap = [(-bounds[end], -1, int(end), 0) for end in np.flatnonzero(bounds >= threshold - 1e-12)]
     heapify(heap)
     firsts, lasts = [], []  # of those that stand, in order
     while heap:
@@ -93,6 +128,11 @@ def _windows(grams: list[tuple[str, str]], t: set[tuple[str, str]], places: int,
         at = bisect_left(lasts, end)
         if at < len(lasts) and firsts[at] <= end:
             continue
+        if first < 0:
+            d, first = best(end, 0)
+            if d >= threshold:
+                heappush(heap, (-d, first, end, 0))
+            continue
         if at and lasts[at - 1] >= first:
             floor = lasts[at - 1] + 1
             d, first = best(end, floor)
@@ -114,9 +154,9 @@ def notices(text: str, known: list[tuple[int, str, set[tuple[str, str]], int]],
             continue
         if grams is None:
             grams, starts = list(zip(w, w[1:])), [x.start() for x in WORD.finditer(low)]
-            ends = [x.start() for x in re.finditer("\n", low)]
+            ends, following = [x.start() for x in re.finditer("\n", low)], _following(grams)
         line = lambda i: bisect_left(ends, starts[i]) + 1
-        out += [(line(first), line(last + 1), name, k, d) for d, first, last in _windows(grams, t, places, threshold)]
+        out += [(line(first), line(last + 1), name, k, d) for d, first, last in _windows(grams, t, places, threshold, following)]
     return out
 
 

@@ -343,3 +343,32 @@ def test_shards_of_several_batches(spark):
     blobs = [suffix._open(r.blob) for r in suffix.pack_shards(docs, most=4000).orderBy("shard").collect()]
     assert [x for b in blobs for x in b.column("text").to_pylist()] == texts
     assert [b.num_rows for b in blobs] == [3, 1, 10, 10]
+
+
+def test_long_licence_texts_are_looked_at_in_few_places(monkeypatch):
+    """Bounds hold for every end, and inside a copy that stands no end is tried: five copies take few times the trials of one."""
+    k, name, gpl = next(x for x in licenses.full_texts() if x[1] == "GPL-3.0")
+    w = licenses.WORD.findall(gpl.lower())
+    grams = list(zip(w, w[1:]))
+    t, pushed = set(grams), []
+    push = licenses.heappush
+    monkeypatch.setattr(licenses, "heappush", lambda h, x: pushed.append(x) or push(h, x))
+    trials = []
+    for n in (1, 5):
+        pushed.clear()
+        many = list(zip(w * n, (w * n)[1:]))
+        found = licenses._windows(many, t, len(grams), 0.8)
+        assert len(found) == n and all(d > 0.9999 for d, _, _ in found)
+        trials.append(len(pushed))
+    assert trials[1] <= 6 * max(trials[0], 10), trials
+    rnd = random.Random(6)
+    for _ in range(200):
+        w = [rnd.choice("abcdef") for _ in range(40)]
+        t = set(zip(w[5:12], w[6:13]))
+        grams = list(zip(w, w[1:]))
+        bounds = licenses._bounds(grams, t, 12)
+        for end in range(len(grams)):
+            for first in range(max(0, end - 11), end + 1):
+                part = set(grams[first : end + 1])
+                if grams[end] in t:
+                    assert 2 * len(part & t) / (len(part) + len(t)) <= bounds[end] + 1e-12
