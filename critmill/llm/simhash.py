@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Powers, U64, lower_ascii, mix64, partitions, save, shingle_hashes, text_chunks, word_hashes
 
 BITS = 128
+#: Fewest blocks of a search (a block has to fit 56 bits), and most probes of a query.
+LEAST_BLOCKS, MOST_PROBES = 3, 10_000
 LANES = U64(0x0101010101010101)
 
 
@@ -139,42 +142,90 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def search(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
+def _masks(width: int, flips: int) -> list[int]:
+    """Every word of `width` bits with at most so many set."""
+    return [sum(1 << b for b in bits) for k in range(flips + 1) for bits in combinations(range(width), k)]
+
+
+def block_tables(radius: int, blocks: int) -> list[tuple[int, int, int]]:
+    """First bit, end bit and flips of each table: two fingerprints within `radius` bits differ by at most so many in one of these blocks.
+
+    Were it more in each, the differences would add up to sum(flips + 1) = radius + 1. Blocks beyond radius + 1 need no table.
+    """
+    each, more = divmod(radius + 1, blocks)
+    return [(i * BITS // blocks, (i + 1) * BITS // blocks, each - (i >= more)) for i in range(blocks) if each + (i < more)]
+
+
+def _probes(tables: list[tuple[int, int, int]]) -> list[int]:
+    return [sum(math.comb(hi - lo, k) for k in range(t + 1)) for lo, hi, t in tables]
+
+
+def choose_blocks(radius: int, queries: int, prints: int) -> int:
+    """The number of blocks with the fewest rows: the index's, the probes', and the pairs that meet by chance."""
+
+    def rows(blocks: int) -> float:
+        tables = block_tables(radius, blocks)
+        chance = sum(n / 2 ** (hi - lo) for n, (lo, hi, _) in zip(_probes(tables), tables))
+        return len(tables) * prints + sum(_probes(tables)) * queries + chance * queries * prints
+
+    fit = [b for b in range(LEAST_BLOCKS, max(LEAST_BLOCKS, radius + 1) + 1) if sum(_probes(block_tables(radius, b))) <= MOST_PROBES]
+    return min(fit or [max(LEAST_BLOCKS, radius + 1)], key=rows)
+
+
+def _words(t: DataFrame, first: str, second: str) -> DataFrame:
+    """Distinct fingerprints as two 64-bit words."""
+    part = lambda i: F.conv(F.substring("fingerprint", 1 + 8 * i, 8), 16, 10).cast("long")
+    word = lambda i: F.shiftleft(part(i), 32).bitwiseOR(part(i + 1))
+    return t.select("fingerprint").filter("fingerprint IS NOT NULL").distinct().select(word(0).alias(first), word(2).alias(second))
+
+
+def _block(lo: int, hi: int, first: Column, second: Column) -> Column:
+    """Bits lo to hi as a number."""
+    low = F.lit((1 << (hi - lo)) - 1)
+    if hi <= 64:
+        return F.shiftrightunsigned(first, 64 - hi).bitwiseAND(low)
+    end = F.shiftrightunsigned(second, 128 - hi)
+    return end.bitwiseAND(low) if lo >= 64 else F.shiftleft(first, hi - 64).bitwiseOR(end).bitwiseAND(low)
+
+
+def search(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
     """All pairs of distinct fingerprints within `radius` bits: fingerprint (a query's), found, distance.
 
-    A fingerprint is cut into `blocks` blocks; two that differ in at most `radius` bits agree on some
-    `blocks - radius` of them, so each such choice is a table, keyed by those blocks, and one
-    equi-join on (table, key) finds every pair. Inputs hold `fingerprint`; equal ones count once, so large groups of
-    copies cost one row. Null fingerprints take no part.
+    A fingerprint is cut into blocks; each is a table, keyed by the block's bits, in which every fingerprint stands once. Two
+    within the radius differ in some block by no more bits than `block_tables` states, so a query looks up
+    its block with every choice of so many bits flipped: one equi-join on (table, bits) finds every pair. The number of blocks
+    follows from the counted tables, unless given: the more fingerprints, the wider the blocks, so that few meet by chance.
+
+    Inputs hold `fingerprint`; equal ones count once, so large groups of copies and repeated rows cost one row. Null fingerprints take
+    no part, other columns don't matter, an empty side gives no pairs.
     """
-    digits = BITS // 4
-    cuts = [i * BITS // blocks for i in range(blocks + 1)]
-    bits = F.concat(*(F.lpad(F.conv(F.substring("fingerprint", 1 + 8 * i, 8), 16, 2), 32, "0") for i in range(digits // 8)))
-    tables = []
-    for i, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        key = F.concat(*(F.substring("bits", cuts[b] + 1, cuts[b + 1] - cuts[b]) for b in chosen))
-        tables.append(F.struct(F.xxhash64(F.lit(i), key).alias("key"), F.lit(",".join(map(str, chosen))).alias("chosen")))
-    keyed = lambda t: t.select("fingerprint").filter("fingerprint IS NOT NULL").distinct().withColumn("bits", F.explode(F.array(bits))).select("fingerprint", F.inline(F.array(*tables)))
-    word = lambda c, i: F.conv(F.substring(c, 1 + 8 * i, 8), 16, 10).cast("long")
-    # The bits of block b that stand in word i.
-    cut = lambda b, i, c: word(c, i).bitwiseAND(F.lit(sum(1 << (31 - x % 32) for x in range(max(cuts[b], 32 * i), min(cuts[b + 1], 32 * i + 32)))))
-    pairs = keyed(queries).join(keyed(prints).select(F.col("fingerprint").alias("found"), "key").hint("merge"), "key")
-    distance = sum((F.bit_count(word("fingerprint", i).bitwiseXOR(word("found", i))) for i in range(digits // 8)), F.lit(0))
-    pairs = pairs.filter(F.col("fingerprint") != F.col("found")).withColumn("distance", distance)
-    # A pair comes from the first table only that it shares: the one of its first equal blocks.
-    same = lambda b: reduce(lambda x, y: x & y, [cut(b, i, "fingerprint") == cut(b, i, "found") for i in range(cuts[b] // 32, (cuts[b + 1] - 1) // 32 + 1)])
-    first = F.concat_ws(",", F.slice(F.array_compact(F.array(*(F.when(same(b), F.lit(str(b))) for b in range(blocks)))), 1, blocks - radius))
-    return pairs.filter((F.col("distance") <= radius) & (first == F.col("chosen"))).select("fingerprint", "found", "distance").distinct()
+    q, p = save(_words(queries, "a", "b")), save(_words(prints, "c", "d"))
+    tables = block_tables(radius, blocks or choose_blocks(radius, q.count(), p.count()))
+    key = lambda i, x: x + F.lit(i << 56)  # noqa: E731  blocks have fewer bits than that
+    flips = lambda hi, lo, t: F.split(F.lit(",".join(map(str, _masks(hi - lo, t)))), ",").cast("array<long>")  # noqa: E731  one folded literal
+    index = p.withColumn("key", F.explode(F.array(*(key(i, _block(lo, hi, F.col("c"), F.col("d"))) for i, (lo, hi, _) in enumerate(tables)))))
+    probes = None
+    for i, (lo, hi, t) in enumerate(tables):
+        x = q.withColumn("flip", F.explode(flips(hi, lo, t))).select("a", "b", key(i, _block(lo, hi, F.col("a"), F.col("b")).bitwiseXOR(F.col("flip"))).alias("key"))
+        probes = x if probes is None else probes.unionByName(x)
+    pairs = probes.join(index.hint("merge"), "key").select(F.shiftright("key", 56).alias("table"), "a", "b", "c", "d", F.col("a").bitwiseXOR(F.col("c")).alias("x"), F.col("b").bitwiseXOR(F.col("d")).alias("y"))
+    distance = (F.bit_count("x") + F.bit_count("y")).cast("int")
+    pairs = pairs.filter((distance > 0) & (distance <= radius))
+    # A pair comes from the first table only that it meets in.
+    meets = [F.bit_count(_block(lo, hi, F.col("x"), F.col("y"))) <= t for lo, hi, t in tables]
+    first = reduce(lambda rest, i: F.when(meets[i], F.lit(i)).otherwise(rest), reversed(range(len(tables))), F.lit(len(tables)))
+    text = lambda x, y: F.lower(F.concat(F.lpad(F.hex(x), 16, "0"), F.lpad(F.hex(y), 16, "0")))
+    return pairs.filter(first == F.col("table")).select(text("a", "b").alias("fingerprint"), text("c", "d").alias("found"), distance.alias("distance"))
 
 
 def near(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint, and n_near: other documents within `radius` bits of each query, equal fingerprints included.
 
-    Inputs hold doc_id and fingerprint. Documents of a fingerprint are counted once for all, not listed.
+    Inputs hold doc_id and fingerprint; queries are rows of prints. Documents of a fingerprint are counted once for all, not listed. Every query gives a row, a
+    repeated one as often as it stands there; a null fingerprint is near to none. Other columns don't matter; empty tables give an empty result.
     """
-    # Two blocks make a key: at 12 bits that is 91 tables, three blocks would need 455.
     many = save(prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("docs")))
-    found = search(queries, prints, radius, radius + 2).join(many.withColumnRenamed("fingerprint", "found").hint("merge"), "found")
+    found = search(queries, many, radius).join(many.withColumnRenamed("fingerprint", "found").hint("merge"), "found")
     around = save(found.groupBy("fingerprint").agg(F.sum("docs").alias("around")))
-    t = queries.join(many.hint("merge"), "fingerprint").join(around.hint("merge"), "fingerprint", "left")
-    return t.select("doc_id", "fingerprint", (F.col("docs") - 1 + F.coalesce("around", F.lit(0))).alias("n_near"))
+    t = queries.select("doc_id", "fingerprint").join(many.hint("merge"), "fingerprint", "left").join(around.hint("merge"), "fingerprint", "left")
+    return t.select("doc_id", "fingerprint", (F.coalesce(F.col("docs") - 1, F.lit(0)) + F.coalesce("around", F.lit(0))).alias("n_near"))

@@ -159,21 +159,64 @@ def test_edit_probe_small(spark, empty):
     assert simhash.edit_probe(spark.createDataFrame([(None, "x"), (None, None), (1, "y y")], "doc_id long, text string")).count() == 3
 
 
-def test_search(spark):
+@pytest.fixture(scope="module")
+def near_values():
+    """Random fingerprints and copies with up to 14 bits flipped, far and close together."""
     rnd = random.Random(4)
     base = [rnd.getrandbits(128) for _ in range(40)]
-    values = list(base)
+    values = [0, (1 << 128) - 1, 1 << 127, *base]
     for b in base:
-        for k in range(6):
-            v = b
-            for bit in rnd.sample(range(128), k):
-                v ^= 1 << bit
-            values.append(v)
-    rows = [(i, f"{v:032x}") for i, v in enumerate(values)] + [(9000, None)]
-    df = spark.createDataFrame(rows, "doc_id long, fingerprint string")
-    got = {(r.doc_id, r.n_near) for r in simhash.near(df.filter("doc_id % 5 = 0"), df).collect() if r.fingerprint}
-    want = {(i, sum(bin(v ^ u).count("1") <= 3 for j, u in enumerate(values) if j != i)) for i, v in enumerate(values) if i % 5 == 0}
-    assert got == want
+        for k in (1, 2, 3, 4, 5, 12, 13, 14):
+            start = rnd.randrange(100)
+            for bits in (rnd.sample(range(128), k), range(start, start + k)):
+                values.append(b ^ sum(1 << x for x in bits))
+    return values
+
+
+@pytest.mark.parametrize("radius, blocks", [(0, None), (1, None), (3, None), (3, 4), (12, None), (12, 4), (12, 5), (12, 6), (12, 13)])
+def test_search(spark, near_values, radius, blocks):
+    """Every pair within the radius once, whatever the blocks; equal fingerprints and repeated rows count once."""
+    prints = spark.createDataFrame([(f"{v:032x}", 1) for v in near_values * 2] + [(None, 1)], "fingerprint string, found int")
+    got = [tuple(r) for r in simhash.search(prints, prints, radius, blocks).collect()]
+    some = sorted(set(near_values))
+    want = {(f"{v:032x}", f"{u:032x}", bin(v ^ u).count("1")) for v in some for u in some if 0 < bin(v ^ u).count("1") <= radius}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert radius < 3 or len(want) > 100
+    assert simhash.search(prints.limit(0), prints, radius, blocks).count() == simhash.search(prints, prints.limit(0), radius, blocks).count() == 0
+
+
+def test_near(spark, near_values):
+    """Copies, repeated rows, null fingerprints, clashing columns, empty tables."""
+    rows = [(i, f"{v:032x}", "x") for i, v in enumerate(near_values)] + [(9000, None, "x"), (9005, None, None), (5, f"{near_values[5]:032x}", "x"), (8001, f"{near_values[10]:032x}", None)]
+    df = spark.createDataFrame(rows, "doc_id long, fingerprint string, docs string")
+    got = Counter(tuple(r) for r in simhash.near(df.filter("doc_id % 5 = 0"), df).collect())
+    apart = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
+    want = Counter((d, f, sum(g is not None and apart(f, g) <= 3 for _, g, _ in rows) - 1 if f else 0) for d, f, _ in rows if d % 5 == 0)
+    assert got == want and got[9005, None, 0] == 1 and max(n for _, _, n in got) > 3
+    assert simhash.near(df.limit(0), df).count() == simhash.near(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_blocks_follow_the_tables():
+    """Blocks widen with the tables, so that chance pairs don't grow with the square."""
+    small, large = simhash.choose_blocks(12, 20, 1000), simhash.choose_blocks(12, 2 * 10**7, 10**9)
+    assert small > large
+    for n in (10**3, 10**6, 10**9):
+        tables = simhash.block_tables(12, simhash.choose_blocks(12, n // 50, n))
+        assert sum(t + 1 for _, _, t in tables) == 13
+        assert sum(p * n / 2 ** (hi - lo) for p, (lo, hi, _) in zip(simhash._probes(tables), tables)) < 10_000
+
+
+def test_fingerprint_of_plain_shingles():
+    """Signs of a plain sum over the text's own shingles: each occurrence votes, more than half sets a bit."""
+    texts = ["", "one", "a b", "The cat the CAT the cat sat", "x y " * 300 + "z", "É é\tz  q", None]
+    f = simhash.fingerprints(pa.array(texts))
+    for text, got in zip(texts, f):
+        grams = brute_fingerprint(text or "")
+        votes = np.zeros(simhash.BITS, np.int64)
+        for g in grams:
+            # A text of one shingle has its hash's bits as fingerprint.
+            votes += np.unpackbits(simhash.fingerprints(pa.array([b" ".join(g).decode()]))[0])
+        assert (np.unpackbits(got) == (2 * votes > len(grams))).all()
 
 
 def test_search_finds_edited_copies(spark, tmp_path):
