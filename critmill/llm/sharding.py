@@ -6,10 +6,13 @@ import bisect
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import partitions, save, worker_state
 
 TOP = 1 << 128
 
@@ -88,13 +91,75 @@ def splitters(table: DataFrame, wanted: list[int], total: int, rows: int, tolera
     return known
 
 
+def _unsigned(*names: str) -> list[Column]:
+    """Columns whose signed order is the unsigned one of the keys."""
+    return [F.col(c).bitwiseXOR(F.lit(-(1 << 63))) for c in names]
+
+
+def _chunks(narrow: DataFrame, bounds: list[int], chunk_bytes: int) -> DataFrame:
+    """shard, chunk (numbers inside the shard), first key and the shard's rows before it.
+
+    Keys stand in ranges, each in one task, which starts a chunk with its first key, with each
+    shard and after each `chunk_bytes`. Only their rows are added up over the shard.
+    """
+    edges = np.array([b.to_bytes(16, "big") for b in bounds], "S16")
+    schema = pa.schema([("shard", pa.int32()), ("__h", pa.int64()), ("__d", pa.int64()), ("rows", pa.int64())])
+
+    def cut(batches):
+        now, used = None, 0  # the open chunk and its bytes
+        for b in batches:
+            h, d = np.array(b.column("__h")), np.array(b.column("__d"))
+            shard = np.searchsorted(edges, _keys(h, d), "right") - 1
+            size, rows = (np.concatenate(([0], np.cumsum(np.array(b.column(c))))) for c in ("size", "rows"))
+            done, i = [], 0
+            while i < len(h):
+                if now is None or now[0] != shard[i] or used >= chunk_bytes:
+                    done += [now] if now else []
+                    now, used = [int(shard[i]), int(h[i]), int(d[i]), 0], 0
+                j = min(np.searchsorted(shard, now[0], "right"), np.searchsorted(size, size[i] + chunk_bytes - used))
+                now[3] += int(rows[j] - rows[i])
+                used += int(size[j] - size[i])
+                i = j
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done), schema)], schema=schema)
+        if now:
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(now, schema)], schema=schema)
+
+    # A row a key, so that equal keys stay together.
+    t = narrow.groupBy("__h", "__d").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    t = t.repartitionByRange(partitions(narrow.sparkSession), *_unsigned("__h", "__d")).sortWithinPartitions(*_unsigned("__h", "__d"))
+    t = t.mapInArrow(cut, "shard int, __h long, __d long, rows long")
+    before = Window.partitionBy("shard").orderBy(*_unsigned("__h", "__d"))
+    base = F.coalesce(F.sum("rows").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return save(t.select("shard", (F.row_number().over(before) - 1).alias("chunk"), "__h", "__d", base.alias("base")))
+
+
+def _edges(uris: list[str]) -> tuple[np.ndarray, ...]:
+    """Written chunks in the order of their keys: key, shard, chunk, base. Read once a worker."""
+    held = worker_state().__dict__.setdefault("chunks", {})
+    name = tuple(uris)
+    if name not in held:
+        held.clear()
+        parts = []
+        for uri in uris:
+            fs, path = pafs.FileSystem.from_uri(uri)
+            with fs.open_input_file(path) as f:
+                parts.append(pq.ParquetFile(f).read())
+        t = pa.concat_tables(parts)
+        keys = _keys(t.column("__h").to_numpy(), t.column("__d").to_numpy())
+        order = np.argsort(keys)
+        held[name] = (keys[order], *(t.column(c).to_numpy()[order] for c in ("shard", "chunk", "base")))
+    return held[name]
+
+
 def shard(docs: DataFrame, n_shards: int = 40, tolerance: float = 0.002, group_tolerance: float = 0.01, chunk_bytes: int = 64 << 20) -> DataFrame:
-    """Adds size (UTF-8 bytes of the text, null: none, plus 16), shard, slot and the exchange's chunk.
+    """Adds size (UTF-8 bytes of the text, null: none, plus 16), shard, slot and the exchange's chunk (a number inside the shard).
 
     Rows are sorted by (hash of text, hash of doc_id): shards hold near equal bytes, equal texts
     stand together, and a group of equal texts is only cut where it is larger than the slack
-    (`group_tolerance` of a shard). Boundaries are found before any row moves; then one exchange
-    sends each row to its chunk (a piece of one shard of about `chunk_bytes`), where the row number plus the
+    (`group_tolerance` of a shard). The shards' boundaries are found before any row moves, by counts that reach the driver: a few dozen for each of
+    n_shards, whatever the size of the data. Pieces of a shard of about `chunk_bytes` are cut by tasks, from keys alone, and written; then one exchange
+    sends each row to its chunk, where the row number plus the
     counted rows before the chunk is the slot, gapless in each shard. Larger data has more chunks in a shard, not larger tasks.
 
     A null text has size 16 and counts as a text of its own; repeated rows get slots of their own; an empty table gives an empty result.
@@ -107,44 +172,28 @@ def shard(docs: DataFrame, n_shards: int = 40, tolerance: float = 0.002, group_t
     sums = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.count(F.lit(1)).alias("rows")).first()
     total, rows = sums["size"], sums["rows"]
     aims = [total * i // n_shards for i in range(1, n_shards)]
-    per = max(1, -(-total // (n_shards * chunk_bytes)))
-    fine = [total * i // (n_shards * per) for i in range(1, n_shards * per)]
-    known = splitters(narrow, fine, total, rows, int(tolerance * total / n_shards)) if rows else {0: (0, 0)}
-    keys = sorted(known)
-    whole_keys = [k for k in keys if k % (1 << 64) == 0]
-    sorted_bytes = {id(x): [known[k][0] for k in x] for x in (keys, whole_keys)}
-
-    def closest(among: list[int], aim: int) -> int:
-        """Of counted keys in order, the one nearest to a position, ties to the smaller."""
-        below = sorted_bytes[id(among)]
-        i = bisect.bisect_left(below, aim)
-        # Keys of equal counts stand together; the first of them is the smallest.
-        ends = [bisect.bisect_left(below, below[j]) for j in (i - 1, i) if 0 <= j < len(below)]
-        return among[min(ends, key=lambda j: (abs(below[j] - aim), among[j]))]
-
-    def nearest(aim: int) -> int:
-        """The counted key nearest to a position; one that cuts no group of equal texts, where that is near enough."""
-        whole = closest(whole_keys, aim)
-        return whole if abs(known[whole][0] - aim) <= group_tolerance * total / n_shards else closest(keys, aim)
+    known = splitters(narrow, aims, total, rows, int(tolerance * total / n_shards)) if rows else {0: (0, 0)}
+    whole = {k: v for k, v in known.items() if k % (1 << 64) == 0}
+
+    def closest(among: dict[int, tuple[int, int]], aim: int) -> int:
+        return min(among, key=lambda k: (abs(among[k][0] - aim), k))
 
     bounds = [0]
     for aim in aims:
-        bounds.append(max(bounds[-1], nearest(aim)))
-    chunks = sorted({*bounds, *(nearest(x) for x in fine)})
-    edges = np.array([k.to_bytes(16, "big") for k in chunks], "S16")
-    before = np.array([known[k][1] for k in chunks], np.int64)
-    shard_of = np.searchsorted(np.array([b.to_bytes(16, "big") for b in bounds], "S16"), edges, "right") - 1
-    first = np.array([known[bounds[s]][1] for s in shard_of], np.int64)
-    base = before - first
+        # One that cuts no group of equal texts, where that is near enough.
+        k = closest(whole, aim)
+        near = abs(whole[k][0] - aim) <= group_tolerance * total / n_shards
+        bounds.append(max(bounds[-1], k if near else closest(known, aim)))
+    uris = sorted(_chunks(narrow, bounds, chunk_bytes).inputFiles())
 
     @F.pandas_udf("chunk int, shard int, base long")
     def place(h: pd.Series, d: pd.Series) -> pd.DataFrame:
-        at = np.searchsorted(edges, _keys(h.to_numpy(), d.to_numpy()), "right") - 1
-        return pd.DataFrame({"chunk": at.astype(np.int32), "shard": shard_of[at].astype(np.int32), "base": base[at]})
+        keys, shard, chunk, base = _edges(uris)
+        at = np.searchsorted(keys, _keys(h.to_numpy(), d.to_numpy()), "right") - 1
+        return pd.DataFrame({"chunk": chunk[at], "shard": shard[at], "base": base[at]})
 
     t = t.withColumn("__p", place("__h", "__d")).select("*", "__p.chunk", "__p.shard", "__p.base")
-    # The hash's order is the unsigned one of the keys.
-    order = Window.partitionBy("chunk").orderBy(*(F.col(c).bitwiseXOR(F.lit(-(1 << 63))) for c in ("__h", "__d")), "doc_id")
+    order = Window.partitionBy("shard", "chunk").orderBy(*_unsigned("__h", "__d"), "doc_id")
     t = t.withColumn("slot", F.col("base") + F.row_number().over(order) - 1)
     return t.select(*docs.columns, "size", "shard", "slot", "chunk")
 

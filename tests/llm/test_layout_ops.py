@@ -167,6 +167,36 @@ def test_token_files_empty(empty):
     assert tokens.read_tokens(tokens.write_tokens(empty, queries.TOKENIZER, 1, tokens.token_folder(empty))).count() == 0
 
 
+def test_sharding_driver_part(spark, sf, monkeypatch):
+    """The keys that reach the driver don't depend on the number of chunks, and chunks hold about what they should."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    probes, count = [], sharding._histogram
+    monkeypatch.setattr(sharding, "_histogram", lambda t, keys: probes.append(len(keys)) or count(t, keys))
+    seen = {}
+    for chunk_bytes in (1 << 30, 5000):
+        probes.clear()
+        out = sharding.shard(docs, 4, chunk_bytes=chunk_bytes).collect()
+        seen[chunk_bytes] = list(probes), {r.doc_id: (r.shard, r.slot) for r in out}
+        size, slots = Counter(), defaultdict(list)
+        for r in out:
+            size[r.shard, r.chunk] += r.size
+            slots[r.shard, r.chunk].append(r.slot)
+        # Slots of a chunk are one run; a chunk passes its size by the rows of its last key at most.
+        assert all(max(x) - min(x) + 1 == len(x) for x in slots.values())
+        assert max(size.values()) <= chunk_bytes + max(r.size for r in out)
+    assert seen[1 << 30] == seen[5000] and len(size) > 40
+
+
+def test_write_shards(spark, messy, tmp_path):
+    """What is written and read again: every row once, in folders by shard, with a column that clashes replaced."""
+    docs = messy.withColumn("shard", F.lit("mine")).withColumn("chunk", F.lit("mine")).withColumn("slot", F.lit("mine"))
+    out = sharding.shard(docs, 5, chunk_bytes=20000)
+    sharding.write_shards(out, f"{tmp_path}/shards")
+    got = spark.read.parquet(f"{tmp_path}/shards")
+    assert {r.shard for r in got.select("shard").collect()} == set(range(5))
+    assert Counter(map(tuple, got.select(*out.columns).collect())) == Counter(map(tuple, out.collect()))
+
+
 def brute_top(vectors, k):
     out = set()
     for q, a in vectors:
