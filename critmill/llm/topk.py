@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, ranked, save
+from .common import save
 
 
 def usable(vector: Column) -> Column:
@@ -23,13 +29,6 @@ def quantised(vectors: DataFrame, column: str = "embedding", scale: int = 64) ->
     return vectors.filter(F.col("vec_id").isNotNull() & usable(v) & small).select("vec_id", F.transform(v, lambda x: F.floor(x * scale).cast("double")).alias("v"))
 
 
-def _blocks(t: DataFrame, rows: int) -> DataFrame:
-    """Rows of a block as one row: block, ids and matrix as bytes. Ids ascend inside a block."""
-    t = ranked(t, [F.col("vec_id")], "__rank")
-    t = t.groupBy(F.floor(F.col("__rank") / rows).alias("block")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("__rows"))
-    return save(t)
-
-
 def tile_top(scores: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest scores of each row, ties to the smaller column, in no order; all columns if fewer."""
     if scores.shape[1] <= k:
@@ -50,71 +49,109 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 #: Stands for no score.
 NONE = -(1 << 63) + 1
-#: Bytes of a block of queries or a shard of vectors, and query rows of a tile.
-BLOCK_BYTES, TILE = 16 << 20, 512
-
-
-def _rows(t: DataFrame) -> int:
-    """Rows of a block: BLOCK_BYTES of doubles, fewer where the table wouldn't fill a block a partition."""
-    n, longest = t.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    return max(1, min(BLOCK_BYTES // (8 * (longest or 1)), max(TILE, -(-n // partitions(t.sparkSession)))))
-
-
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, query_rows: int | None = None, shard_rows: int | None = None, fan_in: int = 16) -> DataFrame:
+#: Bytes of the vectors that a task holds at a time, columns and query rows of a tile, queries that one pass over the vectors serves.
+SHARD_BYTES, COLUMNS, TILE, PASS_ROWS = 16 << 20, 1 << 13, 512, 1 << 16
+
+
+def _matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and matrix of doubles of the vectors of each length."""
+    lengths = np.array(pc.fill_null(pc.list_value_length(column), 0))
+    for d in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == d)
+        yield at, column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)
+
+
+def _shards(batches: Iterator[pa.RecordBatch], rows: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of a task's rows, in shards of one length; ids ascend inside a shard."""
+    held: dict[int, list] = {}
+
+    def joined(parts):
+        ids, v = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(ids, kind="stable")
+        return ids[order], v[order]
+
+    for b in batches:
+        ids = np.array(b.column("vec_id"))
+        for at, v in _matrices(b.column("v")):
+            d, most = v.shape[1], rows or max(1, SHARD_BYTES // (8 * v.shape[1]))
+            for lo in range(0, len(at), most):
+                held.setdefault(d, []).append((ids[at[lo : lo + most]], v[lo : lo + most]))
+                if sum(len(x[0]) for x in held[d]) >= most:
+                    yield joined(held.pop(d))
+    yield from map(joined, held.values())
+
+
+def _asked(uris: list[str], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries of written files, streamed: their numbers, ids and matrix, a block of one length each."""
+    for uri in uris:
+        fs, path = pafs.FileSystem.from_uri(uri)
+        with fs.open_input_file(path) as f:
+            for b in pq.ParquetFile(f).iter_batches(rows, columns=["q", "vec_id", "v"]):
+                number, ids = np.array(b.column("q")), np.array(b.column("vec_id"))
+                for at, v in _matrices(b.column("v")):
+                    yield number[at], ids[at], v
+
+
+def _tile(own: np.ndarray, a: np.ndarray, ids: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Scores of a tile; NONE for a row of the query's own id and for a score beyond 64 bits."""
+    s = products(a, c)
+    if s.dtype == object:
+        s = np.where((s > NONE) & (s < 1 << 63), s, NONE).astype(np.int64)
+    s[own[:, None] == ids[None, :]] = NONE
+    return s
+
+
+def _tiles(uris: list[str], k: int, query_rows: int, shard_rows: int | None, columns: int):
+    def f(batches):
+        task = TaskContext.get().partitionId()
+        for ids, c in _shards(batches, shard_rows):
+            for number, own, a in _asked(uris, query_rows):
+                if a.shape[1] != c.shape[1]:
+                    continue
+                best, place = np.zeros((len(a), 0), np.int64), np.zeros((len(a), 0), np.int64)
+                for lo in range(0, len(c), columns):
+                    s = _tile(own, a, ids[lo : lo + columns], c[lo : lo + columns])
+                    at = tile_top(s, k)
+                    # The tile's columns come after those kept so far, so ties stay with the smaller id.
+                    best, place = np.hstack((best, np.take_along_axis(s, at, 1))), np.hstack((place, at + lo))
+                    at = tile_top(best, k)
+                    best, place = np.take_along_axis(best, at, 1), np.take_along_axis(place, at, 1)
+                row, col = np.nonzero(best > NONE)
+                cells = (number[row], own[row], np.full(len(row), task, np.int64), ids[place[row, col]], best[row, col])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cells], names=["q", "query_id", "sb", "vec_id", "score"])
+
+    return f
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, query_rows: int = TILE, shard_rows: int | None = None, fan_in: int = 16) -> DataFrame:
     """Each query's k best rows other than itself by inner product: query_id, rank, vec_id, score; ties to the smaller id.
 
-    Inputs hold vec_id and v (integers as doubles, one length). Queries stand in blocks, vectors in shards; every
-    pair of them is one cell (equi-join on a cell number), matrix products of tiles that keep k rows a query. Blocks are as
-    large as a task can hold, since vectors move once for each block of queries. Partial lists
-    are merged in a tree, `fan_in` shards at a time. Rows without vec_id take no part. Empty inputs give an empty result; vectors of
-    a length other than the query's take no part, nor do scores beyond 64 bits; a repeated vec_id is a row of its own, and a query skips every row of its own id.
+    Inputs hold vec_id and v (integers as doubles, one length). Vectors stay where they are read: a task holds them a shard at a time, and
+    the queries, written once, stream past in blocks. Matrix products of tiles keep k rows a query, which a task merges over the tiles of a shard. Lists of
+    tasks are merged in a tree, `fan_in` at a time.
+
+    Rows without vec_id take no part. Empty inputs give an empty result; vectors of
+    a length other than the query's take no part, nor do scores beyond 64 bits; a repeated vec_id is a row of its own (as query it gives its rows again), and a query
+    skips every row of its own id. Other columns don't matter.
     """
     spark = vectors.sparkSession
-    queries, vectors = queries.filter("vec_id IS NOT NULL"), vectors.filter("vec_id IS NOT NULL")
-    q, s = _blocks(queries, query_rows or _rows(queries)), _blocks(vectors, shard_rows or _rows(vectors))
-    n_q, n_s = q.count(), s.count()  # rows here are whole blocks
-    q = q.select(F.col("block").alias("qb"), F.col("__rows").alias("qrows")).withColumn("sb", F.explode(F.sequence(F.lit(0), F.lit(max(n_s - 1, 0)))))
-    s = s.select(F.col("block").alias("sb"), F.col("__rows").alias("srows")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(max(n_q - 1, 0)))))
-    cells = q.join(s.hint("shuffle_hash"), ["qb", "sb"])
-
-    def rows_of(x: pa.ListScalar):
-        ids = x.values.field("vec_id").cast(pa.int64()).to_numpy()
-        v = x.values.field("v")
-        lengths = np.array(v.value_lengths().to_numpy(zero_copy_only=False))
-        return ids, lengths, v
-
-    def tiles(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                qi, ql, qv = rows_of(b.column("qrows")[i])
-                si, sl, sv = rows_of(b.column("srows")[i])
-                for d in np.intersect1d(ql, sl):
-                    qa, sa = np.flatnonzero(ql == d), np.flatnonzero(sl == d)
-                    # Vectors of one length are one matrix.
-                    matrix = lambda v, at: v.take(pa.array(at)).flatten().to_numpy().reshape(len(at), d)
-                    m = matrix(sv, sa)
-                    for lo in range(0, len(qa), TILE):
-                        part = qa[lo : lo + TILE]
-                        score = products(matrix(qv, part), m)
-                        own = qi[part][:, None] == si[sa][None, :]
-                        if score.dtype == object:
-                            own |= ((score >= 1 << 63) | (score <= NONE)).astype(bool)
-                        score[own] = NONE
-                        score = score.astype(np.int64)
-                        at = tile_top(score, k)
-                        row = np.repeat(np.arange(len(part)), at.shape[1])
-                        flat = at.reshape(-1)
-                        ok = ~own[row, flat]
-                        row, flat = row[ok], flat[ok]
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (qi[part][row], np.full(len(row), b.column("sb")[i].as_py(), np.int64), si[sa][flat], score[row, flat])], names=["query_id", "sb", "vec_id", "score"])
-
-    t = cells.select("sb", "qrows", "srows").mapInArrow(tiles, "query_id long, sb long, vec_id long, score long")
+    rows = vectors.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "v")
+    q = queries.filter("vec_id IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), "v").withColumn("q", F.monotonically_increasing_id())  # fixed once it's written
+    q = save(q)
+    n = q.count()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if n > PASS_ROWS:
+        q = save(q.repartition(-(-n // PASS_ROWS), "q"))
+    files = sorted(q.inputFiles())
+    # A pass serves a file of about PASS_ROWS queries, a small table's files all together.
+    t = None
+    for uris in [[x] for x in files] if n > PASS_ROWS else [files]:
+        part = rows.mapInArrow(_tiles(uris, k, query_rows, shard_rows, COLUMNS), "q long, query_id long, sb long, vec_id long, score long")
+        t = part if t is None else t.unionByName(part)
     best = [F.col("score").desc(), F.col("vec_id")]
     while True:
-        last = n_s <= fan_in
-        t = t.withColumn("sb", F.lit(0) if last else F.floor(F.col("sb") / fan_in))
-        t = t.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "sb").orderBy(*best))).filter(F.col("rank") <= k)
-        if last:
+        t = t.withColumn("sb", F.floor(F.col("sb") / fan_in))
+        t = save(t.withColumn("rank", F.row_number().over(Window.partitionBy("q", "sb").orderBy(*best))).filter(F.col("rank") <= k))
+        if not t.agg(F.max("sb")).first()[0]:
             return t.select("query_id", "rank", "vec_id", "score")
-        n_s = -(-n_s // fan_in)
-        t = save(t) if n_s > fan_in else t

@@ -206,13 +206,15 @@ def brute_top(vectors, k):
     return out
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rnd = np.random.default_rng(1)
     rows = [(i, rnd.integers(-3, 4, 4).astype(float).tolist()) for i in range(400)] + [(400, [1e9, 2e9, -3e9, 1e8])]
     bad = [(1000, None), (1020, [1.0, None, 2.0, 3.0]), (1040, [float("nan")] * 4), (1060, [float("inf")] * 4), (1080, [])]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1))
     v = topk.quantised(df)
-    out = topk.top_k(v.filter("vec_id % 20 = 0"), v, k=7, query_rows=6, shard_rows=9, fan_in=3).collect()
+    monkeypatch.setattr(topk, "COLUMNS", 4)
+    monkeypatch.setattr(topk, "PASS_ROWS", 8)  # three passes
+    out = topk.top_k(v.filter("vec_id % 20 = 0"), v.repartition(11), k=7, query_rows=6, shard_rows=9, fan_in=3).collect()
     want = brute_top([(i, [int(np.floor(64 * x)) for x in a]) for i, a in rows], 7)
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in out} == want and len(out) == len(want)
     # Null ids take no part, large ones stay exact, and repeated ones are rows of their own.
@@ -221,6 +223,10 @@ def test_top_k(spark):
     w = topk.quantised(spark.createDataFrame(odd, "vec_id long, embedding array<double>"))
     got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(w.filter("vec_id % 20 = 0"), w, k=3).collect()}
     assert got == {(20, 1, big, 8 * 4096), (20, 2, big, 7 * 4096), (20, 3, 0, 2 * 4096), (0, 1, big, 4 * 4096), (0, 2, big, 4 * 4096), (0, 3, 20, 2 * 4096)}
+    # A repeated query gives its rows again.
+    twice = w.filter("vec_id = 20")
+    got = Counter(tuple(r) for r in topk.top_k(twice.union(twice), w, k=2).collect())
+    assert got == {(20, 1, big, 8 * 4096): 2, (20, 2, big, 7 * 4096): 2}
     few = v.filter("vec_id < 3")
     assert topk.top_k(few, few, k=7).count() == 6
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
