@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import Change, Keyed, Store
-from ..sources.tables import materialized
-from .cohorts import pairs, with_descendants
+from ..sources.tables import BROADCAST_ROWS, materialized
+from .cohorts import with_descendants
+from .search import resolved
 
 TABLES = {
     "by_trial": Keyed("nct_id string, concept_code string", ["nct_id"], ["nct_id", "concept_code"]),
@@ -17,6 +18,11 @@ TABLES = {
 }
 
 
+def looked_up(keys: DataFrame) -> DataFrame:
+    """Keys of a join that keeps or drops rows: broadcast where few, else hashed by partition, so that the rows needn't be sorted."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys.hint("shuffle_hash")
+
+
 class PairTable:
     """Pairs by trial and by concept, trials of each concept, and the number of trials with a resolved criterion.
 
@@ -33,24 +39,27 @@ class PairTable:
         store = self.store
         if number in store.numbers():
             return
+        both = ["nct_id", "concept_code"]
         trials = materialized(trials.select("nct_id").distinct())
-        new = materialized(pairs(criteria).join(trials, "nct_id", "left_semi"))
+        mine = looked_up(trials)
+        # Dealt by trial once, the rows lie right for the distinct pairs too.
+        new = materialized(resolved(criteria).select(*both).join(mine, "nct_id", "left_semi").distinct())
         touched = store.touched("by_trial", trials)
         kept = store.read("by_trial", touched)
-        old = materialized(kept.join(trials, "nct_id", "left_semi"))
-        both = ["nct_id", "concept_code"]
-        gone = materialized(old.join(new, both, "left_anti").select(*both))
-        come = materialized(new.join(old, both, "left_anti").select(*both))
-        delta = gone.withColumn("d", F.lit(-1)).unionByName(come.withColumn("d", F.lit(1)))
-        delta = materialized(delta.groupBy("concept_code").agg(F.sum("d").alias("trials")))
+        met = new.select(*both, F.lit(False).alias("was"), F.lit(True).alias("stays"))
+        if not kept.isEmpty():
+            old = kept.join(mine, "nct_id", "left_semi").select(*both, F.lit(True).alias("was"), F.lit(False).alias("stays"))
+            met = materialized(old.unionByName(met).groupBy(*both).agg(F.max("was").alias("was"), F.max("stays").alias("stays")))
+        gone, come = met.filter("was AND NOT stays").select(*both), met.filter("stays AND NOT was").select(*both)
+        delta = materialized(met.filter("was <> stays").groupBy("concept_code").agg(F.sum(F.when(F.col("stays"), 1).otherwise(-1)).alias("trials")))
         codes = store.touched("by_code", delta)
-        by_code = store.read("by_code", codes).join(gone, both, "left_anti").select(*both).unionByName(come)
+        by_code = store.read("by_code", codes).join(looked_up(gone), both, "left_anti").select(*both).unionByName(come)
         counts = store.upsert("counts", delta, {"trials": "increment"})
         counts = Change(counts.rows.filter("trials > 0"), counts.touched)
-        ids = lambda t: t.select("nct_id").distinct().agg(F.count(F.lit(1)).alias("n"))
-        size = ids(new).select(F.lit("trials").alias("what"), F.col("n").alias("a")).crossJoin(F.broadcast(ids(old))).select("what", (F.col("a") - F.col("n")).alias("trials"))  # one row
+        size = met.groupBy("nct_id").agg(F.max("was").alias("was"), F.max("stays").alias("stays"))
+        size = materialized(size.agg((F.count_if("stays") - F.count_if("was")).alias("trials")).select(F.lit("trials").alias("what"), "trials"))
         store.commit(number, {
-            "by_trial": Change(kept.join(trials, "nct_id", "left_anti").select(*both).unionByName(new.select(*both)), touched),
+            "by_trial": Change(kept.join(mine, "nct_id", "left_anti").select(*both).unionByName(new), touched),
             "by_code": Change(by_code, codes),
             "counts": counts,
             "size": store.upsert("size", size, {"trials": "increment"}),

@@ -143,7 +143,7 @@ def p3_keyed_progress(t):
 @query(f"WITH members AS (SELECT DISTINCT nct_id FROM pairs WHERE concept_code = '{CODE}'), defining AS (SELECT '{CODE}' AS code) {LIFT}")
 def a5_lift_kept_pairs(t):
     """The lift of a concept over kept pairs: all trials first with rows of other concepts for a third, which then are replaced."""
-    e, third = t.b_eligibility, F.expr(NUMBER) % 3 == 0
+    e, third = ta.materialized(t.b_eligibility.select("nct_id", "concept_code")), F.expr(NUMBER) % 3 == 0
     kept = PairTable(t.spark, ta.scratch(t.spark), 8)
     wrong = F.when(third, F.concat(F.lit("X"), "concept_code")).otherwise(F.col("concept_code"))
     kept.replace(1, e, e.select("nct_id", wrong.alias("concept_code")))
