@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +19,7 @@ EPS = 1e-9
 class FuzzyIndex:
     """Written tables.
 
-    texts: tid, str, na (lexemes), ng (grams), lex, grams. names: str, cui.
+    texts: tid, str, na (lexemes), ng (grams), lex, grams. names: str, cui and the cui's place among those of the text.
     postings: key, tid: of a key (lexemes, rarest first) of at most `many` texts all of them, else the `best` of fewest lexemes (ties by text).
     frequent: keys of over `many` texts, one table a key length. lexeme_counts: n of the frequent lexemes.
     gram_counts: gram, n. grams: gram, tid, ng and the gram's place among the text's grams, rarest first.
@@ -68,7 +68,8 @@ def build_index(atoms: DataFrame, max_len: int = 80, many: int = 1000, best: int
     frequent key, and if the text isn't among its best, those share all of M and have as few lexemes or fewer: each ranks before it. So no list is longer than
     `many` (or `best`). Keys of `levels` lexemes are the last; they keep all their texts.
     """
-    names = materialized(fit(atoms, max_len).select("str", "cui").distinct())
+    place = F.row_number().over(Window.partitionBy("str").orderBy("cui"))
+    names = materialized(fit(atoms, max_len).select("str", "cui").distinct().withColumn("place", place))
     texts = names.select("str").distinct().withColumn("lex", lexemes(F.col("str"))).withColumn("grams", trigrams(F.col("str")))
     texts = materialized(texts.select(F.monotonically_increasing_id().alias("tid"), "str", F.size("lex").alias("na"), F.size("grams").alias("ng"), "lex", "grams"))
     each = texts.select("tid", "str", "na", F.explode("lex").alias("key"))
@@ -99,6 +100,14 @@ def build_index(atoms: DataFrame, max_len: int = 80, many: int = 1000, best: int
     return FuzzyIndex(texts, names, postings, frequent, counts, gram_counts, grams, many, best, levels)
 
 
+def first_names(index: FuzzyIndex, limit: int) -> FuzzyIndex:
+    """The index with the `limit` smallest concepts of each text, for searches that keep the best `limit` of a query, ties to the smaller.
+
+    All concepts of a text have its rank, so one behind `limit` others of that text is never among the best through it.
+    """
+    return replace(index, names=index.names.filter(F.col("place") <= limit))
+
+
 def placed_grams(texts: DataFrame, counts: DataFrame, carry: list[str]) -> DataFrame:
     """gram, at, carry: each gram of a text with its place in the order of how many indexed texts hold it."""
     each = counted_join(texts.select(*carry, F.explode("grams").alias("gram")), counts, "gram", "left")

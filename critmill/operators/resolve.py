@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_none_term, jaccard, lexemes, match_score, normalize_key, trigrams, trimmed, unresolved
 from ..sources.tables import counted_join, materialized, upsert
 from .cohorts import canonical_types
-from .index import FuzzyIndex, build_index, gram_candidates, token_candidates
+from .index import FuzzyIndex, build_index, first_names, gram_candidates, token_candidates
 from .joins import exact_candidates, unseen_conditions
 from .search import code_guard, coverage_guard
 
@@ -74,7 +74,7 @@ def trigram_arm(queries: DataFrame, atoms: DataFrame, least: float = 0.3, max_le
 
 def candidate_search(queries: DataFrame, atoms: DataFrame, concepts: DataFrame, limit: int = 15, least: float = 0.3, max_len: int = 80, include_trigram: bool = True, index: FuzzyIndex | None = None) -> DataFrame:
     """query, cui, rank, position, name, root_source of the best candidates of each distinct query. An index (build_index) serves many searches; without one it's made."""
-    index = index or build_index(atoms, max_len, best=max(limit, 40))
+    index = first_names(index or build_index(atoms, max_len, best=max(limit, 40)), limit)
     arms = [exact_arm(queries, atoms), token_arm(queries, atoms, limit, max_len, index)]
     if include_trigram:
         arms.append(trigram_arm(queries, atoms, least, max_len, index))
@@ -98,7 +98,7 @@ def guarded(pairs: DataFrame) -> DataFrame:
 
 def search_with_fallback(queries: DataFrame, atoms: DataFrame, concepts: DataFrame, threshold: float = 0.45, limit: int = 15, least: float = 0.3, max_len: int = 80, index: FuzzyIndex | None = None) -> DataFrame:
     """Guarded candidates; the trigram arm runs only for queries that no exact or token candidate answers, and joins their earlier hits."""
-    index = index or build_index(atoms, max_len, best=max(limit, 40))
+    index = first_names(index or build_index(atoms, max_len, best=max(limit, 40)), limit)
     queries = materialized(_distinct(queries))
     hits = materialized(union_hits(exact_arm(queries, atoms), token_arm(queries, atoms, limit, max_len, index)))
     first = materialized(guarded(named_candidates(hits, concepts, limit)))

@@ -109,3 +109,20 @@ def test_one_index_serves_searches(spark, terms):
     assert rows(re_.candidate_search(q, a, concepts, index=index)) == rows(re_.candidate_search(q, a, concepts))
     assert rows(re_.search_with_fallback(q, a, concepts, index=index)) == rows(re_.search_with_fallback(q, a, concepts))
     assert re_.candidate_search(q.limit(0), a, concepts).count() == 0 == re_.candidate_search(q, a.limit(0), concepts).count()
+
+
+def test_search_meets_few_concepts_of_a_text(spark):
+    """A text of many concepts brings no more of them than are kept; the best are those of all."""
+    from critmill.operators import index as ix
+    from critmill.operators import resolve as re_
+
+    rows = [(f"C{i:03d}", s) for s, step in (("hot bolt", 1), ("hot bolts", 2), ("cold bolt", 3)) for i in range(0, 90, step)]
+    atoms = spark.createDataFrame(rows, "cui string, str string").selectExpr("*", "str AS str_norm")
+    concepts = atoms.select("cui").distinct().selectExpr("cui", "cui AS pref_name", "'X' AS root_source")
+    queries = spark.createDataFrame([("hot boltss",), ("cold bolts",), ("hot bolt",)], "query string")
+    index = ix.build_index(atoms)
+    few = ix.first_names(index, 15)
+    assert few.names.count() == 45
+    arms = [re_.exact_arm(queries, atoms), re_.token_arm(queries, atoms, index=index), re_.trigram_arm(queries, atoms, index=index)]
+    want = {tuple(r) for r in re_.named_candidates(re_.union_hits(*arms), concepts, 15).collect()}
+    assert len(want) == 45 and {tuple(r) for r in re_.candidate_search(queries, atoms, concepts, index=index).collect()} == want
