@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import materialized
 
+#: Similarities to centres that a worker holds at once, and bytes of blocks that it's sent at once (unless the session has a bound of its own).
+SIMILARITIES, BATCH_BYTES = 1 << 20, 8 << 20
 #: Bytes of probing queries up to which they're sent to every task.
 BROADCAST_BYTES = 32 << 20
 
@@ -61,6 +63,9 @@ def best_of_cells(cells: DataFrame, k: int, skip_self: bool) -> DataFrame:
                 at, top = at[ok], top[ok]
                 yield pa.RecordBatch.from_arrays([q_id.take(pa.array(at)), r_id.take(pa.array(top)), pa.array(score[at, top] / 10000)], ["query_id", "nct_id", "similarity"])
 
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if cells.sparkSession.conf.get(name, None) is None:
+        cells.sparkSession.conf.set(name, str(BATCH_BYTES))
     return cells.select("q_id", "q_m", "q_v", "r_id", "r_m", "r_v").mapInArrow(best, "query_id string, nct_id string, similarity double")
 
 
@@ -179,9 +184,13 @@ def _nearest(centres: np.ndarray, n: int):
     """A function of a vector column: the n nearest cells by cosine, nearest first."""
     c = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
 
+    step = max(1, SIMILARITIES // max(1, len(c)))
+
     @F.pandas_udf("array<int>")
     def nearest(v: pd.Series) -> pd.Series:
-        order = np.argsort(-(np.stack(v.to_list()) @ c.T), axis=1, kind="stable")[:, :n] if len(v) else []
-        return pd.Series([x.astype(np.int32) for x in order], dtype=object)
+        out = []
+        for i in range(0, len(v), step):
+            out.extend(np.argsort(-(np.stack(v.iloc[i : i + step].to_list()) @ c.T), axis=1, kind="stable")[:, :n].astype(np.int32))
+        return pd.Series(out, dtype=object)
 
     return nearest

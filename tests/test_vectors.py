@@ -84,3 +84,21 @@ def test_messy_and_empty(spark, table, index, tmp_path):
     huge = spark.createDataFrame([("a", [1e200, 0.0]), ("b", [1e-200, 1e-200])], "nct_id string, embedding array<double>")
     got = jo.similar_to_vectors(huge, huge.withColumnRenamed("nct_id", "query_id"))
     assert {(r.query_id, r.nct_id): r.similarity for r in got.collect()} == {("a", "a"): 1, ("b", "b"): 1, ("a", "b"): 0.7071, ("b", "a"): 0.7071}
+
+
+def test_nearest_cells_hold_few_similarities_at_once(spark, monkeypatch):
+    """Chunks of rows give the order of all at once."""
+    import numpy as np
+    import pandas as pd
+
+    from critmill.operators import vectors as ve
+
+    rng = np.random.default_rng(3)
+    centres, v = rng.normal(size=(7, 4)), pd.Series(list(rng.normal(size=(50, 4))))
+    monkeypatch.setattr(ve, "SIMILARITIES", 21)
+    sizes = []
+    real = np.argsort
+    monkeypatch.setattr(ve.np, "argsort", lambda x, **k: sizes.append(x.size) or real(x, **k))
+    got = [list(x) for x in ve._nearest(centres, 3).func(v)]
+    unit = centres / np.linalg.norm(centres, axis=1, keepdims=True)
+    assert got == [list(real(-(unit @ x), kind="stable")[:3]) for x in v] and max(sizes) <= 21
